@@ -154,7 +154,7 @@ def facts(d: Dialect) -> dict[str, str]:
         {s(i('l_quantity'))} || '.' || {s("CASE WHEN l_returnflag = 'R' THEN r ELSE 0 END")} AS version,
         CASE WHEN l_linestatus = 'O' THEN 'amd64' ELSE 'all' END AS arch, CASE WHEN l_returnflag = 'A' THEN 'rc' ELSE 'ii' END AS status,
         'part ' || {s('l_partkey')} AS summary FROM {d.runs_of(t('lineitem'))}"""
-    F["fx_rpms"] = f"SELECT page_id % {n} AS h, r, page_id AS k, 'rpm-' || {s('page_id')} || '-1.x86_64' AS name FROM {d.runs_of(t('pages'))}"
+    F["fx_rpms"] = f"SELECT page_id % {n} AS h, r, page_id AS k, 'svc' || {s('page_id % 60')} || '-lib' || {s('page_id')} || '-1.x86_64' AS name FROM {d.runs_of(t('pages'))}"
     F["fx_modules0"] = f"""SELECT DISTINCT c_custkey % {n} AS h, r, CASE WHEN c_acctbal < 1000 THEN 'mod_' || {s('c_custkey')} WHEN c_acctbal < 4000 THEN 'pair_' || {s(div('c_custkey', '2'))}
         WHEN c_acctbal < 7000 THEN 'kvm' ELSE 'snd_n' || {s('c_nationkey')} END AS module FROM {d.runs_of(t('customer'))}"""
     F["fx_modules"] = f"""SELECT h, r, module, {i('length(module) * 4096')} AS size, {i('length(module) % 3')} AS used_by_count,

@@ -215,31 +215,52 @@ def render(spark: SparkSession, sf_dir: str, tags: list[str]) -> DataFrame:
         "path", F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("bigint").alias("length"))
 
 
+def rendered(spark: SparkSession, sf_dir: str, tags: tuple[str, ...]) -> DataFrame:
+    """Snapshot files with the given blocks, written once per application and read back.
+
+    The engine under test starts from stored text, as it would from a snapshot folder.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, tags)
+    if key not in _rendered:
+        path = f"{shared_folder(spark)}/rendered-{spark.sparkContext.applicationId}-{len(_rendered)}"
+        render(spark, sf_dir, list(tags)).write.mode("overwrite").parquet(path)
+        _rendered[key] = path
+    return spark.read.schema("path string, content binary, length bigint").parquet(_rendered[key])
+
+
+_rendered: dict[tuple, str] = {}
+_fleets: dict[tuple, "RenderedFleet"] = {}
+RAW_TAGS = ("rsyslog_conf", "journald_conf", "hostnamectl")
+
+
 class RenderedFleet(Fleet):
-    """A Fleet over rendered snapshots: each table renders only the blocks it reads."""
+    """A Fleet over rendered snapshots: each table reads files that hold only its own blocks."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
-        self.sf_dir = sf_dir
-        inventory = spark.sql(with_facts("SELECT * FROM fx_inventory", facts(dialect(spark, sf_dir))))
-        for c in C.INVENTORY_COLUMNS:
-            if c not in inventory.columns:
-                inventory = inventory.withColumn(c, F.lit(None).cast("string"))
-        super().__init__(spark, src.snapshots(render(spark, sf_dir, ["hostnamectl"])), inventory, store)
+        self.spark, self.sf_dir, self.store = spark, sf_dir, store
+        self._tables = {}
+
+    def snapshots(self) -> DataFrame:
+        return src.snapshots(rendered(self.spark, self.sf_dir, ("hostnamectl",)))
 
     def blocks(self, *tags: str) -> DataFrame:
         known = block_specs(dialect(self.spark, self.sf_dir))
-        wanted = [t for t in tags if t in known] or ["hostnamectl", "rsyslog_conf", "journald_conf"]
-        return split_blocks(src.snapshots(render(self.spark, self.sf_dir, wanted)))
+        wanted = tuple(t for t in tags if t in known) or RAW_TAGS
+        return split_blocks(src.snapshots(rendered(self.spark, self.sf_dir, wanted)))
 
-
-_fleets: dict[tuple, RenderedFleet] = {}
+    def __call__(self, name: str) -> DataFrame:
+        if name == "host_inventory" and name not in self._tables:
+            have = self.spark.sql(with_facts("SELECT * FROM fx_inventory", facts(dialect(self.spark, self.sf_dir))))
+            self._tables[name] = have.select(*[
+                F.col(c) if c in have.columns else F.lit(None).cast("string").alias(c) for c in C.INVENTORY_COLUMNS])
+        return super().__call__(name)
 
 
 def fleet(spark: SparkSession, sf_dir: str, stored: bool = True) -> RenderedFleet:
-    """The fleet of a data folder. The stored one writes each shared table once per process, on first use."""
-    if not stored:
-        return RenderedFleet(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The fleet of a data folder. The stored one writes each shared table once per application, on first use."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf_dir, stored)
     if key not in _fleets:
-        _fleets[key] = RenderedFleet(spark, sf_dir, f"{shared_folder(spark)}/fleet-{spark.sparkContext.applicationId}-{len(_fleets)}-{abs(hash(sf_dir))}")
+        store = f"{shared_folder(spark)}/fleet-{app}-{len(_fleets)}" if stored else None
+        _fleets[key] = RenderedFleet(spark, sf_dir, store)
     return _fleets[key]
