@@ -180,8 +180,8 @@ def facts(d: Dialect) -> dict[str, str]:
         CASE WHEN o.st = 'O' THEN '*' ELSE '10.8.0.' || {s('o.k % 250')} END AS peer_addr, CASE WHEN o.st = 'O' THEN NULL ELSE {i('2000 + o.k % 1000')} END AS peer_port,
         'svc' || {s('o.k % 50')} AS process_name, o.pid, CASE substr(o.prio, 1, 1) WHEN '1' THEN 'all_interfaces' WHEN '2' THEN 'loopback' WHEN '3' THEN 'all_interfaces' ELSE 'specific' END AS bind_scope
         FROM fx_orders o JOIN hosts h ON o.h = h.h"""
-    F["fx_parts"] = f"""SELECT p_partkey % {n} AS h, r, p_partkey AS k, p_name, p_type, p_brand, p_size, p_retailprice FROM {d.runs_of(t('part'))}"""
-    F["fx_units"] = """SELECT h, r, k, 'unit' || CAST(k AS STRING) || CASE WHEN p_size < 20 THEN '.service' WHEN p_size < 30 THEN '.socket' WHEN p_size < 40 THEN '.mount' ELSE '.device' END AS unit,
+    F["fx_parts"] = f"""SELECT p_partkey % {n} AS h, r, p_partkey AS k, p_name, p_type, p_brand, p_size, p_retailprice, {n} AS n FROM {d.runs_of(t('part'))}"""
+    F["fx_units"] = """SELECT h, r, k, CASE WHEN k < n THEN 'rsyslog' ELSE 'unit' || CAST(k AS STRING) END || CASE WHEN p_size < 20 THEN '.service' WHEN p_size < 30 THEN '.socket' WHEN p_size < 40 THEN '.mount' ELSE '.device' END AS unit,
         CASE WHEN p_size < 20 THEN 'service' WHEN p_size < 30 THEN 'socket' WHEN p_size < 40 THEN 'mount' ELSE 'other' END AS unit_type,
         'loaded' AS load, CASE WHEN p_size % 2 = 0 THEN 'active' ELSE 'inactive' END AS active, CASE WHEN p_size % 2 = 0 THEN 'running' ELSE 'dead' END AS sub, p_name AS description FROM fx_parts"""
     mt = d.plus_seconds("TIMESTAMP '2023-03-01 00:00:00'", "(k % 200) * 86400")
