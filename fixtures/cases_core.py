@@ -268,5 +268,5 @@ scalar("S19_array_access", lambda: F.concat_ws("|", F.get(F.split("x", "#"), F.l
        "SELECT c_custkey AS k, c_name AS x FROM {customer}", "split_part(x, '#', 1) || '|none|' || CAST(len(string_split(x, '#')) AS STRING)")
 scalar("S20_sql_scalars", lambda: F.concat_ws("|", F.coalesce(F.nullif("seg", F.lit("BUILDING")), F.lit("none")), F.format_string("%.1f", F.abs("bal")), F.length("seg").cast("string"), F.col("seg").ilike("%o%").cast("int").cast("string"),
                                               S.iso(F.to_timestamp(F.lit("2024-03-10 00:00:00")) - F.expr("INTERVAL 30 DAYS"))),
-       "SELECT c_custkey AS k, c_mktsegment AS seg, round(c_acctbal) + 0.75 AS bal FROM {customer}",
+       "SELECT c_custkey AS k, c_mktsegment AS seg, abs(round(c_acctbal)) + 0.75 AS bal FROM {customer}",
        "coalesce(nullif(seg, 'BUILDING'), 'none') || '|' || printf('%.1f', CAST(abs(bal) AS DOUBLE)) || '|' || CAST(length(seg) AS STRING) || '|' || CASE WHEN seg LIKE '%O%' THEN '1' ELSE '0' END || '|2024-02-09T00:00:00Z'")

@@ -8,7 +8,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN_DATE = F.substring("run_id", 1, 8)
+def run_date():
+    """Run ids start with the date of the run."""
+    return F.substring("run_id", 1, 8)
+
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +36,7 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
     path = f"{root}/{name}"
     if "run_id" in df.columns:
         order = ["run_id"] if name != "run_commands" else ["command_tag", "run_id"]
-        out = df.withColumn("run_date", RUN_DATE).sortWithinPartitions("run_date", *order)
+        out = df.withColumn("run_date", run_date()).sortWithinPartitions("run_date", *order)
         writer = out.write.partitionBy("run_date").option("partitionOverwriteMode", "dynamic" if mode == "replace" else "static")
     else:
         writer = df.write
@@ -53,11 +56,11 @@ def replace_in_table(fresh: DataFrame, fresh_runs: DataFrame, root: str, name: s
     spark = fresh.sparkSession
     path = f"{root}/{name}"
     try:
-        stored = spark.read.schema(fresh.withColumn("run_date", RUN_DATE).schema).parquet(path)
+        stored = spark.read.schema(fresh.withColumn("run_date", run_date()).schema).parquet(path)
     except AnalysisException:  # first batch: nothing stored yet
         write_table(fresh, root, name)
         return
-    dates = fresh_runs.select(RUN_DATE.alias("run_date")).distinct()
+    dates = fresh_runs.select(run_date().alias("run_date")).distinct()
     kept = stored.join(dates, "run_date", "left_semi").join(
         fresh_runs.select("run_id").distinct(), "run_id", "left_anti").drop("run_date")
     # the target is also a source: go through a checkpoint before overwriting its partitions
