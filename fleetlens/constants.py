@@ -5,6 +5,7 @@ what users of the tables expect, so it is stated here as plain text.
 """
 
 # Line terminators that end a line of a snapshot (str.splitlines() semantics).
+ODD_LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 # A header line such as "*****HOST INFO*****".

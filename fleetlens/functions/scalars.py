@@ -252,11 +252,14 @@ def shell_words(cmd: Column | str) -> Column:
     return let(F.regexp_replace(strip(cmd), "\t", " "), words)
 
 
-def process_parts(cmd: Column | str) -> tuple[Column, Column, Column]:
-    """(name, path, arguments) of a command line; kernel threads keep their bracketed name."""
+def process_parts(cmd: Column | str, words: Column | str | None = None) -> tuple[Column, Column, Column]:
+    """(name, path, arguments) of a command line; kernel threads keep their bracketed name.
+
+    `words` takes the split command when it is already at hand.
+    """
     c = strip(cmd)
     kernel = c.startswith("[") & c.endswith("]")
-    words = shell_words(c)
+    words = shell_words(c) if words is None else col(words)
     path = F.coalesce(at(words, 0), F.lit(""))
     name = F.substring_index(path, "/", -1)
     args = let(words, lambda w: F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), " "))

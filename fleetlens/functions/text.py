@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.constants import LINE_BREAKS
+from fleetlens.constants import LINE_BREAKS, ODD_LINE_BREAKS
 
 # Columns every block row carries along, so no extraction has to join back to its run.
 RUN_COLS = ["run_id", "source_ip", "collected_at_utc", "host_zone"]
@@ -30,7 +30,11 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def normalize_newlines(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), LINE_BREAKS, "\n")
+    """Most texts have plain \\n only: byte searches decide whether the regex pass is needed at all."""
+    odd = F.lit(False)
+    for ch in ODD_LINE_BREAKS:
+        odd = odd | F.contains(col(c), F.lit(ch))
+    return F.when(odd, F.regexp_replace(col(c), LINE_BREAKS, "\n")).otherwise(col(c))
 
 
 def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -38,6 +42,12 @@ def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(col(c), pattern, group))
 
 
+def groups(c: Column | str, pattern: str, n: int) -> Column:
+    """All n groups of a whole-line pattern as an array, from a single match; any other line gives one element."""
+    mark = "\x01"
+    return F.split(F.regexp_replace(col(c), pattern, mark.join(f"${i}" for i in range(1, n + 1))), mark)
+
+
 def tokens(c: Column | str, limit: int = -1) -> Column:
     return F.split(strip(c), r"\s+", limit)
 
@@ -84,13 +94,18 @@ def block(blocks: DataFrame, *tags: str) -> DataFrame:
     return blocks.filter(F.col("command_tag").isin(*tags) & F.col("is_first") & (F.col("output_text") != ""))
 
 
-def lines(df: DataFrame, text: str = "output_text", keep: tuple[str, ...] = ()) -> DataFrame:
+def lines(df: DataFrame, text: str = "output_text", keep: tuple[str, ...] = (), distinct: bool = False) -> DataFrame:
     """One row per non-blank line: `line_no` (1-based, blank lines counted), `raw`, `line` (stripped).
 
-    The wide text column is dropped by the same projection that explodes it.
+    The wide text column is dropped by the same projection that explodes it. With
+    `distinct` a repeated line counts once, at its last position: tables whose key
+    is the line itself are deduplicated inside the block and need no shuffle.
     """
+    parts = F.split(text, "\n")
+    if distinct:
+        parts = F.reverse(F.array_distinct(F.reverse(F.transform(parts, rstrip))))
     return (
-        df.select(*RUN_COLS, *keep, F.posexplode(F.split(text, "\n")).alias("pos", "raw0"))
+        df.select(*RUN_COLS, *keep, F.posexplode(parts).alias("pos", "raw0"))
         .select(*RUN_COLS, *keep, (F.col("pos") + 1).alias("line_no"), rstrip("raw0").alias("raw"),
                 strip("raw0").alias("line"))
         .filter(F.col("line") != "")

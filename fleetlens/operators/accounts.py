@@ -92,9 +92,9 @@ def run_w_sessions(blocks: DataFrame) -> DataFrame:
     below = F.regexp_extract("output_text", r"(?ms)^[ \t]*USER[^\n]*TTY[^\n]*FROM[^\n]*\n(.*)\z", 1)
     t = tokens("line", 8)
     names = ["username", "tty", "from_host", "login_at", "idle", "jcpu", "pcpu", "what"]
-    rows = lines(block(blocks, "w").withColumn("below", below), "below").filter(
+    rows = lines(block(blocks, "w").withColumn("below", below), "below", distinct=True).filter(
         ~F.col("line").startswith("USER") & (F.size(t) >= 3))
-    return last_wins(rows, ["run_id", "raw"]).select(
+    return rows.select(
         "run_id", *[at(t, i).alias(n) for i, n in enumerate(names)], F.col("raw").alias("raw_line"))
 
 
@@ -102,8 +102,8 @@ def run_lastlog(blocks: DataFrame) -> DataFrame:
     """Last login per account; `**Never logged in**` is one value, not three columns."""
     t = tokens("line", 4)
     never = F.contains(F.lower("line"), F.lit("never logged in"))
-    rows = lines(block(blocks, "lastlog")).filter(~F.lower("line").startswith("username"))
-    return last_wins(rows, ["run_id", "raw"]).select(
+    rows = lines(block(blocks, "lastlog"), distinct=True).filter(~F.lower("line").startswith("username"))
+    return rows.select(
         "run_id", at(t, 0).alias("username"),
         F.when(~never, at(t, 1)).alias("port"), F.when(~never, at(t, 2)).alias("from_host"),
         F.when(never, "Never logged in").otherwise(at(t, 3)).alias("latest"), F.col("raw").alias("raw_line"))
@@ -124,12 +124,10 @@ def login_records(blocks: DataFrame) -> DataFrame:
         .when(ranged, strip(F.substr(rest, F.lit(1), dash - 1)))
         .otherwise(strip(rest))
     )
-    rows = lines(block(blocks, "last_wtmp", "last_btmp", "last_utmp"), keep=("command_tag",)).filter(
+    rows = lines(block(blocks, "last_wtmp", "last_btmp", "last_utmp"), keep=("command_tag",), distinct=True).filter(
         ~F.col("raw").rlike("^[wbu]tmp begins") & (F.size(t) >= 3))
-    source = F.substring_index("command_tag", "_", -1)
-    distinct = last_wins(rows.withColumn("source", source), ["run_id", "source", "raw"])
-    return distinct.select(
-        *RUN_COLS, "source",
+    return rows.select(
+        *RUN_COLS, F.substring_index("command_tag", "_", -1).alias("source"),
         at(t, 0).alias("username"), at(t, 1).alias("tty"), at(t, 2).alias("remote_host"),
         start.alias("start_text"),
         F.when(ranged, strip(F.regexp_replace(right, r"\([^)]+\)\s*$", ""))).alias("end_text"),

@@ -43,6 +43,7 @@ def split_blocks(snaps: DataFrame) -> DataFrame:
     )
     command_of = lambda p: strip(F.substr(F.substring_index(p, "\n", 1), F.lit(3)))
     clean = lambda h: strip(F.regexp_replace(F.regexp_replace(h, r"\*", " "), r"\s+", " "))
+    starred = lambda p: F.contains(p, F.lit("*****"))
     header_names = lambda p: F.filter(
         F.transform(F.regexp_extract_all(p, F.lit(rf"(?m)^({C.SECTION_HEADER})$"), F.lit(1)), clean), lambda h: h != ""
     )
@@ -59,7 +60,8 @@ def split_blocks(snaps: DataFrame) -> DataFrame:
         ).alias("tags"),
         F.filter(
             F.transform(
-                "pieces", lambda p, i: F.struct(i.alias("i"), F.try_element_at(header_names(p), F.lit(-1)).alias("name"))
+                "pieces", lambda p, i: F.struct(
+                    i.alias("i"), F.when(starred(p), F.try_element_at(header_names(p), F.lit(-1))).alias("name"))
             ),
             lambda h: h["name"].isNotNull(),
         ).alias("headers"),
@@ -78,8 +80,11 @@ def split_blocks(snaps: DataFrame) -> DataFrame:
         *RUN_COLS, "tags", "headers", "preamble", F.posexplode("pieces").alias("pos", "piece")
     ).filter(F.col("piece").startswith("$ "))
     tag = at(F.col("tags"), F.col("pos"))
-    body = F.regexp_replace("piece", r"^[^\n]*\n?", "")
-    body = F.regexp_replace(body, rf"(?m)^(?:{C.SECTION_HEADER}|=+)(?:\n|\z)", "")
+    # byte searches decide whether the text has to go through a regex
+    first_break = F.instr("piece", "\n")
+    body = F.when(first_break > 0, F.substr("piece", first_break + 1)).otherwise("")
+    ruled = starred(F.col("piece")) | F.contains("piece", F.lit("\n="))
+    body = F.when(ruled, F.regexp_replace(body, rf"(?m)^(?:{C.SECTION_HEADER}|=+)(?:\n|\z)", "")).otherwise(body)
     section = F.try_element_at(F.filter("headers", lambda h: h["i"] < F.col("pos")), F.lit(-1))["name"]
     return exploded.select(
         *RUN_COLS,

@@ -30,13 +30,19 @@ def _positioned(blocks: DataFrame, by: str) -> DataFrame:
 
 def diff_blocks(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> DataFrame:
     """Per pair and block of the first run: same, changed, or missing in the second run."""
-    keyed = _positioned(blocks, by)
-    a = pairs.join(keyed.withColumnRenamed("run_id", "first_run"), "first_run")
-    b = keyed.select(F.col("run_id").alias("second_run"), "block_key", F.col("digest").alias("digest2"),
-                     F.col("command_index").alias("second_index"))
-    return a.join(b, ["second_run", "block_key"], "left").select(
+    sides = pairs.select("first_run", "second_run", F.explode(F.array(
+        F.struct(F.col("first_run").alias("run_id"), F.lit(True).alias("is_first")),
+        F.struct(F.col("second_run").alias("run_id"), F.lit(False).alias("is_first")))).alias("s")
+    ).select("first_run", "second_run", "s.run_id", F.col("s.is_first").alias("side_one"))
+    # both sides come from one scan of the blocks and meet in one aggregation
+    one, two = F.col("side_one"), ~F.col("side_one")
+    met = sides.join(_positioned(blocks, by), "run_id").groupBy("first_run", "second_run", "block_key").agg(
+        F.max(F.when(one, F.col("command_index"))).alias("command_index"), F.max(F.when(two, F.col("command_index"))).alias("second_index"),
+        F.max(F.when(one, F.col("command"))).alias("command"), F.max(F.when(one, F.col("digest"))).alias("d1"),
+        F.max(F.when(two, F.col("digest"))).alias("d2"))
+    return met.filter("d1 IS NOT NULL").select(
         "first_run", "second_run", "block_key", "command_index", "second_index", "command",
-        F.when(F.col("digest2").isNull(), "missing").when(F.col("digest") == F.col("digest2"), "same").otherwise("changed").alias("status"))
+        F.when(F.col("d2").isNull(), "missing").when(F.col("d1") == F.col("d2"), "same").otherwise("changed").alias("status"))
 
 
 def diff_lines(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> DataFrame:

@@ -145,7 +145,7 @@ def run_usb_devices(blocks: DataFrame, max_devices: int = C.USB_MAX_DEVICES) ->
 def lsmod_lines(blocks: DataFrame) -> DataFrame:
     t = tokens("line")
     rest = F.array_join(F.slice(t, 4, F.greatest(F.size(t) - 3, F.lit(0))), " ")
-    return lines(block(blocks, "lsmod")).filter(~F.col("raw").startswith("Module ") & (F.size(t) >= 3)).select(
+    return lines(block(blocks, "lsmod"), distinct=True).filter(~F.col("raw").startswith("Module ") & (F.size(t) >= 3)).select(
         "run_id", "line_no", at(t, 0).alias("module"), to_int(at(t, 1)).alias("size"),
         to_int(at(t, 2)).alias("used_by_count"), rest.alias("used_by"), F.col("raw").alias("raw_line"))
 
@@ -166,7 +166,7 @@ def run_lsmod(blocks: DataFrame, max_modules: int | None = C.LSMOD_MAX_MODULES)
         rows = rows.withColumn("_over", total > max_modules).filter(~F.col("_over") | notable)
         rank = F.row_number().over(Window.partitionBy("run_id").orderBy("line_no"))
         rows = rows.withColumn("_rank", rank).filter(~F.col("_over") | (F.col("_rank") <= max_modules)).drop("_over", "_rank")
-    return last_wins(rows, ["run_id", "raw_line"]).drop("line_no")
+    return rows.drop("line_no")
 
 
 def run_modinfo_kv(blocks: DataFrame, max_rows: int | None = C.MODINFO_MAX_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions.scalars import address_type, bind_scope, interface_type, route_type
 from fleetlens.functions.text import (
-    RUN_COLS, at, block, chunks, extract, first_line, last_wins, last_wins_unless_null, lines, strip, to_int, tokens,
+    RUN_COLS, at, block, chunks, extract, first_line, groups, last_wins, last_wins_unless_null, lines, strip, to_int, tokens,
 )
 
 _IFACE = r"^\d+:\s+([^:]+):.*\bmtu\s+(\d+)\b.*\bstate\s+(\S+)\b"
@@ -50,8 +50,8 @@ def run_interface_addrs(blocks: DataFrame) -> DataFrame:
 def run_resolv_conf_entries(blocks: DataFrame) -> DataFrame:
     p = F.split("line", r"\s+", 2)
     kind = F.lower(at(p, 0))
-    rows = lines(block(blocks, "resolv_conf")).filter(~F.col("line").startswith("#") & ~F.col("line").startswith(";"))
-    return last_wins(rows, ["run_id", "raw"]).select(
+    rows = lines(block(blocks, "resolv_conf"), distinct=True).filter(~F.col("line").startswith("#") & ~F.col("line").startswith(";"))
+    return rows.select(
         "run_id", F.when(kind.isin("nameserver", "search", "options"), kind).otherwise("other").alias("entry_type"),
         F.coalesce(strip(at(p, 1)), F.lit("")).alias("entry_value"), F.col("raw").alias("raw_line"))
 
@@ -59,8 +59,7 @@ def run_resolv_conf_entries(blocks: DataFrame) -> DataFrame:
 def run_ip_neigh(blocks: DataFrame) -> DataFrame:
     t = tokens("line")
     family = F.when(F.contains(at(t, 0), F.lit(":")), "inet6").otherwise("inet")
-    rows = last_wins(lines(block(blocks, "ip_neigh")), ["run_id", "raw"])
-    return rows.select(
+    return lines(block(blocks, "ip_neigh"), distinct=True).select(
         "run_id", at(t, 0).alias("ip"), extract("line", r"\bdev\s+(\S+)").alias("dev"),
         extract("line", r"\blladdr\s+(\S+)").alias("lladdr"), F.element_at(t, -1).alias("state"),
         address_type(family, at(t, 0)).alias("ip_type"), F.col("raw").alias("raw_line"))
@@ -70,8 +69,8 @@ def run_routes(blocks: DataFrame) -> DataFrame:
     header = r"(?ms)^[ \t]*Destination[^\n]*Gateway[^\n]*Iface[^\n]*\n?(.*)\z"
     below = F.when(F.col("output_text").rlike(header), F.regexp_extract("output_text", header, 1)).otherwise(F.col("output_text"))
     t = tokens("line")
-    rows = lines(block(blocks, "route_n").withColumn("below", below), "below").filter(F.size(t) >= 8)
-    return last_wins(rows, ["run_id", "raw"]).select(
+    rows = lines(block(blocks, "route_n").withColumn("below", below), "below", distinct=True).filter(F.size(t) >= 8)
+    return rows.select(
         "run_id", at(t, 0).alias("destination"), at(t, 1).alias("gateway"), at(t, 2).alias("genmask"),
         at(t, 3).alias("flags"), to_int(at(t, 4)).alias("metric"), to_int(at(t, 5)).alias("ref"),
         to_int(at(t, 6)).alias("use"), at(t, 7).alias("iface"), route_type(at(t, 0)).alias("dest_type"),
@@ -94,8 +93,9 @@ def _address_and_port(c: Column) -> tuple[Column, Column]:
 def run_listening_sockets(blocks: DataFrame) -> DataFrame:
     pattern = r"^(\S+)\s+(\S+)\s+\S+\s+\S+\s+(\S+)\s+(\S+)\s*(users:\(\(.*\)\))?\s*$"
     rows = lines(block(blocks, "ss_punt")).filter(
-        ~F.col("raw").startswith("Netid ") & ~F.col("raw").startswith("State ") & F.col("raw").rlike(pattern))
-    g = lambda i: F.regexp_extract("raw", pattern, i)
+        ~F.col("raw").startswith("Netid ") & ~F.col("raw").startswith("State ")
+    ).select("run_id", "line_no", "raw", groups("raw", pattern, 5).alias("g")).filter(F.size("g") == 5)
+    g = lambda i: at(F.col("g"), i - 1)
     local_addr, local_port = _address_and_port(F.col("local"))
     peer_addr, peer_port = _address_and_port(F.col("peer"))
     owner = r'"([^"]+)".*pid=(\d+)'
@@ -113,10 +113,11 @@ def run_listening_sockets(blocks: DataFrame) -> DataFrame:
 
 def run_firewall_rules(blocks: DataFrame) -> DataFrame:
     sources = [s for s, _ in C.FIREWALL_TYPES]
-    rows = lines(block(blocks, *sources), keep=("command_tag",))
-    rule = F.when(F.col("command_tag") == "iptables_s", F.col("line")).otherwise(F.col("raw"))
+    # `iptables -S` rules are kept stripped on both sides, so its lines are stripped before they are compared
+    text = F.when(F.col("command_tag") == "iptables_s", F.regexp_replace("output_text", r"(?m)^[ \t]+", "")).otherwise(F.col("output_text"))
+    rows = lines(block(blocks, *sources).withColumn("rules", text), "rules", keep=("command_tag",), distinct=True)
     zones = F.col("source") == "firewalld_zones"
-    return rows.select("run_id", F.col("command_tag").alias("source"), rule.alias("rule")).distinct().select(
+    return rows.select("run_id", F.col("command_tag").alias("source"), F.col("raw").alias("rule")).select(
         "run_id", "source", "rule",
         F.when(~zones, extract("rule", r"^-A\s+(\S+)")).alias("chain"),
         F.when(~zones, extract("rule", r"\s-j\s+(\S+)")).alias("target"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.scalars import (
-    audit_id_filter, listing_time_to_utc, permission_octal, process_parts, process_start_to_utc, unit_type,
+    audit_id_filter, listing_time_to_utc, permission_octal, process_parts, process_start_to_utc, shell_words, unit_type,
 )
 from fleetlens.functions.text import (
-    literal_map, RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, last_wins, lines, starts_with_any, strip, to_int,
+    literal_map, RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, groups, last_wins, lines, starts_with_any, strip, to_int,
     to_long, tokens,
 )
 
@@ -21,14 +21,15 @@ def process_lines(blocks: DataFrame) -> DataFrame:
     header = r"(?ms)^[ \t]*F[^\n]*UID[^\n]*PID[^\n]*CMD[^\n]*\n?(.*)\z"
     below = F.when(F.col("output_text").rlike(header), F.regexp_extract("output_text", header, 1)).otherwise(F.col("output_text"))
     t = tokens("raw", 15)
-    rows = lines(block(blocks, "ps_elf").withColumn("below", below), "below").filter(F.size(t) == 15)
+    rows = lines(block(blocks, "ps_elf").withColumn("below", below), "below", distinct=True).filter(F.size(t) == 15)
     pid, ppid = to_int(at(t, 3)), to_int(at(t, 4))
     both = pid.isNotNull() & ppid.isNotNull()
-    name, path, args = process_parts("cmd")
     parsed = rows.select(
         *RUN_COLS, "line_no", F.when(both, pid).alias("pid"), F.when(both, ppid).alias("ppid"), at(t, 2).alias("uid"),
         at(t, 12).alias("tty"), at(t, 1).alias("stat"), at(t, 11).alias("start"), at(t, 13).alias("time"),
-        at(t, 14).alias("cmd"), F.col("raw").alias("raw_line"))
+        at(t, 14).alias("cmd"), F.col("raw").alias("raw_line")
+    ).withColumn("words", shell_words("cmd"))
+    name, path, args = process_parts("cmd", "words")
     return parsed.select(
         "run_id", "line_no", "pid", "ppid", "uid", "tty", "stat", "start",
         process_start_to_utc("start", "collected_at_utc", "host_zone").alias("start_normalized_utc"), "time", "cmd",
@@ -37,7 +38,7 @@ def process_lines(blocks: DataFrame) -> DataFrame:
 
 def run_processes(blocks: DataFrame) -> DataFrame:
     """Process table with the parent's name and path (last row of a pid wins as parent)."""
-    rows = last_wins(process_lines(blocks), ["run_id", "raw_line"])
+    rows = process_lines(blocks)
     parents = rows.filter("pid <> 0").groupBy("run_id", F.col("pid").alias("ppid")).agg(
         F.max_by(F.struct("process_name", "process_path"), "line_no").alias("parent"))
     return rows.join(parents, ["run_id", "ppid"], "left").select(
@@ -56,11 +57,12 @@ def run_pstree_lines(blocks: DataFrame) -> DataFrame:
 # ---- services, packages, containers -----------------------------------------------------------------------
 
 def run_services_systemctl(blocks: DataFrame) -> DataFrame:
-    pattern = r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$"
     skip = starts_with_any(F.col("raw"), ["UNIT ", "LOAD ", "  UNIT ", "LIST ", "0 loaded"])
-    rows = lines(block(blocks, "systemctl_units")).filter(~skip & F.col("raw").rlike(pattern))
+    cells = F.split("raw", r"\s+", 5)
+    rows = lines(block(blocks, "systemctl_units")).filter(~skip).select("run_id", "line_no", cells.alias("c")).filter(
+        (F.size("c") == 5) & (at(F.col("c"), 0) != ""))
     names = ["unit", "load", "active", "sub", "description"]
-    parsed = rows.select("run_id", "line_no", *[F.regexp_extract("raw", pattern, i + 1).alias(n) for i, n in enumerate(names)])
+    parsed = rows.select("run_id", "line_no", *[at(F.col("c"), i).alias(n) for i, n in enumerate(names)])
     return last_wins(parsed, ["run_id", "unit"]).drop("line_no").withColumn("unit_type", unit_type("unit"))
 
 
@@ -90,11 +92,12 @@ def run_systemd_enabled_unit_files(blocks: DataFrame) -> DataFrame:
 
 
 def run_packages(blocks: DataFrame) -> DataFrame:
-    pattern = r"^(ii|rc|un|iF|iU|pn)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$"
-    g = lambda i: F.regexp_extract("raw", pattern, i)
-    dpkg = lines(block(blocks, "dpkg_list")).filter(F.col("raw").rlike(pattern)).select(
-        "run_id", "line_no", F.lit("dpkg").alias("source"), g(2).alias("name"), g(3).alias("version"), g(4).alias("arch"),
-        g(1).alias("status"), g(5).alias("summary"))
+    c = F.col("c")
+    dpkg = lines(block(blocks, "dpkg_list")).select("run_id", "line_no", F.split("raw", r"\s+", 5).alias("c")).filter(
+        (F.size("c") == 5) & at(c, 0).isin("ii", "rc", "un", "iF", "iU", "pn")
+    ).select(
+        "run_id", "line_no", F.lit("dpkg").alias("source"), at(c, 1).alias("name"), at(c, 2).alias("version"),
+        at(c, 3).alias("arch"), at(c, 0).alias("status"), at(c, 4).alias("summary"))
     rpm = lines(block(blocks, "rpm_all")).filter(
         ~F.contains("line", F.lit("command not found")) & ~F.col("line").startswith("rpm:")
     ).select(
@@ -151,7 +154,8 @@ def run_container_summary(blocks: DataFrame) -> DataFrame:
 def run_audit_rules(blocks: DataFrame) -> DataFrame:
     """Audit rules in both syntaxes: `-a list -F field=value` and `-w path -p perm`, `-S call`."""
     r = F.col("line")
-    rows = last_wins(lines(block(blocks, "auditctl_l")).filter(~r.startswith("No rules")), ["run_id", "line"])
+    text = F.regexp_replace("output_text", r"(?m)^[ \t]+", "")
+    rows = lines(block(blocks, "auditctl_l").withColumn("rules", text), "rules", distinct=True).filter(~r.startswith("No rules"))
     syscall = F.coalesce(extract(r, r"\bsyscall(?:_r)?=(\S+)"), extract(r, r"(?:^|\s)-S\s+(\S+)"))
     path = F.coalesce(extract(r, r"path=(\S+)"), extract(r, r"^-w\s+(\S+)"))
     parsed = rows.select(
@@ -181,8 +185,9 @@ def run_ssh_host_keys(blocks: DataFrame) -> DataFrame:
 
 
 def run_ld_preload_entries(blocks: DataFrame) -> DataFrame:
-    return lines(block(blocks, "ld_so_preload")).filter(~F.col("line").startswith("#")).select(
-        "run_id", F.col("line").alias("entry")).distinct()
+    text = F.regexp_replace("output_text", r"(?m)^[ \t]+", "")
+    return lines(block(blocks, "ld_so_preload").withColumn("entries", text), "entries", distinct=True).filter(
+        ~F.col("line").startswith("#")).select("run_id", F.col("line").alias("entry"))
 
 
 def run_file_capabilities(blocks: DataFrame) -> DataFrame:
@@ -210,9 +215,10 @@ def run_file_listings(blocks: DataFrame) -> DataFrame:
         *RUN_COLS, "command_tag", F.lit(0).alias("chunk_no"), F.lit(None).cast("string").alias("directory"),
         F.col("output_text").alias("chunk"))
     pattern = (r"^([dl-][rwxStTs-]{9})[.+]?\s+\d+\s+(\S+)\s+(\S+)\s+(\d+)\s+(\S+)\s+(\d+)\s+(\S+)\s+(.+)$")
-    rows = lines(parts.unionByName(flat), "chunk", keep=("command_tag", "chunk_no", "directory")).filter(
-        F.col("raw").rlike(pattern))
-    g = lambda i: F.regexp_extract("raw", pattern, i)
+    rows = lines(parts.unionByName(flat), "chunk", keep=("command_tag", "chunk_no", "directory")).select(
+        *RUN_COLS, "command_tag", "chunk_no", "directory", "line_no", "raw", groups("raw", pattern, 8).alias("g")
+    ).filter(F.size("g") == 8)
+    g = lambda i: at(F.col("g"), i - 1)
     source = literal_map(C.LISTING_SOURCES)
     parsed = rows.select(
         *RUN_COLS, F.struct("command_tag", "chunk_no", "line_no").alias("ord"), "directory",
