@@ -112,6 +112,33 @@ def lines(df: DataFrame, text: str = "output_text", keep: tuple[str, ...] = (),
     )
 
 
+def keyed_lines(df: DataFrame, key, text: str = "output_text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Like `lines`, but only the last line of each key; `key(line)` is NULL for lines that do not count.
+
+    A block is one row, so the duplicates of a key are all in it: sorting the
+    block's own lines finds them without a shuffle.
+    """
+    tagged = F.filter(
+        F.transform(F.split(text, "\n"), lambda l, i: F.struct(key(rstrip(l)).alias("key"), (i + 1).alias("line_no"), rstrip(l).alias("raw"))),
+        lambda x: x["key"].isNotNull(),
+    )
+    ordered = df.select(*RUN_COLS, *keep, F.sort_array(tagged).alias("ordered"))
+    is_last = lambda x, i: F.coalesce(F.get("ordered", i + 1)["key"] != x["key"], F.lit(True))
+    return ordered.select(*RUN_COLS, *keep, F.explode(F.filter("ordered", is_last)).alias("x")).select(
+        *RUN_COLS, *keep, F.col("x.line_no").alias("line_no"), F.col("x.raw").alias("raw"), strip("x.raw").alias("line"))
+
+
+def word_key(l: Column) -> Column:
+    """First word of a line that is no comment."""
+    s = strip(l)
+    return F.when((s != "") & ~s.startswith("#"), at(F.split(s, r"\s+", 2), 0))
+
+
+def pair_key(sep: str):
+    """Trimmed text before the separator."""
+    return lambda l: blank_to_null(strip(F.when(F.contains(l, F.lit(sep)), F.substring_index(l, sep, 1))))
+
+
 def chunks(df: DataFrame, header: str, text: str = "output_text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Cut a block before every line that matches `header`.
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import free_text_to_utc, group_type, key_fingerprint, sudoers_rule_type, tty_kind
 from fleetlens.functions.text import (
-    RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, last_wins, last_wins_unless_null, lines, strip,
-    to_int, tokens,
+    RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, keyed_lines, last_wins, lines, strip, to_int, tokens,
 )
 from fleetlens.operators.keyvalue import sudo_rule_lines
 
@@ -19,28 +18,36 @@ def _active(blocks: DataFrame, *tags: str) -> DataFrame:
 
 def run_users(blocks: DataFrame) -> DataFrame:
     p = F.split("line", ":")
-    rows = _active(blocks, "etc_passwd").filter(
-        (F.size(p) == 7) & (at(p, 0) != "") & at(p, 2).rlike(r"^\d+$") & at(p, 3).rlike(r"^\d+$"))
+    valid = r"^(?!#)[^:]+:[^:]*:\d+:\d+:[^:]*:[^:]*:[^:]*$"
+    rows = keyed_lines(block(blocks, "etc_passwd"), lambda l: F.when(strip(l).rlike(valid), F.substring_index(strip(l), ":", 1)))
     names = ["username", None, "uid", "gid", "gecos", "home", "shell"]
-    typed = rows.select("run_id", "line_no", *[
+    return rows.select("run_id", *[
         (to_int(at(p, i)) if n in ("uid", "gid") else at(p, i)).alias(n) for i, n in enumerate(names) if n])
-    return last_wins(typed, ["run_id", "username"]).drop("line_no")
 
 
-def group_lines(blocks: DataFrame, tag: str) -> DataFrame:
+def _parse_groups(rows: DataFrame) -> DataFrame:
     p = F.split("line", ":")
-    return _active(blocks, tag).filter(F.size(p) == 4).select(
+    return rows.filter(F.size(p) == 4).select(
         "run_id", "line_no", at(p, 0).alias("groupname"), to_int(at(p, 2)).alias("gid"), at(p, 3).alias("members_csv"))
 
 
+def group_lines(blocks: DataFrame, tag: str) -> DataFrame:
+    """Every well-formed line (memberships count on each of them)."""
+    return _parse_groups(_active(blocks, tag))
+
+
+def _last_groups(blocks: DataFrame, tag: str) -> DataFrame:
+    valid = r"^(?!#)[^:]*:[^:]*:[^:]*:[^:]*$"
+    rows = keyed_lines(block(blocks, tag), lambda l: F.when(strip(l).rlike(valid), F.substring_index(strip(l), ":", 1)))
+    return _parse_groups(rows).withColumn("group_type", group_type("groupname", "gid"))
+
+
 def run_groups(blocks: DataFrame) -> DataFrame:
-    rows = group_lines(blocks, "etc_group").withColumn("group_type", group_type("groupname", "gid"))
-    return last_wins(rows, ["run_id", "groupname"]).drop("line_no")
+    return _last_groups(blocks, "etc_group").drop("line_no")
 
 
 def run_priv_groups(blocks: DataFrame) -> DataFrame:
-    rows = group_lines(blocks, "priv_groups").withColumn("group_type", group_type("groupname", "gid"))
-    return last_wins(rows, ["run_id", "groupname"]).select(
+    return _last_groups(blocks, "priv_groups").select(
         "run_id", "groupname", "gid", "members_csv", F.lit("getent").alias("source"), "group_type")
 
 
@@ -61,9 +68,9 @@ def run_group_members(blocks: DataFrame, users: DataFrame) -> DataFrame:
 def run_passwd_status(blocks: DataFrame) -> DataFrame:
     t = tokens("line")
     names = ["username", "status_code", "last_change", "min_age", "max_age", "warn", "inactive", "expire"]
-    rows = lines(block(blocks, "passwd_status")).filter(F.size(t) >= 2)
-    return last_wins(rows.select("run_id", "line_no", *[at(t, i).alias(n) for i, n in enumerate(names)]),
-                     ["run_id", "username"]).drop("line_no")
+    key = lambda l: F.when(F.size(tokens(l)) >= 2, at(tokens(l), 0))
+    rows = keyed_lines(block(blocks, "passwd_status"), key)
+    return rows.select("run_id", *[at(t, i).alias(n) for i, n in enumerate(names)])
 
 
 def run_who_lines(blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions.scalars import human_size_to_bytes, usb_class_label
 from fleetlens.functions.text import (
-    RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, first_n, last_wins, last_wins_unless_null, lines,
+    RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, keyed_lines, last_wins, last_wins_unless_null, lines,
     rstrip, split_pair, starts_with_any, strip, to_int, to_long, tokens,
 )
 
@@ -51,15 +51,16 @@ def run_block_devices(blocks: DataFrame) -> DataFrame:
 
 def run_df_mounts(blocks: DataFrame) -> DataFrame:
     t = F.split("raw", r"\s+", 6)
-    header = F.contains("raw", F.lit("1B-blocks")) | F.contains("raw", F.lit("1K-blocks")) | F.col("raw").startswith("Filesystem")
-    rows = lines(block(blocks, "df_B1")).filter(~header & (F.size(t) == 6))
+    header = lambda l: F.contains(l, F.lit("1B-blocks")) | F.contains(l, F.lit("1K-blocks")) | l.startswith("Filesystem")
+    cells = lambda l: F.split(l, r"\s+", 6)
+    key = lambda l: F.when(~header(l) & (F.size(cells(l)) == 6), F.concat_ws(" ", at(cells(l), 0), strip(at(cells(l), 5))))
+    rows = keyed_lines(block(blocks, "df_B1"), key)
     nums = [to_long(at(t, i)) for i in (1, 2, 3)]
     good = nums[0].isNotNull() & nums[1].isNotNull() & nums[2].isNotNull()
-    typed = rows.select(
-        "run_id", "line_no", at(t, 0).alias("filesystem"),
+    return rows.select(
+        "run_id", at(t, 0).alias("filesystem"),
         *[F.when(good, n).alias(c) for n, c in zip(nums, ["size_bytes", "used_bytes", "avail_bytes"])],
         at(t, 4).alias("use_pct"), strip(at(t, 5)).alias("mountpoint"))
-    return last_wins(typed, ["run_id", "filesystem", "mountpoint"]).drop("line_no")
 
 
 def run_gpu_devices(blocks: DataFrame) -> DataFrame:
@@ -115,9 +116,11 @@ def run_usb_devices(blocks: DataFrame, max_devices: int = C.USB_MAX_DEVICES) ->
     """USB devices with their device descriptor (first lines only, up to the configuration descriptor)."""
     head = first_line("chunk")
     pattern = r"^[ \t]*Bus (\S+) Device (\S+): ID (\S+)\s*(.*)$"
-    parts = chunks(block(blocks, "lsusb_v"), r"[ \t]*Bus ").filter(
-        head.rlike(pattern) & (F.size(tokens(head)) >= 7))
-    ranked = first_n(parts, ["run_id"], max_devices, "chunk_no") if max_devices else parts
+    is_device = lambda c: F.substring_index(c, "\n", 1).rlike(pattern) & (F.size(tokens(F.substring_index(c, "\n", 1))) >= 7)
+    devices = F.filter(F.split("output_text", r"(?m)^(?=[ \t]*Bus )"), is_device)
+    if max_devices:
+        devices = F.slice(devices, 1, max_devices)
+    ranked = block(blocks, "lsusb_v").select(*RUN_COLS, F.posexplode(devices).alias("chunk_no", "chunk"))
     body = F.regexp_extract("chunk", r"(?s)Device Descriptor:[^\n]*\n(.*)", 1)
     body = F.regexp_replace(body, r"(?ms)^[ \t]*Configuration Descriptor:.*", "")
     body = F.concat(F.lit("\n"), F.array_join(F.slice(F.split(body, "\n"), 1, C.USB_MAX_DESCRIPTOR_LINES), "\n"))
@@ -142,44 +145,56 @@ def run_usb_devices(blocks: DataFrame, max_devices: int = C.USB_MAX_DEVICES) ->
     return last_wins_unless_null(rows, ["run_id", *keys], keys, "chunk_no").drop("chunk_no")
 
 
-def lsmod_lines(blocks: DataFrame) -> DataFrame:
-    t = tokens("line")
-    rest = F.array_join(F.slice(t, 4, F.greatest(F.size(t) - 3, F.lit(0))), " ")
-    return lines(block(blocks, "lsmod"), distinct=True).filter(~F.col("raw").startswith("Module ") & (F.size(t) >= 3)).select(
-        "run_id", "line_no", at(t, 0).alias("module"), to_int(at(t, 1)).alias("size"),
-        to_int(at(t, 2)).alias("used_by_count"), rest.alias("used_by"), F.col("raw").alias("raw_line"))
+def _modules(text: str = "output_text"):
+    """lsmod rows of a block as an array of structs."""
+
+    def parse(l):
+        t = tokens(l)
+        rest = F.array_join(F.slice(t, 4, F.greatest(F.size(t) - 3, F.lit(0))), " ")
+        return F.struct(at(t, 0).alias("module"), to_int(at(t, 1)).alias("size"), to_int(at(t, 2)).alias("used_by_count"),
+                        rest.alias("used_by"), rstrip(l).alias("raw_line"))
+
+    return F.transform(F.filter(F.split(text, "\n"), lambda l: ~l.startswith("Module ") & (F.size(tokens(l)) >= 3)), parse)
 
 
 def run_lsmod(blocks: DataFrame, max_modules: int | None = C.LSMOD_MAX_MODULES) -> DataFrame:
     """Loaded modules. A run with more than `max_modules` keeps the used, unusual or long-named ones, then the
-    first `max_modules`; pass None to keep every module."""
-    from pyspark.sql import Window
-
-    rows = lsmod_lines(blocks)
+    first `max_modules`; pass None to keep every module. The bound is applied inside the block."""
+    rows = block(blocks, "lsmod").select("run_id", _modules().alias("m"))
+    kept = F.col("m")
     if max_modules:
-        notable = (
-            (F.coalesce("used_by_count", F.lit(0)) > 0)
-            | ~starts_with_any(F.col("module"), C.LSMOD_COMMON_PREFIXES)
-            | (F.length("module") > 20)
+        notable = lambda x: (
+            (F.coalesce(x["used_by_count"], F.lit(0)) > 0)
+            | ~starts_with_any(x["module"], C.LSMOD_COMMON_PREFIXES)
+            | (F.length(x["module"]) > 20)
         )
-        total = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
-        rows = rows.withColumn("_over", total > max_modules).filter(~F.col("_over") | notable)
-        rank = F.row_number().over(Window.partitionBy("run_id").orderBy("line_no"))
-        rows = rows.withColumn("_rank", rank).filter(~F.col("_over") | (F.col("_rank") <= max_modules)).drop("_over", "_rank")
-    return rows.drop("line_no")
+        kept = F.when(F.size("m") > max_modules, F.slice(F.filter("m", notable), 1, max_modules)).otherwise(F.col("m"))
+    return rows.select("run_id", F.inline(F.array_distinct(kept)))
 
 
 def run_modinfo_kv(blocks: DataFrame, max_rows: int | None = C.MODINFO_MAX_ROWS) -> DataFrame:
-    """Selected modinfo fields of loaded modules, the first `max_rows` per run."""
-    parts = chunks(block(blocks, "modinfo_all"), "# modinfo ").filter(F.col("chunk").startswith("# modinfo "))
-    parts = parts.select(*RUN_COLS, "chunk_no", strip(F.substr(first_line("chunk"), F.lit(11))).alias("module"), "chunk")
-    pairs = split_pair(lines(parts, "chunk", keep=("module", "chunk_no")), ":", keep=("module", "chunk_no", "line_no"))
-    pairs = pairs.filter(~((F.col("line_no") == 1) & F.col("k").startswith("# modinfo")) & F.lower("k").isin(C.MODINFO_FIELDS))
-    loaded = lsmod_lines(blocks).select("run_id", "module").distinct()
-    kept = pairs.join(loaded, ["run_id", "module"], "left_semi")
+    """Selected modinfo fields of loaded modules, the first `max_rows` per run.
+
+    One join by run brings the loaded module names to the modinfo text; filtering,
+    the bound and deduplication then happen inside the row.
+    """
+    names = F.array_distinct(F.transform(_modules(), lambda m: m["module"]))
+    loaded = block(blocks, "lsmod").select("run_id", names.alias("loaded"))
+    both = block(blocks, "modinfo_all").select("run_id", "output_text").join(loaded, "run_id")
+    module_of = lambda c: strip(F.substr(F.substring_index(c, "\n", 1), F.lit(11)))
+    wanted = lambda c: c.startswith("# modinfo ") & F.array_contains("loaded", module_of(c))
+
+    def fields(c):
+        body = F.filter(F.split(c, "\n"), lambda l: F.contains(l, F.lit(":")) & ~l.startswith("# modinfo "))
+        pair = lambda l: F.struct(
+            module_of(c).alias("module"), strip(F.substring_index(l, ":", 1)).alias("k"),
+            strip(F.substr(l, F.instr(l, ":") + 1)).alias("v"))
+        return F.filter(F.transform(body, pair), lambda x: F.lower(x["k"]).isin(C.MODINFO_FIELDS))
+
+    found = F.flatten(F.transform(F.filter(F.split("output_text", r"(?m)^(?=# modinfo )"), wanted), fields))
     if max_rows:
-        kept = first_n(kept, ["run_id"], max_rows, "chunk_no", "line_no")
-    return kept.select("run_id", "module", "k", "v").distinct()
+        found = F.slice(found, 1, max_rows)
+    return both.select("run_id", F.inline(F.array_distinct(found)))
 
 
 def run_ntp_servers(blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions.scalars import dmi_value, human_size_to_bytes
 from fleetlens.functions.text import (
-    literal_map, RUN_COLS, at, blank_to_null, block, extract, first_line, last_wins, lines, split_pair, strip, tokens,
+    RUN_COLS, at, blank_to_null, block, extract, first_line, keyed_lines, last_wins, lines, literal_map, pair_key, split_pair,
+    strip, tokens, word_key,
 )
 
 
@@ -38,8 +39,8 @@ def colon_pairs(blocks: DataFrame, *tags: str) -> DataFrame:
 # ---- key/value tables -----------------------------------------------------------------------------------
 
 def run_os_release_kv(blocks: DataFrame) -> DataFrame:
-    rows = split_pair(lines(block(blocks, "etc_release")), "=")
-    return kv_table(rows.withColumn("v", F.btrim("v", F.lit('"'))))
+    rows = split_pair(keyed_lines(block(blocks, "etc_release"), pair_key("=")), "=")
+    return rows.select("run_id", "k", F.btrim("v", F.lit('"')).alias("v"))
 
 
 def run_kernel_cmdline_kv(blocks: DataFrame) -> DataFrame:
@@ -59,30 +60,30 @@ def run_kernel_cmdline_kv(blocks: DataFrame) -> DataFrame:
 
 
 def run_sysctl_kv(blocks: DataFrame) -> DataFrame:
-    return kv_table(split_pair(lines(block(blocks, "sysctl_hardening")), "="))
+    return split_pair(keyed_lines(block(blocks, "sysctl_hardening"), pair_key("=")), "=").select("run_id", "k", "v")
 
 
 def run_audit_status(blocks: DataFrame) -> DataFrame:
-    return kv_table(word_pairs(lines(block(blocks, "auditctl_s"))).filter("v <> ''"))
+    key = lambda l: F.when(F.size(tokens(l)) > 1, at(tokens(l), 0))
+    return word_pairs(keyed_lines(block(blocks, "auditctl_s"), key)).select("run_id", "k", "v")
 
 
 def run_login_defs_kv(blocks: DataFrame) -> DataFrame:
-    return kv_table(word_pairs(lines(block(blocks, "login_defs")).filter(~F.col("line").startswith("#"))))
+    return word_pairs(keyed_lines(block(blocks, "login_defs"), word_key)).select("run_id", "k", "v")
 
 
 def run_sshd_config_kv(blocks: DataFrame) -> DataFrame:
-    return kv_table(word_pairs(lines(block(blocks, "sshd_T")).filter(~F.col("line").startswith("#"))))
+    return word_pairs(keyed_lines(block(blocks, "sshd_T"), word_key)).select("run_id", "k", "v")
 
 
 def run_selinux_status(blocks: DataFrame) -> DataFrame:
-    return kv_table(colon_pairs(blocks, "sestatus"))
+    return split_pair(keyed_lines(block(blocks, "sestatus"), pair_key(":")), ":").select("run_id", "k", "v")
 
 
 def run_selinux_booleans(blocks: DataFrame) -> DataFrame:
-    rows = split_pair(lines(block(blocks, "getsebool_a")), "-->").filter("v <> ''")
-    rows = rows.withColumn("v", F.lower(at(tokens("v"), 0)))
-    return last_wins(rows, ["run_id", "k"]).select(
-        "run_id", F.col("k").alias("boolean_name"), F.col("v").alias("state"))
+    key = lambda l: F.when(l.rlike(r"-->\s*\S"), pair_key("-->")(l))
+    rows = split_pair(keyed_lines(block(blocks, "getsebool_a"), key), "-->")
+    return rows.select("run_id", F.col("k").alias("boolean_name"), F.lower(at(tokens("v"), 0)).alias("state"))
 
 
 # ---- one row per run --------------------------------------------------------------------------------------
@@ -272,7 +273,7 @@ def sudo_rule_lines(blocks: DataFrame) -> DataFrame:
 
 
 def run_facts(blocks: DataFrame) -> DataFrame:
-    host = kv_table(colon_pairs(blocks, "hostnamectl")).filter("k IN ('Operating System', 'Kernel') AND v <> ''")
+    host = split_pair(keyed_lines(block(blocks, "hostnamectl"), pair_key(":")), ":").filter("k IN ('Operating System', 'Kernel') AND v <> ''")
     os_facts = _fact(host, "os", F.lower(F.regexp_replace("k", " ", "_")), "v")
     boot = _fact(run_kernel_cmdline_kv(blocks).filter(F.col("k").isin(C.BOOT_FACT_KEYS)), "boot", "k", "v")
     sshd = _fact(run_sshd_config_kv(blocks).filter(F.col("k").isin(C.SSHD_FACT_KEYS)), "sshd", "k", "v")

@@ -10,7 +10,7 @@ from fleetlens.functions.scalars import (
     audit_id_filter, listing_time_to_utc, permission_octal, process_parts, process_start_to_utc, shell_words, unit_type,
 )
 from fleetlens.functions.text import (
-    literal_map, RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, groups, last_wins, lines, starts_with_any, strip, to_int,
+    literal_map, RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, groups, keyed_lines, last_wins, lines, starts_with_any, strip, to_int,
     to_long, tokens,
 )
 
@@ -57,53 +57,47 @@ def run_pstree_lines(blocks: DataFrame) -> DataFrame:
 # ---- services, packages, containers -----------------------------------------------------------------------
 
 def run_services_systemctl(blocks: DataFrame) -> DataFrame:
-    skip = starts_with_any(F.col("raw"), ["UNIT ", "LOAD ", "  UNIT ", "LIST ", "0 loaded"])
-    cells = F.split("raw", r"\s+", 5)
-    rows = lines(block(blocks, "systemctl_units")).filter(~skip).select("run_id", "line_no", cells.alias("c")).filter(
-        (F.size("c") == 5) & (at(F.col("c"), 0) != ""))
+    skip = lambda l: starts_with_any(l, ["UNIT ", "LOAD ", "  UNIT ", "LIST ", "0 loaded"])
+    key = lambda l: F.when(~skip(l) & (F.size(F.split(l, r"\s+", 5)) == 5), blank_to_null(at(F.split(l, r"\s+", 2), 0)))
+    rows = keyed_lines(block(blocks, "systemctl_units"), key).select("run_id", F.split("raw", r"\s+", 5).alias("c"))
     names = ["unit", "load", "active", "sub", "description"]
-    parsed = rows.select("run_id", "line_no", *[at(F.col("c"), i).alias(n) for i, n in enumerate(names)])
-    return last_wins(parsed, ["run_id", "unit"]).drop("line_no").withColumn("unit_type", unit_type("unit"))
+    return rows.select("run_id", *[at(F.col("c"), i).alias(n) for i, n in enumerate(names)]).withColumn("unit_type", unit_type("unit"))
 
 
-def _systemctl_table(blocks: DataFrame, tag: str, min_cols: int) -> DataFrame:
-    """Rows of a systemctl table as an array of cells (columns are two or more blanks apart)."""
-    skip = starts_with_any(F.col("line"), ["NEXT ", "UNIT FILE", "0 timers listed", "No timers", "UNIT ", "PASS", "--"])
-    return (
-        lines(block(blocks, tag)).filter(~skip)
-        .select("run_id", "line_no", F.split("line", r"\s{2,}").alias("c")).filter(F.size("c") >= min_cols)
-    )
+def _systemctl_table(blocks: DataFrame, tag: str, min_cols: int, key_col: int) -> DataFrame:
+    """Rows of a systemctl table as an array of cells (columns are two or more blanks apart), last per key cell."""
+    skip = lambda s: starts_with_any(s, ["NEXT ", "UNIT FILE", "0 timers listed", "No timers", "UNIT ", "PASS", "--"])
+    cells = lambda l: F.split(strip(l), r"\s{2,}")
+    key = lambda l: F.when(~skip(strip(l)) & (F.size(cells(l)) >= min_cols), at(cells(l), key_col))
+    return keyed_lines(block(blocks, tag), key).filter("line <> ''").select("run_id", F.split("line", r"\s{2,}").alias("c"))
 
 
 def run_systemd_timers(blocks: DataFrame) -> DataFrame:
     c = F.col("c")
     names = ["next", "left", "last", "passed", "unit", "activates"]
-    rows = _systemctl_table(blocks, "systemctl_timers", 6).select(
-        "run_id", "line_no", *[at(c, i).alias(n) for i, n in enumerate(names)], F.array_join(c, "  ").alias("raw_line"))
-    return last_wins(rows, ["run_id", "unit"]).drop("line_no")
+    return _systemctl_table(blocks, "systemctl_timers", 6, 4).select(
+        "run_id", *[at(c, i).alias(n) for i, n in enumerate(names)], F.array_join(c, "  ").alias("raw_line"))
 
 
 def run_systemd_enabled_unit_files(blocks: DataFrame) -> DataFrame:
     c = F.col("c")
-    rows = _systemctl_table(blocks, "systemctl_enabled_unit_files", 2).select(
-        "run_id", "line_no", at(c, 0).alias("unit_file"), at(c, 1).alias("state"),
-        F.coalesce(at(c, 2), F.lit("")).alias("preset"))
-    return last_wins(rows, ["run_id", "unit_file"]).drop("line_no").withColumn("unit_type", unit_type("unit_file"))
+    return _systemctl_table(blocks, "systemctl_enabled_unit_files", 2, 0).select(
+        "run_id", at(c, 0).alias("unit_file"), at(c, 1).alias("state"), F.coalesce(at(c, 2), F.lit("")).alias("preset"),
+        unit_type(at(c, 0)).alias("unit_type"))
 
 
 def run_packages(blocks: DataFrame) -> DataFrame:
     c = F.col("c")
-    dpkg = lines(block(blocks, "dpkg_list")).select("run_id", "line_no", F.split("raw", r"\s+", 5).alias("c")).filter(
-        (F.size("c") == 5) & at(c, 0).isin("ii", "rc", "un", "iF", "iU", "pn")
-    ).select(
-        "run_id", "line_no", F.lit("dpkg").alias("source"), at(c, 1).alias("name"), at(c, 2).alias("version"),
+    # name, version, arch and status are the key: the first four words
+    key = lambda l: extract(l, r"^((?:ii|rc|un|iF|iU|pn)\s+\S+\s+\S+\s+\S+)\s")
+    dpkg = keyed_lines(block(blocks, "dpkg_list"), key).select("run_id", F.split("raw", r"\s+", 5).alias("c")).select(
+        "run_id", F.lit("dpkg").alias("source"), at(c, 1).alias("name"), at(c, 2).alias("version"),
         at(c, 3).alias("arch"), at(c, 0).alias("status"), at(c, 4).alias("summary"))
-    rpm = lines(block(blocks, "rpm_all")).filter(
-        ~F.contains("line", F.lit("command not found")) & ~F.col("line").startswith("rpm:")
-    ).select(
-        "run_id", "line_no", F.lit("rpm").alias("source"), F.col("line").alias("name"), F.lit("").alias("version"),
+    noise = lambda s: F.contains(s, F.lit("command not found")) | s.startswith("rpm:")
+    rpm = keyed_lines(block(blocks, "rpm_all"), lambda l: F.when((strip(l) != "") & ~noise(strip(l)), strip(l))).select(
+        "run_id", F.lit("rpm").alias("source"), F.col("line").alias("name"), F.lit("").alias("version"),
         F.lit("").alias("arch"), F.lit("").alias("status"), F.lit(None).cast("string").alias("summary"))
-    return last_wins(dpkg.unionByName(rpm), ["run_id", "source", "name", "version", "arch", "status"]).drop("line_no")
+    return dpkg.unionByName(rpm)
 
 
 def _container_lines(blocks: DataFrame) -> DataFrame:
@@ -178,10 +172,10 @@ def run_audit_rules(blocks: DataFrame) -> DataFrame:
 def run_ssh_host_keys(blocks: DataFrame) -> DataFrame:
     pattern = r"^(\d+)\s+(\S+)\s+(\S+)\s+\(([^)]+)\)$"
     g = lambda i: F.regexp_extract("line", pattern, i)
-    rows = lines(block(blocks, "ssh_hostkey_fps")).filter(F.col("line").rlike(pattern)).select(
-        "run_id", "line_no", to_int(g(1)).alias("bits"), g(2).alias("fingerprint"), g(3).alias("key_file"),
+    key = lambda l: F.when(strip(l).rlike(pattern), F.concat_ws(" ", F.regexp_extract(strip(l), pattern, 4), F.regexp_extract(strip(l), pattern, 2)))
+    return keyed_lines(block(blocks, "ssh_hostkey_fps"), key).select(
+        "run_id", to_int(g(1)).alias("bits"), g(2).alias("fingerprint"), g(3).alias("key_file"),
         g(4).alias("key_type"), F.col("line").alias("raw_line"))
-    return last_wins(rows, ["run_id", "key_type", "fingerprint"]).drop("line_no")
 
 
 def run_ld_preload_entries(blocks: DataFrame) -> DataFrame:
