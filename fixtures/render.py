@@ -223,7 +223,9 @@ def rendered(spark: SparkSession, sf_dir: str, tags: tuple[str, ...]) -> DataFra
     key = (spark.sparkContext.applicationId, sf_dir, tags)
     if key not in _rendered:
         path = f"{shared_folder(spark)}/rendered-{spark.sparkContext.applicationId}-{len(_rendered)}"
-        render(spark, sf_dir, list(tags)).write.mode("overwrite").parquet(path)
+        # as many files as a snapshot folder would give tasks; small results would end up in one file
+        files = render(spark, sf_dir, list(tags)).repartition(2 * spark.sparkContext.defaultParallelism)
+        files.write.mode("overwrite").parquet(path)
         _rendered[key] = path
     return spark.read.schema("path string, content binary, length bigint").parquet(_rendered[key])
 

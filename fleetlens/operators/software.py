@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
@@ -37,11 +37,25 @@ def process_lines(blocks: DataFrame) -> DataFrame:
 
 
 def run_processes(blocks: DataFrame) -> DataFrame:
-    """Process table with the parent's name and path (last row of a pid wins as parent)."""
+    """Process table with the parent's name and path (last row of a pid wins as parent).
+
+    Every process appears twice, under its own pid as a possible parent and under
+    its ppid as a child; both meet in one window. The text is parsed once and
+    shuffled once, where a self-join would do both twice.
+    """
     rows = process_lines(blocks)
-    parents = rows.filter("pid <> 0").groupBy("run_id", F.col("pid").alias("ppid")).agg(
-        F.max_by(F.struct("process_name", "process_path"), "line_no").alias("parent"))
-    return rows.join(parents, ["run_id", "ppid"], "left").select(
+    both = rows.select("*", F.explode(F.array(
+        F.struct(F.col("pid").alias("key"), F.lit(True).alias("as_parent")),
+        F.struct(F.col("ppid").alias("key"), F.lit(False).alias("as_parent")))).alias("role"))
+    both = both.filter(~F.col("role.as_parent") | (F.col("pid") != 0))
+    as_parent = F.col("role.as_parent")
+    narrow = ["uid", "tty", "stat", "start", "start_normalized_utc", "time", "cmd", "process_arguments", "raw_line"]
+    both = both.select(
+        "run_id", "line_no", "pid", "ppid", "process_name", "process_path", F.col("role.key").alias("key"), as_parent.alias("as_parent"),
+        *[F.when(~as_parent, F.col(c)).alias(c) for c in narrow])
+    offered = F.when(F.col("as_parent"), F.struct("process_name", "process_path"))
+    parent = F.max_by(offered, F.when(F.col("as_parent"), F.col("line_no"))).over(Window.partitionBy("run_id", "key"))
+    return both.withColumn("parent", parent).filter(~F.col("as_parent")).select(
         "run_id", "pid", "ppid", "uid", "tty", "stat", "start", "start_normalized_utc", "time", "cmd",
         "process_name", "process_path", "process_arguments",
         F.coalesce("parent.process_name", F.lit("")).alias("parent_process_name"),
