@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import lang_nb, simhash_pivot
+from fleetlens.llm import bpe_tree, lang_nb, simhash_pivot, spaced_seed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = bpe_tree.round_trip(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pivot.classes(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_pivot.hex_of().alias("fingerprint"), "component_id")
@@ -24,8 +33,14 @@ def op8_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_nb.identify(_read(spark, sf_dir, "documents"))
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_bpe_tree": op3_bpe_tree,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op8_language_nb": op8_language_nb,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 SQL: dict[str, str] = {}
