@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe_tree, lang_nb, simhash_pivot, spaced_seed
+from fleetlens.llm import bpe_tree, lang_nb, quality_mil, simhash_pivot, spaced_seed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_pivot.hex_of().alias("fingerprint"), "component_id")
 
 
+def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_nb.identify(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_bpe_tree": op3_bpe_tree,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op6_attention_mil": op6_attention_mil,
     "op8_language_nb": op8_language_nb,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
