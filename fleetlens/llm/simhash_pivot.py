@@ -7,10 +7,10 @@ under the coordinates of each choice of 3 bands (20 choices for radius 3), and n
 compared by their coordinates over all 64 bits: a pair whose largest coordinate difference is over the radius is discarded (triangle
 inequality), and survivors are verified by their true distance.
 
-Equal fingerprints are one vertex, so copies cost nothing. A table cell with more than HOT_CELL fingerprints is divided again, exactly: of the
-bits that may still differ, one half has (RADIUS / 2) differences or fewer, so its rows meet under each half with each choice of that
-many bits left out. What is left in a divided cell is bounded by the number of different fingerprints it can hold. Tasks return the
-spanning forest of the links they saw, never all pairs.
+Equal fingerprints are one vertex, so copies cost nothing. A table cell with more than HOT_CELL rows is divided again, exactly: of the bits
+that may still differ, one half has RADIUS / 2 differences or fewer, so its rows meet under each half with each choice of that many
+bits left out. What is left in a divided cell is bounded by the number of different fingerprints it can hold (2**17 for radius 3).
+Tasks return the spanning forest of the links they saw, never all pairs.
 """
 
 from __future__ import annotations
@@ -45,31 +45,35 @@ def references(n: int, key: int) -> np.ndarray:
     return np.random.default_rng([SEED, key]).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """Majority of the XXH64 bits of all word shingles, repeats included; 0 if there is no word."""
+def fingerprint(text: bytes | None, words: int = WORDS, prints: int = 1) -> list[int]:
+    """Majority of the hash bits of all word shingles, repeats included; zeros if there is no word. The first print takes XXH64 as it is, others mix it."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return [0] * prints
     size = min(words, len(found))
-    ones, total = np.zeros(64, np.int64), len(found) - size + 1
+    ones, total = np.zeros((prints, 64), np.int64), len(found) - size + 1
     for start in range(0, total, WORD_STEP):
         part = found[start : min(start + WORD_STEP, total) + size - 1]
-        hashes = [xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(part[k:] for k in range(size)), strict=False)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*(part[k:] for k in range(size)), strict=False)], "<u8")
+        for k in range(prints):
+            if k:
+                hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+                hashes ^= hashes >> np.uint64(29)
+            ones[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > total, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long) of every row. Null and empty texts get 0."""
+def fingerprints(docs: DataFrame, words: int = WORDS, prints: int = 1) -> DataFrame:
+    """(doc_id, fp0, fp1, ... long) of every row. Null and empty texts get 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    names = [f"fp{k}" for k in range(prints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            found = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t, words, prints) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, prints)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c.view(np.int64)) for c in np.ascontiguousarray(found.T)]], ["doc_id", *names])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{n} long" for n in names]]))
 
 
 def coordinates(fps: np.ndarray, mask: int, refs: np.ndarray) -> np.ndarray:
@@ -97,13 +101,21 @@ def choices(radius: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(band_masks(radius + 3), 3)]
 
 
-def _cells(radius: int):
+_ROW = "cell long, choice int, fp long, id long"
+
+
+def _rows(cells: np.ndarray, choice: int, fps: np.ndarray, ids) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(np.full(len(fps), choice, np.int32)), pa.array(fps.view(np.int64)), pa.array(ids)], ["cell", "choice", "fp", "id"])
+
+
+def _cells(radius: int, prints: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks, refs = choices(radius), references(BAND_REFERENCES, 1)
+        masks = choices(radius)
         for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(cell(fps, mask, refs).view(np.int64)), pa.array(np.full(len(fps), k, np.int32)), batch.column("fp")], ["cell", "choice", "fp"])
+            for n in range(prints):
+                fps, refs = batch.column(f"fp{n}").to_numpy().view(np.uint64), references(BAND_REFERENCES, 10 + n)
+                for k, mask in enumerate(masks):
+                    yield _rows(cell(fps, mask, refs), k, fps, batch.column("id"))
 
     return run
 
@@ -112,16 +124,15 @@ def _divided(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks, refs = choices(radius), references(BAND_REFERENCES, 2)
         for batch in batches:
-            all_fps, all_cells, kinds = (batch.column(c).to_numpy() for c in ("fp", "cell", "choice"))
+            all_fps, all_cells, kinds, all_ids = (batch.column(c).to_numpy() for c in ("fp", "cell", "choice", "id"))
             for kind in np.unique(kinds):
                 some = kinds == kind
-                fps, cells = all_fps[some], all_cells[some].view(np.uint64)
+                fps, cells, ids = all_fps[some].view(np.uint64), all_cells[some].view(np.uint64), all_ids[some]
                 free = [b for b in range(64) if not masks[kind] >> b & 1]
                 for half in (free[: len(free) // 2], free[len(free) // 2 :]):
                     for out in itertools.combinations(half, radius // 2):
                         mask = sum(1 << b for b in half if b not in out)
-                        sub = (cells ^ cell(fps.view(np.uint64), mask, refs)) * _MIX
-                        yield pa.RecordBatch.from_arrays([pa.array(sub.view(np.int64)), pa.array(np.full(len(fps), kind, np.int32)), pa.array(fps)], ["cell", "choice", "fp"])
+                        yield _rows((cells ^ cell(fps, mask, refs)) * _MIX, kind, fps, ids)
 
     return run
 
@@ -134,26 +145,32 @@ def _near(a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray, radius:
     return at[np.bitwise_count(a[at] ^ b[at]) <= radius]
 
 
-def linked(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of one cell, for rows in the order of their cells, as a spanning forest."""
-    table = coordinates(fps, 2**64 - 1, references(REFERENCES, 3)).astype(np.int16)
+def linked(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ids of one cell, for rows in the order of cell and fingerprint, as a spanning forest."""
+    again = np.concatenate([[False], (cells[1:] == cells[:-1]) & (fps[1:] == fps[:-1])])
+    at = np.flatnonzero(~again)
+    first = np.repeat(at, np.diff(np.append(at, len(cells))))
+    found = [(ids[first[again]], ids[again])]  # equal fingerprints; the first stands for all
+    cells, fps, ids = cells[at], fps[at], ids[at]
     starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     sizes = np.diff(np.append(starts, len(cells)))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    several = np.repeat(sizes > 1, sizes)
+    cells, fps, ids, sizes = cells[several], fps[several], ids[several], sizes[sizes > 1]
+    if not len(cells):
+        return forest(*found[0])
+    starts = np.cumsum(sizes) - sizes
+    table = coordinates(fps, 2**64 - 1, references(REFERENCES, 3)).astype(np.int16)
     held = 0
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal found, held
         ok = _near(fps[i], fps[j], table[i], table[j], radius)
-        found.append((fps[i[ok]], fps[j[ok]]))
+        found.append((ids[i[ok]], ids[j[ok]]))
         held += len(ok)
         if held > 500_000:
-            found = [forest(*map(np.concatenate, zip(*found, strict=True)))]
-            held = 0
+            found, held = [forest(*map(np.concatenate, zip(*found, strict=True)))], 0
 
-    small = np.repeat(sizes <= 64, sizes)
-    at = np.flatnonzero(small)
-    shift = 1
+    at, shift = np.flatnonzero(np.repeat(sizes <= 64, sizes)), 1
     while True:
         i = at[at + shift < len(cells)]
         i = i[cells[i] == cells[i + shift]]
@@ -173,64 +190,60 @@ def linked(cells: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
             i = np.repeat(own, many)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
             add(rows[i], rows[j])
-    return forest(*map(np.concatenate, zip(*found, strict=True))) if found else (fps[:0], fps[:0])
+    return forest(*map(np.concatenate, zip(*found, strict=True)))
 
 
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = b = np.empty(0, np.uint64)
-        rest_c, rest_f = np.empty(0, np.int64), np.empty(0, np.uint64)
+        a = b = np.empty(0, np.int64)
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
 
-        def seen(cells, fps):
+        def seen(cells, fps, ids):
             nonlocal a, b
-            x, y = linked(cells, fps, radius)
+            x, y = linked(cells, fps.view(np.uint64), ids, radius)
             a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
 
         for batch in batches:
-            cells = np.concatenate([rest_c, batch.column("cell").to_numpy()])
-            fps = np.concatenate([rest_f, batch.column("fp").to_numpy().view(np.uint64)])
-            cut = np.searchsorted(cells, cells[-1]) if len(cells) else 0  # the last cell may go on
-            if cut:
-                seen(cells[:cut], fps[:cut])
-            rest_c, rest_f = cells[cut:], fps[cut:]
-        if len(rest_c):
-            seen(rest_c, rest_f)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            rest = [np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("cell", "fp", "id"), strict=True)]
+            if len(rest[0]) < 200_000 and batch.num_rows:
+                continue
+            if cut := int(np.searchsorted(rest[0], rest[0][-1])):  # the last cell may go on
+                seen(*(r[:cut] for r in rest))
+                rest = [r[cut:] for r in rest]
+        if len(rest[0]):
+            seen(*rest)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> DataFrame:
-    """Links (a, b) between fingerprints (fp, all different) of radius bits or fewer, thinned to forests that keep every component."""
-    cells = stored(distinct.select("fp").mapInArrow(_cells(radius), "cell long, choice int, fp long"), "simhash-cells")
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    cells = stored(cells.join(shared, "cell"), "simhash-shared")
-    fine = cells.filter(F.col("n") <= hot_cell).select("cell", "fp")
-    hot = cells.filter(F.col("n") > hot_cell).mapInArrow(_divided(radius), "cell long, choice int, fp long").select("cell", "fp")
-    dealt = fine.union(hot).repartition("cell").sortWithinPartitions("cell")
+def links(vertices: DataFrame, radius: int = RADIUS, prints: int = 1, hot_cell: int = HOT_CELL) -> DataFrame:
+    """Links (a, b) between ids of vertices (id, fp0, fp1, ...) of which one print differs in radius bits or fewer, thinned to forests that keep every
+    component."""
+    cells = vertices.mapInArrow(_cells(radius, prints), _ROW)
+    hot = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > hot_cell).select("cell"), "simhash-hot")
+    if not hot.isEmpty():
+        cells = cells.join(hot.withColumn("is_hot", F.lit(True)), "cell", "left")
+        fine = cells.filter("is_hot IS NULL").select("cell", "choice", "fp", "id")
+        cells = fine.union(cells.filter("is_hot").select("cell", "choice", "fp", "id").mapInArrow(_divided(radius), _ROW))
+    dealt = cells.select("cell", "fp", "id").repartition("cell").sortWithinPartitions("cell", "fp")
     return dealt.mapInArrow(_links(radius), "a long, b long")
 
 
-def classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, hot_cell: int = HOT_CELL) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs (doc_id, text): component_id is the smallest doc_id that links reach.
+def classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, prints: int = 1, hot_cell: int = HOT_CELL) -> DataFrame:
+    """(doc_id, fp0, ..., component_id) of every row of docs (doc_id, text): component_id is the smallest doc_id that links reach.
 
-    Rows with a null doc_id keep their fingerprint and get a null component_id. Repeated rows come back repeated. An empty table gives
-    no rows.
+    Rows with a null doc_id keep their fingerprint, link with nothing and get a null component_id. Repeated rows come back repeated. An empty table
+    gives no rows.
     """
-    prints = stored(fingerprints(docs, words), "simhash-prints")
-    distinct = stored(prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    joined = components(links(distinct, radius, hot_cell), "simhash")
-    of = distinct.join(joined, distinct["fp"] == joined["id"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    of = stored(of, "simhash-roots")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    spread = least.select("root", "component_id", F.explode(salts(SALTS)).alias("salt"))
-    named = of.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"]).select("fp", "component_id")
-    named = named.select("fp", "component_id", F.explode(salts(SALTS)).alias("salt"))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(named, ["fp", "salt"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def hex_of(fp: str = "fp"):
-    return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+    names = [f"fp{k}" for k in range(prints)]
+    marked = stored(fingerprints(docs, words, prints), "simhash-prints")
+    vertices = stored(marked.filter("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("id")), "simhash-vertices")
+    joined = components(links(vertices, radius, prints, hot_cell), "simhash")
+    named = vertices.join(joined, "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"), F.explode(salts(SALTS)).alias("salt"))
+    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(named, [*names, "salt"], "left").select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def hex_of(fp: str = "fp0"):
+    return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
