@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe_tree, lang_nb, quality_mil, simhash_pivot, spaced_seed
+from fleetlens.llm import bpe_tree, dac_tokens, lang_nb, quality_mil, simhash_pivot, spaced_seed
+from fleetlens.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,12 @@ def op6_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "dac")
+    dac_tokens.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
+    return dac_tokens.read(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_nb.identify(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op3_bpe_tree": op3_bpe_tree,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op6_attention_mil": op6_attention_mil,
+    "op7_dac_tokens": op7_dac_tokens,
     "op8_language_nb": op8_language_nb,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
