@@ -57,3 +57,10 @@ def salts(n: int) -> Column:
     return F.array(*[F.lit(i) for i in range(n)])
 
 
+
+
+def salted_join(large: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner", n: int = 16) -> DataFrame:
+    """Equi-join in which each key's rows of `large` are dealt over n tasks by the column spread_by, and the rows of `small` are repeated n times."""
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(n)).cast("int"))
+    right = small.withColumn("_salt", F.explode(salts(n)))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

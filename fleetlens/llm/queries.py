@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe_tree, dac_tokens, lang_nb, quality_mil, simhash_pivot, spaced_seed
+from fleetlens.llm import bpe_tree, dac_tokens, hnsw_dedup, lang_nb, quality_mil, simhash_pivot, spaced_seed, url_reputation, warc_store
 from fleetlens.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,76 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "warc")
+    warc_store.write(_read(spark, sf_dir, "pages"), "page_id", "url", "html", out)
+    found = warc_store.read(spark, out, payload_bytes=F.octet_length("payload").cast("long"), payload_digest=F.sha1("payload"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+_OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS response FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id <> response THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM d LEFT JOIN g USING (payload_digest)
+"""
+
+RULES = [
+    url_reputation.Rule("allow", "com", "/"),
+    url_reputation.Rule("block", "example.com", "/en/"),
+    url_reputation.Rule("allow", "www.example.com", "/en/"),
+    url_reputation.Rule("block", "net", "/es/"),
+    url_reputation.Rule("block", "net", "/fr/"),
+]
+
+
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows a document: its number ends the path. The document's quality label is the outcome of the page."""
+    pages = _read(spark, sf_dir, "pages")
+    number = F.regexp_extract(url_reputation.path_of("url"), r"/([0-9]{1,18})(?:/|\.html)?$", 1)
+    shown = pages.withColumn("n", number).select("url", F.expr("try_cast(n AS BIGINT)").alias("doc_id"))
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    outcomes = shown.join(labels, "doc_id").select("url", "good")
+    return url_reputation.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+_OP2_SQL = f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+q AS (SELECT *, string_split(host, '.') AS parts, TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:/|\\.html)?$', 1) AS BIGINT) AS doc_id FROM p),
+l AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY doc_id),
+h AS (SELECT host, parts, coalesce(sum(good), 0) AS good, CAST(count(good) AS DOUBLE) AS n FROM q LEFT JOIN l USING (doc_id) GROUP BY host, parts),
+hd AS (SELECT *, CASE WHEN len(parts) > k THEN array_to_string(parts[-k:], '.') ELSE host END AS suffix,
+  CASE WHEN len(parts) > k + 1 THEN array_to_string(parts[-(k + 1):], '.') ELSE host END AS domain
+  FROM (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({", ".join(f"'{x}'" for x in url_reputation.LONG_SUFFIXES)}) THEN 2 ELSE 1 END AS k FROM h)),
+d AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hd GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM d GROUP BY suffix),
+kids AS (SELECT 'h' AS level, good, n FROM hd UNION ALL SELECT 'd', good, n FROM d UNION ALL SELECT 's', good, n FROM s),
+sums AS (SELECT level, CAST(sum(CASE WHEN n > 0 THEN 1 END) AS DOUBLE) AS k, sum(n) AS n, sum(good) AS good, sum(CASE WHEN n > 0 THEN n * (good / n) * (good / n) END) AS sq,
+  sum(CASE WHEN n > 0 THEN n * n END) AS nn FROM kids GROUP BY level),
+m AS (SELECT *, good / n AS mean, n - nn / n - (k - 1) AS room FROM sums),
+w AS (SELECT level, CASE WHEN k > 1 AND good > 0 AND good < n AND room > 0 THEN
+  CASE WHEN rho <= 0 THEN {url_reputation.STRONGEST} ELSE least({url_reputation.STRONGEST}, greatest({url_reputation.WEAKEST}, 1 / rho - 1)) END
+  ELSE {url_reputation.USUAL} END AS strength
+  FROM (SELECT *, (sq - n * mean * mean - mean * (1 - mean) * (k - 1)) / (mean * (1 - mean) * room) AS rho FROM m)),
+t AS (SELECT coalesce((sum(good) + 1) / (sum(n) + 2), 0.5) AS top FROM s),
+sm AS (SELECT suffix, (good + top * strength) / (n + strength) AS mean FROM s, t, w WHERE level = 's'),
+dm AS (SELECT domain, (good + mean * strength) / (n + strength) AS mean FROM d JOIN sm USING (suffix), w WHERE level = 'd'),
+ab AS (SELECT host, hd.good + mean * strength AS a, n - hd.good + (1 - mean) * strength AS b FROM hd JOIN dm USING (domain), w WHERE level = 'h'),
+low AS (SELECT host, a / (a + b) - {url_reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM ab),
+r AS (SELECT q.*, low, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM q JOIN low USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN low >= {url_reputation.LEAST} THEN 'allow' ELSE 'block' END AS verdict FROM r
+"""
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     both = bpe_tree.round_trip(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
@@ -44,16 +114,23 @@ def op8_language_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_nb.identify(_read(spark, sf_dir, "documents"))
 
 
+def op9_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seed.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_store": op1_warc_store,
+    "op2_url_reputation": op2_url_reputation,
     "op3_bpe_tree": op3_bpe_tree,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op6_attention_mil": op6_attention_mil,
     "op7_dac_tokens": op7_dac_tokens,
     "op8_language_nb": op8_language_nb,
+    "op9_hnsw_dedup": op9_hnsw_dedup,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc_store": _OP1_SQL, "op2_url_reputation": _OP2_SQL}
