@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe_tree, dac_tokens, hnsw_dedup, lang_nb, quality_mil, simhash_pivot, spaced_seed, url_reputation, warc_store
+from fleetlens.llm import bpe_tree, dac_tokens, hnsw_dedup, lang_nb, license_scan, quality_mil, simhash_pivot, spaced_seed, url_reputation, warc_store
 from fleetlens.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,29 @@ def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+def _op4_sql() -> str:
+    rows = ", ".join(f"({k}, '{a}', '{b}', {c}, {n}, {license_scan.bounds(n, license_scan.LEAST)[0]}, {license_scan.bounds(n, license_scan.LEAST)[1]}, '{license_scan.TEMPLATES[k].license}')" for k, a, b, c, n in license_scan.template_bigrams())
+    return f"""
+WITH t(template, word, next, times, t_size, low, high, license) AS (VALUES {rows}),
+n AS (SELECT doc_id, row_number() OVER () AS row, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')) AS text FROM documents),
+u AS (SELECT doc_id, row, 'line' AS unit, i - 1 AS unit_no, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS parts FROM n))
+  UNION ALL SELECT doc_id, row, 'paragraph', i - 1, replace(parts[i], chr(10), ' ')
+    FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, regexp_split_to_array(text, '\\n\\n+') AS parts FROM n)) WHERE contains(parts[i], chr(10))),
+w AS (SELECT doc_id, row, unit, unit_no, string_split(text, ' ') AS words FROM u),
+s AS (SELECT *, len(words) - 1 AS size FROM w WHERE len(words) > 1),
+b AS (SELECT doc_id, row, unit, unit_no, size, words[i] AS word, words[i + 1] AS next FROM (SELECT *, unnest(range(1, size + 1)) AS i FROM s WHERE size <= (SELECT max(high) FROM t))),
+c AS (SELECT doc_id, row, unit, unit_no, size, template, license, t_size, word, next, times, count(*) AS n FROM b JOIN t USING (word, next) WHERE size BETWEEN low AND high GROUP BY ALL),
+d AS (SELECT doc_id, row, unit, unit_no, size, template, license, t_size, sum(least(n, times)) AS common FROM c GROUP BY ALL),
+e AS (SELECT *, 2.0::DOUBLE * common / (size + t_size) AS dice FROM d)
+SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, template, license, dice FROM e WHERE dice >= {license_scan.LEAST}
+QUALIFY row_number() OVER (PARTITION BY row, unit, unit_no ORDER BY dice DESC, template) = 1
+"""
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pivot.classes(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_pivot.hex_of().alias("fingerprint"), "component_id")
@@ -126,6 +149,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc_store": op1_warc_store,
     "op2_url_reputation": op2_url_reputation,
     "op3_bpe_tree": op3_bpe_tree,
+    "op4_license_scan": op4_license_scan,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op6_attention_mil": op6_attention_mil,
     "op7_dac_tokens": op7_dac_tokens,
@@ -133,4 +157,4 @@ QUERIES: dict[str, Query] = {
     "op9_hnsw_dedup": op9_hnsw_dedup,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
-SQL: dict[str, str] = {"op1_warc_store": _OP1_SQL, "op2_url_reputation": _OP2_SQL}
+SQL: dict[str, str] = {"op1_warc_store": _OP1_SQL, "op2_url_reputation": _OP2_SQL, "op4_license_scan": _op4_sql()}
