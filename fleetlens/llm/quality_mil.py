@@ -68,13 +68,17 @@ def _features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     starts = np.array([a - base for a, _ in spans])
     sizes = np.array([b - a for a, b in spans])
     of = np.repeat(np.arange(n), np.diff(np.append(starts, len(points))))
+    inside = np.arange(len(points)) - starts[of] < sizes[of]  # not the signs between passages
     shape = (kinds[:-2] * 256 + kinds[1:-1] * 16 + kinds[2:]) * 2654435761 % 4294967296 * SHAPES >> 32
     pair = (points[:-1].astype(np.int64) * 65599 + points[1:]) * 2654435761 % 4294967296 * PAIRS >> 32
+
+    def counts(values: np.ndarray, width: int, span: int) -> np.ndarray:
+        own = (of[: len(values)] == of[span:]) & inside[span:]
+        return np.bincount((of[: len(values)] * width + values)[own], minlength=n * width).reshape(n, width) / sizes[:, None]
+
     out = np.empty((n, WIDTH), np.float32)
-    scale = 1 / sizes[:, None]
-    out[:, :SHAPES] = np.sqrt(np.bincount(of[: len(shape)] * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES) * scale)
-    out[:, SHAPES : SHAPES + PAIRS] = np.sqrt(np.bincount(of[: len(pair)] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS) * scale)
-    share = np.bincount(of * 16 + kinds, minlength=n * 16).reshape(n, 16) * scale
+    out[:, :SHAPES], out[:, SHAPES : SHAPES + PAIRS] = np.sqrt(counts(shape, SHAPES, 2)), np.sqrt(counts(pair, PAIRS, 1))
+    share = counts(kinds, 16, 0)
     dense = out[:, SHAPES + PAIRS :]
     dense[:, 0], dense[:, 1], dense[:, 2], dense[:, 3] = share[:, UPPER], share[:, DIGIT], share[:, SPACE], share[:, SIGN:].sum(axis=1)
     dense[:, 4] = np.log1p(sizes)
