@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,10 +20,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not found.isDefined():
+        top = spark.sparkContext.getCheckpointDir()
+    if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = found.get()
+        top = tempfile.mkdtemp(prefix="llm-")  # one machine is all there is
+        spark.sparkContext.setCheckpointDir(top)
     return os.path.join(top, f"{name}-{uuid.uuid4().hex[:12]}")
 
 

@@ -227,7 +227,18 @@ def links(vertices: DataFrame, radius: int = RADIUS, prints: int = 1, hot_cell:
         fine = cells.filter("is_hot IS NULL").select("cell", "choice", "fp", "id")
         cells = fine.union(cells.filter("is_hot").select("cell", "choice", "fp", "id").mapInArrow(_divided(radius), _ROW))
     dealt = cells.select("cell", "fp", "id").repartition("cell").sortWithinPartitions("cell", "fp")
-    return dealt.mapInArrow(_links(radius), "a long, b long")
+    found = dealt.mapInArrow(_links(radius), "a long, b long")
+    # a large group of near copies has a forest in every task: those of several tasks are joined to one
+    tasks = max(4, int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return found.repartition(tasks).mapInArrow(_merged, "a long, b long")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One spanning forest of all links that come in."""
+    a = b = np.empty(0, np.int64)
+    for batch in batches:
+        a, b = forest(np.concatenate([a, batch.column("a").to_numpy()]), np.concatenate([b, batch.column("b").to_numpy()]))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def classes(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, prints: int = 1, hot_cell: int = HOT_CELL) -> DataFrame:
