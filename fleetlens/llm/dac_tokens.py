@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ SEGMENT_IDS = 1 << 16
 RANK_BITS = 512
 END_ID = 1
 #: Words whose ids a worker remembers at most; beyond that it forgets all and begins anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 
 
 class Level:
@@ -130,29 +131,51 @@ def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, Dac]:
 
 class Words:
     """Ids of texts. The tokenizer drops white space and no token spans it, so a text's ids are those of its words one after another; ids of words seen before
-    are remembered."""
+    are remembered. Nor does a token span the end of a run of letters, so a word of letters with signs behind it is put together from the two; letters
+    that need no normal form are lower-cased here and go to the library without its normalizer, which would do just that."""
+
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian u32 ids of each text; null is empty."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        if len(self.known) + len(self.runs) > CACHED_WORDS:
+            self._forget()
+        known, runs = self.known, self.runs
+        plain, rest, new = [], [], {w for words in split for w in words if w not in known}
+        for word in new:
+            if found := self.PLAIN.fullmatch(word):
+                plain.append((word, found[1].lower(), found[2]))
+            else:
+                rest.append(word)
+        self._learn(self.letters, list({run for _, run, _ in plain if run not in runs}), runs)
+        self._learn(self.tokenizer, list({signs for _, _, signs in plain if signs not in runs}), runs)
+        for word, run, signs in plain:
+            known[word] = runs[run] + runs[signs] if signs else runs[run]
+        self._learn(self.tokenizer, rest, known)
         return [b"".join([known[w] for w in words]) for words in split]
 
+    @staticmethod
+    def _learn(tokenizer, words: list[str], into: dict[str, bytes]) -> None:
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
+            for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[word] = struct.pack(f"<{len(ids := found.ids)}I", *ids)
+
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Words:
@@ -213,7 +236,8 @@ def read(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for base, blob in zip(batch.column("start").to_pylist(), batch.column("blob"), strict=True):
                 ids, starts, dac = unpack(blob.as_py())
-                found = [dac.slice(int(a), int(b)).astype("<u4").tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                every = dac.slice(0, int(starts[-1])).astype("<u4").tobytes()  # one range: all documents of the segment
+                found = [every[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(base + starts[:-1]), pa.array(np.diff(starts)), pa.array(found, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return _segments(spark, out).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
