@@ -131,7 +131,7 @@ extraction("run_lshw_devices", union(
     f"SELECT run_id, 2, 'memory', NULL, NULL, NULL, NULL, NULL, NULL, NULL, {s('mem_gb')} || 'GiB', NULL, NULL, NULL, NULL, NULL, '*-memory' FROM fx_host"), drop=("node_no",))
 USB_COLS = """f.bus_number, f.device_number, f.vendor_id, f.product_id, f.device_class, 0 AS device_subclass, NULL::INT AS device_protocol, f.vendor_name, f.product_name,
     '1 Maker Inc' AS manufacturer, NULL AS product, f.serial_number, '2.00' AS usb_version, NULL AS max_power, f.device_class_label"""
-extraction("run_usb_devices", f"SELECT run_id, * EXCLUDE (run_id, rn) FROM (SELECT x.run_id, {USB_COLS}, row_number() OVER (PARTITION BY x.run_id ORDER BY f.k) AS rn FROM {R('fx_usb')}) q WHERE rn <= 50")
+extraction("run_usb_devices", f"SELECT x.run_id, {USB_COLS} FROM {R('fx_usb')}")
 extraction("run_users", f"SELECT x.run_id, f.username, f.uid, f.gid, f.gecos, f.home, f.shell FROM {R('fx_users')}")
 extraction("run_groups", f"SELECT x.run_id, f.groupname, f.gid, f.members_csv, CASE WHEN f.gid >= 1000 THEN 'user' ELSE 'rare' END AS group_type FROM {R('fx_groups')}")
 extraction("run_priv_groups", f"SELECT x.run_id, f.groupname, f.gid, f.members_csv, 'getent' AS source, 'service' AS group_type FROM {R('fx_priv_groups')}")
@@ -203,8 +203,7 @@ PROCESSES = f"""SELECT x.run_id, f.pid, f.ppid, f.uid, '?' AS tty, 'S' AS stat,
 extraction("run_processes", PROCESSES)
 extraction("run_pstree_lines", union("SELECT run_id, 1 AS line_no, 'systemd-+-cron' AS raw_line FROM fx_host", f"SELECT run_id, 2, '        |-sshd-' || {s('nation')} FROM fx_host"))
 MODULES = f"SELECT x.run_id, f.module, f.size, f.used_by_count, f.used_by, rtrim(f.module || '   ' || {s('f.size')} || '  ' || {s('f.used_by_count')} || ' ' || f.used_by) AS raw_line FROM {R('fx_modules')}"
-extraction("run_lsmod", f"""SELECT run_id, module, size, used_by_count, used_by, raw_line FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY module) AS rn FROM
-    (SELECT *, count(*) OVER (PARTITION BY run_id) AS total FROM ({MODULES}) a) b WHERE total <= 200 OR used_by_count > 0 OR module NOT LIKE 'snd\\_%' ESCAPE '\\' OR length(module) > 20) c WHERE total <= 200 OR rn <= 200""")
+extraction("run_lsmod", MODULES)
 extraction("run_modinfo_kv", union(f"SELECT x.run_id, f.module, 'filename' AS k, '/lib/' || f.module || '.ko' AS v FROM {R('fx_modules')}", f"SELECT x.run_id, f.module, 'license', f.license FROM {R('fx_modules')}",
     f"SELECT x.run_id, f.module, 'signer', f.signer FROM {R('fx_modules')}", f"SELECT x.run_id, f.module, 'description', f.description FROM {R('fx_modules')}"))
 FILE_LINE = f"f.perms || ' 1 root adm ' || {s('f.size_bytes')} || ' ' || f.mtime_text || ' ' || f.name || CASE WHEN f.symlink_target IS NOT NULL THEN ' -> ' || f.symlink_target ELSE '' END"

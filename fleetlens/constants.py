@@ -10,7 +10,7 @@ LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 # A header line such as "*****HOST INFO*****".
 SECTION_HEADER = r"\*{5,}.+?\*{5,}[ \t]*"
-INITIAL_SECTION = "LINUX BASELINE"
+INITIAL_SECTION = "PREAMBLE"
 PARSER_VERSION = "1.0.0"
 
 # Snapshot file names: <ip>_YYYYMMDD_HH:MM:SSZ.txt
@@ -126,6 +126,7 @@ LOOP_COMMAND_TAGS = [
     ('for u in $users; do echo "# cat /home/$u/.ssh/known_hosts"', "", "home_known_hosts"),
     ("for m in $mods; do", "modinfo", "modinfo_all"),
 ]
+# A longer slug keeps so many characters and gets a hash of the whole.
 SLUG_LENGTH = 96
 SENSITIVE_TAGS = ["root_bash_history", "printenv"]
 
@@ -170,8 +171,6 @@ USB_CLASS_LABELS = {
 USB_VENDOR_DRIVERS = {
     "1d6b": "usbcore", "8086": "iwlwifi", "8087": "iwlwifi", "0bda": "rtl8xxxu", "0e8d": "mt76x2u",
 }
-USB_MAX_DEVICES = 50
-USB_MAX_DESCRIPTOR_LINES = 20
 
 DMI_PLACEHOLDERS = [
     "to be filled by o.e.m.", "to be filled by oem", "o.e.m.", "oem", "default string",
@@ -187,9 +186,6 @@ PHYSICAL_IFACES = ["eno", "enp", "ens", "eth", "wlan", "wlp", "wl", "usb", "ib"]
 FAKE_HARDWARE_IDS = r"^(?:0+$|123456789|00000000|[f-]+$|none$|null$|n/a$|unknown$)"
 IDENTIFIER_SCORES = {"primary_mac": 100, "dmi_uuid": 90, "hostname": 80, "machine_id": 0, "serial_number": 40}
 
-LSMOD_MAX_MODULES = 200
-LSMOD_COMMON_PREFIXES = ["i2c_", "snd_", "drm_", "fb_", "sys_"]
-MODINFO_MAX_ROWS = 5000
 MODINFO_FIELDS = [
     "license", "signer", "sig_id", "description", "author", "vermagic",
     "filename", "firmware", "alias", "depends", "retpoline", "intree",

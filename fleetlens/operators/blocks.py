@@ -25,7 +25,8 @@ def command_tag(command: Column | str) -> Column:
             hit = hit & F.contains(c, F.lit(word))
         loops = F.when(hit, tag).otherwise(loops)
     slug = F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
-    slug = F.coalesce(blank_to_null(F.substring(slug, 1, C.SLUG_LENGTH)), F.lit("unknown"))
+    short = F.concat_ws("_", F.substring(slug, 1, C.SLUG_LENGTH), F.substring(F.md5(slug.cast("binary")), 1, 16))
+    slug = F.coalesce(blank_to_null(F.when(F.length(slug) > C.SLUG_LENGTH, short).otherwise(slug)), F.lit("unknown"))
     return F.coalesce(F.try_element_at(names, c), loops, slug)
 
 

@@ -53,7 +53,7 @@ def finding_nameservers(network: DataFrame) -> DataFrame:
     servers = F.col("unexpected_nameservers")
     return _finding(
         network.filter(F.size(servers) > 0), "run_network_posture", "medium", "network",
-        F.concat(F.lit("Unexpected nameservers: "), F.array_join(F.slice(servers, 1, 3), ", ")),
+        F.concat(F.lit("Unexpected nameservers: "), F.array_join(servers, ", ")),
         F.format_string("Found %d unexpected nameservers that may indicate DNS hijacking", F.size(servers)))
 
 

@@ -109,21 +109,19 @@ def run_lshw_devices(blocks: DataFrame) -> DataFrame:
         "run_id", F.col("chunk_no").alias("node_no"), "depth", "class", "logical_name", "description", "product",
         "vendor", "physical_id", "bus_info", "slot", "size", "capacity", "serial", "version",
         F.regexp_replace("width", r"\D", "").try_cast("int").alias("width_bits"),
-        (hz * F.when(unit == "G", 10**9).when(unit == "M", 10**6).otherwise(1)).alias("clock_hz"), "raw_line")
+        (hz * F.when(unit == "G", 10**9).when(unit == "M", 10**6).when(unit == "K", 10**3).otherwise(1)).alias("clock_hz"), "raw_line")
 
 
-def run_usb_devices(blocks: DataFrame, max_devices: int = C.USB_MAX_DEVICES) -> DataFrame:
-    """USB devices with their device descriptor (first lines only, up to the configuration descriptor)."""
+def run_usb_devices(blocks: DataFrame) -> DataFrame:
+    """USB devices with their device descriptor (up to the configuration descriptor)."""
     head = first_line("chunk")
     pattern = r"^[ \t]*Bus (\S+) Device (\S+): ID (\S+)\s*(.*)$"
     is_device = lambda c: F.substring_index(c, "\n", 1).rlike(pattern) & (F.size(tokens(F.substring_index(c, "\n", 1))) >= 7)
     devices = F.filter(F.split("output_text", r"(?m)^(?=[ \t]*Bus )"), is_device)
-    if max_devices:
-        devices = F.slice(devices, 1, max_devices)
     ranked = block(blocks, "lsusb_v").select(*RUN_COLS, F.posexplode(devices).alias("chunk_no", "chunk"))
     body = F.regexp_extract("chunk", r"(?s)Device Descriptor:[^\n]*\n(.*)", 1)
     body = F.regexp_replace(body, r"(?ms)^[ \t]*Configuration Descriptor:.*", "")
-    body = F.concat(F.lit("\n"), F.array_join(F.slice(F.split(body, "\n"), 1, C.USB_MAX_DESCRIPTOR_LINES), "\n"))
+    body = F.concat(F.lit("\n"), body)
     d = ranked.select("run_id", "chunk_no", strip(head).alias("head"), body.alias("body"))
     ids = F.regexp_extract("head", pattern, 3)
     last_word = lambda name: extract("body", rf"\n[ \t]*{name}(?:[ \t]+[^\n]*?)?[ \t]+(\S+)[ \t]*(?=\n|$)")
@@ -157,44 +155,24 @@ def _modules(text: str = "output_text"):
     return F.transform(F.filter(F.split(text, "\n"), lambda l: ~l.startswith("Module ") & (F.size(tokens(l)) >= 3)), parse)
 
 
-def run_lsmod(blocks: DataFrame, max_modules: int | None = C.LSMOD_MAX_MODULES) -> DataFrame:
-    """Loaded modules. A run with more than `max_modules` keeps the used, unusual or long-named ones, then the
-    first `max_modules`; pass None to keep every module. The bound is applied inside the block."""
-    rows = block(blocks, "lsmod").select("run_id", _modules().alias("m"))
-    kept = F.col("m")
-    if max_modules:
-        notable = lambda x: (
-            (F.coalesce(x["used_by_count"], F.lit(0)) > 0)
-            | ~starts_with_any(x["module"], C.LSMOD_COMMON_PREFIXES)
-            | (F.length(x["module"]) > 20)
-        )
-        kept = F.when(F.size("m") > max_modules, F.slice(F.filter("m", notable), 1, max_modules)).otherwise(F.col("m"))
-    return rows.select("run_id", F.inline(F.array_distinct(kept)))
+def run_lsmod(blocks: DataFrame) -> DataFrame:
+    """Loaded modules."""
+    return block(blocks, "lsmod").select("run_id", F.inline(F.array_distinct(_modules())))
 
 
-def run_modinfo_kv(blocks: DataFrame, max_rows: int | None = C.MODINFO_MAX_ROWS) -> DataFrame:
-    """Selected modinfo fields of loaded modules, the first `max_rows` per run.
+def run_modinfo_kv(blocks: DataFrame) -> DataFrame:
+    """Selected modinfo fields of loaded modules.
 
-    One join by run brings the loaded module names to the modinfo text; filtering,
-    the bound and deduplication then happen inside the row.
+    Both texts are cut into narrow rows first; the loaded modules of the same run are then found by (run, module).
     """
-    names = F.array_distinct(F.transform(_modules(), lambda m: m["module"]))
-    loaded = block(blocks, "lsmod").select("run_id", names.alias("loaded"))
-    both = block(blocks, "modinfo_all").select("run_id", "output_text").join(loaded, "run_id")
-    module_of = lambda c: strip(F.substr(F.substring_index(c, "\n", 1), F.lit(11)))
-    wanted = lambda c: c.startswith("# modinfo ") & F.array_contains("loaded", module_of(c))
-
-    def fields(c):
-        body = F.filter(F.split(c, "\n"), lambda l: F.contains(l, F.lit(":")) & ~l.startswith("# modinfo "))
-        pair = lambda l: F.struct(
-            module_of(c).alias("module"), strip(F.substring_index(l, ":", 1)).alias("k"),
-            strip(F.substr(l, F.instr(l, ":") + 1)).alias("v"))
-        return F.filter(F.transform(body, pair), lambda x: F.lower(x["k"]).isin(C.MODINFO_FIELDS))
-
-    found = F.flatten(F.transform(F.filter(F.split("output_text", r"(?m)^(?=# modinfo )"), wanted), fields))
-    if max_rows:
-        found = F.slice(found, 1, max_rows)
-    return both.select("run_id", F.inline(F.array_distinct(found)))
+    module = strip(F.substr(F.substring_index("chunk", "\n", 1), F.lit(11)))
+    parts = chunks(block(blocks, "modinfo_all"), "# modinfo ").filter(F.col("chunk").startswith("# modinfo "))
+    pair = lambda l: F.struct(strip(F.substring_index(l, ":", 1)).alias("k"), strip(F.substr(l, F.instr(l, ":") + 1)).alias("v"))
+    body = F.filter(F.split("chunk", "\n"), lambda l: F.contains(l, F.lit(":")) & ~l.startswith("# modinfo "))
+    fields = F.filter(F.transform(body, pair), lambda x: F.lower(x["k"]).isin(C.MODINFO_FIELDS))
+    rows = parts.select("run_id", module.alias("module"), F.inline(F.array_distinct(fields))).distinct()
+    loaded = run_lsmod(blocks).select("run_id", "module")
+    return rows.join(loaded, ["run_id", "module"], "left_semi").select("run_id", "module", "k", "v")
 
 
 def run_ntp_servers(blocks: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def run_process_insights(processes: DataFrame, sockets: DataFrame) -> DataFrame:
     """
     cmd = F.lower("cmd")
     hits = F.array_compact(F.array(*[F.when(cmd.rlike(p), F.lit(i)) for i, p in enumerate(C.SUSPICIOUS_ROOT_COMMANDS)]))
-    text = F.concat(F.lit("PID "), F.coalesce(F.col("pid").cast("string"), F.lit("None")), F.lit(": "), F.substring(cmd, 1, 100), F.lit("..."))
+    text = F.concat(F.lit("PID "), F.coalesce(F.col("pid").cast("string"), F.lit("None")), F.lit(": "), cmd)
     root = processes.filter("uid IN ('0', 'root')").select("run_id", text.alias("text"), F.explode(hits).alias("pattern"))
     odd_port = (F.col("state") == "LISTEN") & (F.col("local_port") > 1024) & ~F.col("local_port").isin(C.KNOWN_PORTS)
     port_text = F.concat(F.lit("Port "), F.col("local_port").cast("string"), F.lit(" listening (unusual)"))
@@ -133,7 +133,7 @@ def run_process_insights(processes: DataFrame, sockets: DataFrame) -> DataFrame:
 
 
 def run_kernel_module_insights(lsmod: DataFrame, modinfo: DataFrame) -> DataFrame:
-    """Modules outside the common set, doubtful licences and signers. Takes the unbounded tables."""
+    """Modules outside the common set, doubtful licences and signers."""
     info = (
         modinfo.select("run_id", "module", F.lower("k").alias("k"), F.trim("v").alias("v"))
         .filter("k IN ('license', 'signer') AND v <> ''")

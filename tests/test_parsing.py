@@ -1,11 +1,13 @@
 """Hand-written blocks: formats, malformed lines, repeated keys, odd line ends and the decisions behind them."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.constants import COMMAND_TAGS
 from fleetlens.operators import accounts, hardware, keyvalue, network, posture, software
-from fleetlens.operators.blocks import split_blocks
+from fleetlens.operators.blocks import command_tag, split_blocks
 from fleetlens.sources import snapshots as src
 
 COMMANDS = {tag: cmd for cmd, tag in reversed(COMMAND_TAGS)}
@@ -28,9 +30,9 @@ def rows(df, *cols):
 
 
 def test_sections_start_with_their_block_and_text_is_kept(spark):
-    b = blocks_of(spark, "before\n*****LINUX  BASELINE*****\n$ a\nout\n=====\n************\n*****HOST *INFO*****\nstray\n$ b\n\n x=1\n==\n$ c\n")
+    b = blocks_of(spark, "before\n*****FIRST  PART*****\n$ a\nout\n=====\n************\n*****HOST *INFO*****\nstray\n$ b\n\n x=1\n==\n$ c\n")
     got = rows(b, "command_index", "section", "command", "output_text")
-    assert got == [(0, "LINUX BASELINE", "a", "out\nstray"), (1, "HOST INFO", "b", " x=1"), (2, "HOST INFO", "c", "")]
+    assert got == [(0, "FIRST PART", "a", "out\nstray"), (1, "HOST INFO", "b", " x=1"), (2, "HOST INFO", "c", "")]
 
 
 def test_line_ends_and_bad_bytes(spark):
@@ -50,7 +52,7 @@ def test_names_that_are_no_snapshots_are_ignored(spark):
 def test_tags(spark):
     b = blocks_of(spark, "$ Foo  --bar=1 | baz\n$ !!!\n$ " + "x" * 200 + "\n$ getcap -r /etc /root 2>/dev/null\n$ " + COMMANDS["modinfo_all"] + "\n")
     tags = [t for _, t in rows(b, "command_index", "command_tag")]
-    assert tags == ["foo_bar_1_baz", "unknown", "x" * 96, "getcap_r", "modinfo_all"]
+    assert tags == ["foo_bar_1_baz", "unknown", "x" * 96 + "_" + hashlib.md5(b"x" * 200).hexdigest()[:16], "getcap_r", "modinfo_all"]
 
 
 def test_first_block_wins_but_getcap_merges_and_chrony_falls_through(spark):
@@ -145,15 +147,17 @@ def test_audit_rules_in_both_syntaxes(spark):
     assert (flags.audit_enabled, flags.audit_immutable, flags.has_critical_auth_rules, flags.has_passwd_rules, flags.has_sudo_rules) == (1, 1, 1, 1, 0)
 
 
-def test_bounds_per_run(spark):
+def test_no_bounds_per_run(spark):
     usb = "\n".join(f"Bus 001 Device {i:03d}: ID 1d6b:{i:04d} Some hub" for i in range(1, 61))
     mods = "\n".join(f"snd_{i:03d} 10 0" for i in range(150)) + "\n" + "\n".join(f"zz_{i:03d} 10 0" for i in range(220))
     info = "\n".join(f"# modinfo zz_{i:03d}\nlicense: GPL\nparm: no\nalias: a\nalias: b" for i in range(220))
     b = blocks_of(spark, ("lsusb_v", usb), ("lsmod", mods), ("modinfo_all", info + "\n# modinfo absent\nlicense: GPL"))
-    assert hardware.run_usb_devices(b).count() == 50
-    assert rows(hardware.run_lsmod(b), "module")[0] == ("zz_000",) and hardware.run_lsmod(b).count() == 200
-    assert hardware.run_lsmod(b, None).count() == 370
-    assert hardware.run_modinfo_kv(b).count() == 660 and hardware.run_modinfo_kv(b, 10).count() == 10
+    assert hardware.run_usb_devices(b).count() == 60
+    assert hardware.run_lsmod(b).count() == 370
+    assert hardware.run_modinfo_kv(b).count() == 660
+    long = "x" * 100
+    tags = [r[0] for r in spark.createDataFrame([(f"cat /{long}/a",), (f"cat /{long}/b",), ("cat /short",)], "c string").select(command_tag("c")).collect()]
+    assert len(set(tags)) == 3 and tags[2] == "cat_short" and tags[0][:90] == tags[1][:90]
 
 
 @pytest.mark.parametrize("text,want", [("SecureBoot enabled", 1), ("Secure Boot disabled", 0), ("not supported", None)])
