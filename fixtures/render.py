@@ -240,7 +240,7 @@ class RenderedFleet(Fleet):
 
     def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
         self.spark, self.sf_dir, self.store = spark, sf_dir, store
-        self._tables = {}
+        self._tables, self._recent, self._dates = {}, {}, None
 
     def snapshots(self) -> DataFrame:
         return src.snapshots(rendered(self.spark, self.sf_dir, ("hostnamectl",)))

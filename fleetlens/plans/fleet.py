@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from fleetlens.operators import accounts, findings, hardware, identity, keyvalue
 from fleetlens.operators.blocks import command_catalog, split_blocks
 from fleetlens.plans import playbook, report
 from fleetlens.sources import snapshots as src
-from fleetlens.sources.warehouse import read_table, write_table
+from fleetlens.sources.warehouse import dates_of, read_table, write_table
 
 _LISTINGS = tuple(C.LISTING_SOURCES)
 _AUTH = tuple(C.AUTH_LOG_SOURCES)
@@ -101,8 +102,7 @@ DERIVED: dict[str, Callable[["Fleet"], DataFrame]] = {
     "run_network_posture": lambda t: posture.run_network_posture(
         t("run_resolv_conf_entries"), t("run_routes"), t("run_ip_neigh")),
     "run_process_insights": lambda t: posture.run_process_insights(t("run_processes"), t("run_listening_sockets")),
-    "run_kernel_module_insights": lambda t: posture.run_kernel_module_insights(
-        hardware.run_lsmod(t.blocks("lsmod", "modinfo_all"), None), hardware.run_modinfo_kv(t.blocks("lsmod", "modinfo_all"), None)),
+    "run_kernel_module_insights": lambda t: posture.run_kernel_module_insights(t("run_lsmod"), t("run_modinfo_kv")),
     "run_persistence_insights": lambda t: posture.run_persistence_insights(t("run_file_listings"), t("run_registry")),
     "findings": lambda t: findings.findings(t),
     "run_registry": lambda t: src.runs_registry(t.snapshots()),
@@ -118,12 +118,15 @@ for _fn in views.VIEWS:
 for _fn in report.REPORT:
     DERIVED[_fn.__name__] = _fn
 
-# Results many others build on: worth writing once when there is a store.
-STORED = set(EXTRACTIONS) | {
-    "run_registry", "run_assets", "runs", "assets", "identifiers", "asset_identifiers", "run_group_members", "findings",
-    "run_audit_posture", "run_selinux_posture", "run_apparmor_posture", "run_network_posture", "run_process_insights",
-    "run_kernel_module_insights", "run_persistence_insights", "v_latest_runs", "v_asset_current", "primary_ipv4", "primary_mac",
-}
+# Results many others build on, worth writing once when there is a store: those that hold rows of single runs, each after what it
+# reads, and those over all runs.
+PER_RUN = [
+    "run_group_members", "run_audit_posture", "run_selinux_posture", "run_apparmor_posture", "run_network_posture", "run_process_insights",
+    "run_kernel_module_insights", "run_persistence_insights", "findings", "identifiers",
+]
+OVERALL = ["run_assets", "runs", "assets", "asset_identifiers", "v_latest_runs", "primary_ipv4", "primary_mac", "v_asset_current"]
+STORED = {"run_registry", *EXTRACTIONS, *PER_RUN, *OVERALL}
+DATED = {"run_commands", *EXTRACTIONS, *PER_RUN}
 INVENTORY_SCHEMA = ", ".join(
     f"{c} {'int' if c in C.INVENTORY_INTS else 'double' if c in C.INVENTORY_DOUBLES else 'string'}" for c in C.INVENTORY_COLUMNS)
 
@@ -140,6 +143,8 @@ class Fleet:
         self.spark, self.store = spark, store
         self._snapshots, self._blocks = snapshots, None
         self._tables: dict[str, DataFrame] = {}
+        self._recent: dict[str, DataFrame] = {}
+        self._dates: list[str] | None = None
         empty = spark.createDataFrame([], INVENTORY_SCHEMA)
         self._tables["host_inventory"] = empty if inventory is None else inventory
 
@@ -158,7 +163,7 @@ class Fleet:
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         write_table(df, self.store, name)
-        return read_table(self.spark, self.store, name)
+        return read_table(self.spark, self.store, name, like=df)
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -174,9 +179,30 @@ class Fleet:
             self._tables[name] = df
         return self._tables[name]
 
-    def put(self, name: str, df: DataFrame) -> None:
-        """Provide a table from elsewhere (an inventory, a stored asset inventory, other runs)."""
+    def recent(self, name: str) -> DataFrame:
+        """A table for questions about latest runs: of a stored run table, only the partitions of dates on which some asset has its latest run.
+
+        There are as many dates as days at most, so they go into the plan as a partition filter.
+        """
+        df = self(name)
+        if name not in DATED or not self.store:
+            return df
+        if self._dates is None:
+            self._dates = dates_of(self("v_latest_runs"))
+        if name not in self._recent:
+            try:
+                self._recent[name] = read_table(self.spark, self.store, name, self._dates, df)
+            except AnalysisException as e:  # provided with put(), not stored
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                self._recent[name] = df
+        return self._recent[name]
+
+    def put(self, name: str, df: DataFrame, stored: bool = False) -> None:
+        """Provide a table from elsewhere (an inventory, a stored asset inventory, other runs). stored: it is the one in the store."""
         self._tables[name] = df
+        if not stored:
+            self._recent[name] = df
         if name == "run_commands":
             self._blocks = df
 

@@ -26,6 +26,16 @@ def read_files(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, directory: str) -> DataFrame:
+    """`path` of every snapshot file below a directory; no content is read."""
+    return read_files(spark, directory).select("path")
+
+
+def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """`path`, `content`, `length` of the given files."""
+    return spark.read.options(**RAW_FS).format("binaryFile").load(paths).select("path", "content", "length")
+
+
 def snapshots(files: DataFrame) -> DataFrame:
     """Decode files: invalid UTF-8 becomes U+FFFD, line ends become \\n, name gives address and time.
 

@@ -5,19 +5,22 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def run_date():
+
+def run_date() -> Column:
     """Run ids start with the date of the run."""
     return F.substring("run_id", 1, 8)
 
 
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir. In local mode, where one machine is all there is, a temporary one if none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="fleetlens-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -32,11 +35,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> str:
-    """Write a table; run tables are partitioned by run date and clustered by run inside their files."""
+    """Write a table; run tables are partitioned by run date and clustered by run inside their files.
+
+    Rows are first dealt out by date in portions of the size that Spark aims at, so a large date has several files and a small one a single file.
+    """
     path = f"{root}/{name}"
     if "run_id" in df.columns:
         order = ["run_id"] if name != "run_commands" else ["command_tag", "run_id"]
-        out = df.withColumn("run_date", run_date()).sortWithinPartitions("run_date", *order)
+        dated = df.withColumn("run_date", run_date())
+        dealt = df.sparkSession.sql("SELECT /*+ REBALANCE(run_date) */ * FROM {dated}", dated=dated)
+        out = dealt.sortWithinPartitions("run_date", *order)
         writer = out.write.partitionBy("run_date").option("partitionOverwriteMode", "dynamic" if mode == "replace" else "static")
     else:
         writer = df.write
@@ -44,24 +52,42 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
     return path
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}").drop("run_date")
+def read_table(spark: SparkSession, root: str, name: str, dates: list[str] | None = None, like: DataFrame | None = None) -> DataFrame:
+    """A stored table; with `dates`, only the partitions of those run dates. `like` gives the schema of a table that may have no rows yet."""
+    reader = spark.read
+    if like is not None:
+        reader = reader.schema((like.withColumn("run_date", run_date()) if "run_id" in like.columns else like).schema)
+    table = reader.parquet(f"{root}/{name}")
+    if dates is not None and "run_date" in table.columns:
+        table = table.filter(F.col("run_date").cast("string").isin(dates))
+    return table.drop("run_date")
 
 
-def replace_in_table(fresh: DataFrame, fresh_runs: DataFrame, root: str, name: str) -> None:
-    """Replace the rows of re-ingested runs. Only the run dates of those runs are read and rewritten.
+def dates_of(runs: DataFrame) -> list[str]:
+    """The run dates of some runs: as many as days at most."""
+    return sorted(r[0] for r in runs.select(run_date()).distinct().collect())
+
+
+def replace_in_table(fresh: DataFrame, fresh_runs: DataFrame, root: str, name: str, dates: list[str] | None = None) -> None:
+    """Add the rows of fresh runs. Runs that the table has already are replaced, and only their dates are read and rewritten.
 
     Replaying the same batch gives the same table, so a repeated micro-batch does no harm.
     """
     spark = fresh.sparkSession
-    path = f"{root}/{name}"
+    dates = dates_of(fresh_runs) if dates is None else dates
     try:
-        stored = spark.read.schema(fresh.withColumn("run_date", run_date()).schema).parquet(path)
-    except AnalysisException:  # first batch: nothing stored yet
+        stored = spark.read.schema(fresh.withColumn("run_date", run_date()).schema).parquet(f"{root}/{name}")
+    except AnalysisException as e:  # first batch: nothing stored yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         write_table(fresh, root, name)
         return
-    dates = fresh_runs.select(run_date().alias("run_date")).distinct()
-    kept = stored.join(dates, "run_date", "left_semi").join(
-        fresh_runs.select("run_id").distinct(), "run_id", "left_anti").drop("run_date")
-    # the target is also a source: go through a checkpoint before overwriting its partitions
-    write_table(checkpoint(kept.unionByName(fresh)), root, name, mode="replace")
+    stored = stored.filter(F.col("run_date").isin(dates)).drop("run_date")
+    runs = fresh_runs.select("run_id").distinct()
+    again = dates_of(stored.select("run_id").join(runs, "run_id", "left_semi"))
+    if again:
+        kept = stored.filter(run_date().isin(again)).join(runs, "run_id", "left_anti")
+        # the target is also a source: go through the shared folder before overwriting its partitions
+        write_table(checkpoint(kept.unionByName(fresh.filter(run_date().isin(again)))), root, name, mode="replace")
+    if len(again) < len(dates):
+        write_table(fresh.filter(~run_date().isin(again)) if again else fresh, root, name, mode="append")
