@@ -107,7 +107,7 @@ def facts(d: Dialect) -> dict[str, str]:
     F["fx_runs"] = f"""SELECT h, r, nation, bal, s_name, base_name, ip, ts, path, {d.ymd('ts')} || '-' || md5(path) AS run_id,
         CASE WHEN r = 1 THEN 'host_' || {s('h')} WHEN r = 2 AND h % 3 = 0 THEN 'srv-' || {s('h')} ELSE base_name END AS hostname,
         CASE WHEN h % 3 = 0 THEN 'srv-' || {s('h')} ELSE base_name END AS current_name,
-        CASE WHEN r = 0 THEN '02:00:00:' ELSE '02:00:01:' END || lpad({s(div('h', '10000') + ' % 100')}, 2, '0') || ':' || lpad({s(div('h', '100') + ' % 100')}, 2, '0') || ':' || lpad({s('h % 100')}, 2, '0') AS mac,
+        CASE WHEN r = 0 AND h % 17 <> 0 THEN '02:00:00:' ELSE '02:00:01:' END || lpad({s(div('h', '10000') + ' % 100')}, 2, '0') || ':' || lpad({s(div('h', '100') + ' % 100')}, 2, '0') || ':' || lpad({s('h % 100')}, 2, '0') AS mac,
         CASE WHEN h % 17 = 0 THEN '00000000-0000-0000-0000-000000000000' ELSE md5('uuid' || {s('h')}) END AS uuid,
         md5('image' || {s('nation')}) AS machine_id,
         CASE WHEN h % 2 = 0 THEN 'Etc/UTC (UTC, +0000)' ELSE 'Etc/GMT-2 (+02, +0200)' END AS time_zone,

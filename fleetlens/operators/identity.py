@@ -47,7 +47,8 @@ def ident_score(idents: DataFrame) -> DataFrame:
 
 
 def ident_resolve(idents: DataFrame) -> DataFrame:
-    """(run_id, asset_id): connected components of runs that share a trusted hardware id or a hostname spelling.
+    """(run_id, asset_id): connected components of runs that share a trusted hardware id or a hostname spelling. An identifier that sits on
+    several values of a stronger type (UUID before MAC before name) is ambiguous and does not link.
 
     Runs with the same three identifiers collapse to one vertex first, so the
     iteration works on distinct identities, not on runs. Each round takes the
@@ -62,12 +63,15 @@ def ident_resolve(idents: DataFrame) -> DataFrame:
         "run_id", "collected_at_utc",
         F.coalesce(trusted("primary_mac", "primary_mac"), F.lit("")).alias("mac"),
         F.coalesce(trusted("dmi_uuid", F.lower("dmi_uuid")), F.lit("")).alias("uuid"),
-        F.coalesce(F.concat(F.lit("slug:"), blank_to_null(hostname_slug("hostname"))), F.lit("")).alias("slug"))
-    signed = checkpoint(signed)
+        F.coalesce(F.concat(F.lit("slug:"), blank_to_null(hostname_slug("hostname"))), F.lit("")).alias("slug"),
+        F.coalesce(F.concat(F.lit("host:"), blank_to_null("hostname")), F.concat(F.lit("run:"), F.col("run_id"))).alias("rest"))
+    # with no other key left, the exact hostname counts, and without one the run stands alone
+    bare = (F.col("mac") == "") & (F.col("uuid") == "") & (F.col("slug") == "")
+    signed = checkpoint(signed.withColumn("slug", F.when(bare, F.col("rest")).otherwise(F.col("slug"))).drop("rest"))
     vertices = signed.groupBy("mac", "uuid", "slug").agg(F.min(first).alias("label"))
     vertices = checkpoint(vertices.select("mac", "uuid", "slug", F.col("label.r").alias("node"), "label"))
-    edges = checkpoint(
-        vertices.select("node", F.explode(F.array("mac", "uuid", "slug")).alias("key")).filter("key <> ''"))
+    edges, vague = _unambiguous(vertices)
+    edges = checkpoint(edges)
     labels = vertices.select("node", "label")
     while True:
         by_key = edges.join(labels, "node").groupBy("key").agg(F.min("label").alias("near"))
@@ -82,7 +86,31 @@ def ident_resolve(idents: DataFrame) -> DataFrame:
         if jumped.filter("label <> old").isEmpty():
             break
     named = vertices.drop("label").join(labels, "node").select("mac", "uuid", "slug", F.col("label.r").alias("asset_id"))
-    return signed.join(named, ["mac", "uuid", "slug"]).select("run_id", "asset_id")
+    # a run that has nothing but an ambiguous name stands alone
+    alone = vague.withColumn("mac", F.lit("")).withColumn("uuid", F.lit("")).withColumn("alone", F.lit(True))
+    keyed = signed.join(named, ["mac", "uuid", "slug"]).join(alone, ["mac", "uuid", "slug"], "left")
+    return keyed.select("run_id", F.when(F.col("alone"), F.col("run_id")).otherwise(F.col("asset_id")).alias("asset_id"))
+
+
+def _unambiguous(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, key) for every identifier that may link, and the names that may not: a MAC seen with several trusted UUIDs does not, nor does a name seen with several UUIDs, or with
+    several MACs of vertices that have no UUID. Each is one aggregation (least and largest value of the stronger type), so a name that a large
+    part of the fleet bears is no hot group; such names are left out before anything is joined on them again."""
+    some = lambda c: blank_to_null(c)
+    keys = vertices.select("node", "mac", "uuid", "slug")
+
+    def counted(kind: str, *stronger) -> DataFrame:
+        several = F.lit(False)
+        for c in stronger:
+            several = several | F.coalesce(F.min(c) != F.max(c), F.lit(False))
+        return keys.filter(F.col(kind) != "").groupBy(F.col(kind).alias("key")).agg(several.alias("several"), F.count(F.lit(1)).alias("n"))
+
+    macs, slugs = counted("mac", some("uuid")), checkpoint(counted("slug", some("uuid"), F.when(F.col("uuid") == "", some("mac"))))
+    # an identifier of a single vertex links nothing
+    good = macs.union(slugs).filter("NOT several AND n > 1").select("key")
+    named = keys.select("node", F.explode(F.array("mac", "slug")).alias("key")).join(good, "key", "left_semi")
+    edges = named.select("node", "key").union(keys.filter("uuid <> ''").select("node", F.col("uuid").alias("key")))
+    return edges, slugs.filter("several").select(F.col("key").alias("slug"))
 
 
 def ident_merge(assets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import diff, identity
 from fleetlens.operators.blocks import split_blocks
+from fleetlens.plans import playbook
 from fleetlens.plans.fleet import Fleet
 from fleetlens.sources import snapshots as src
 from fleetlens.sources.warehouse import read_table
@@ -65,7 +66,7 @@ def identities(spark, rows):
 
 
 def brute_force(rows):
-    """Union-find over uuid, mac and hostname slug."""
+    """Union-find over uuid, mac and hostname slug, but for those that sit on several values of a stronger type."""
     parent = {r[0]: r[0] for r in rows}
 
     def find(x):
@@ -73,12 +74,22 @@ def brute_force(rows):
             x = parent[x]
         return x
 
+    slug = lambda r: "s" + "".join(c for c in r[2].lower() if c.isalnum())
+    uuid = lambda r: r[4] if r[4] and not r[4].startswith("0000") else None
+    several = lambda rows, of: len({of(r) for r in rows} - {None}) > 1
+    vague = {"m" + m for m in {r[6] for r in rows if r[6]} if several([r for r in rows if r[6] == m], uuid)}
+    for s in {slug(r) for r in rows}:
+        own = [r for r in rows if slug(r) == s]
+        if several(own, uuid) or several([r for r in own if not uuid(r)], lambda r: r[6]):
+            vague.add(s)
     seen = {}
     for r in rows:
         keys = ["s" + "".join(c for c in r[2].lower() if c.isalnum())]
         keys += ["u" + r[4]] if r[4] and not r[4].startswith("0000") else []
         keys += ["m" + r[6]] if r[6] else []
         for k in keys:
+            if k in vague:
+                continue
             if k in seen:
                 parent[find(r[0])] = find(seen[k])
             seen[k] = r[0]
@@ -128,3 +139,35 @@ def test_blocks_reproduce_the_file(spark):
     got = split_blocks(src.snapshots(files)).orderBy("command_index").collect()
     body = "".join(f"$ {b.command}\n{b.output_text}\n" for b in got)
     assert "*****HOST INFO*****\n" + body == text
+
+
+def test_hosts_without_trusted_identifiers_stay_apart(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t, "主机", None, None, None, None), ("b", t, "服务器", None, None, None, None), ("c", t, "主机", None, None, None, None), ("d", t, None, None, None, None, None), ("e", t, None, None, None, None, None)]
+    got = {r.run_id: r.asset_id for r in identity.ident_resolve(identities(spark, rows)).collect()}
+    assert got == {"a": "a", "b": "b", "c": "a", "d": "d", "e": "e"}
+
+
+def test_shared_names_and_cloned_macs_do_not_link(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t, "localhost", None, "u1", None, "m1"), ("b", t, "localhost", None, "u2", None, "m2"), ("c", t, "x", None, "u3", None, "m3"), ("d", t, "y", None, "u4", None, "m3"),
+            ("e", t, "z", None, None, None, "m5"), ("f", t, "z", None, None, None, "m6"), ("g", t, "w", None, "u7", None, "m7"), ("h", t, "w", None, None, None, "m7")]
+    got = {r.run_id: r.asset_id for r in identity.ident_resolve(identities(spark, rows)).collect()}
+    assert got == {k: k for k in "abcdefg"} | {"h": "g"}
+
+
+def test_latest_questions_read_the_dates_of_latest_runs(spark, tmp_path):
+    """Partition filters in the plans over a store."""
+    text = "$ hostnamectl\n Static hostname: h\n$ cat /etc/passwd\nroot:x:0:0:r:/root:/bin/bash\n$ ss -punt\n"
+    for day in ("20240101", "20240102", "20240103"):
+        (tmp_path / "in" / "deep").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "deep" / f"10.0.0.1_{day}_10:00:00Z.txt").write_text(text)
+    root = str(tmp_path / "store")
+    assert ingest.ingest_new(spark, str(tmp_path / "in"), root, batch_files=2) == {"new": 3, "skipped": 0}
+    assert ingest.ingest_new(spark, str(tmp_path / "in"), root) == {"new": 0, "skipped": 3}
+    fleet = ingest.open_store(spark, str(tmp_path / "in"), root)
+    assert fleet("run_users").count() == 3
+    for question in (lambda: fleet("v_asset_security_summary"), lambda: playbook.q_findings(fleet), lambda: fleet("r_ports")):
+        plan = question()._jdf.queryExecution().toString()
+        assert "run_date IN (20240103)" in plan or "run_date#" in plan and "= 20240103" in plan
+    assert fleet("v_asset_security_summary").first().local_user_count == 1
