@@ -27,8 +27,8 @@ APPARMOR = """SELECT run_id, 1 AS apparmor_enabled, 1 AS apparmor_profiles_loade
 NETWORK = f"""SELECT run_id, CASE WHEN nation % 4 = 0 THEN '["8.8.8.8"]' ELSE '[]' END AS unexpected_nameservers, two_routes AS multiple_default_routes, '["Suspicious route to 169.254.0.0 via eth0"]' AS suspicious_routes,
     CASE WHEN bal > 4000 THEN '["ff:ff:ff:00:00:' || lpad({s('nation')}, 2, '0') || ' (Broadcast OUI) on eth0"]' ELSE '[]' END AS unknown_mac_ouis,
     CASE nation % 4 WHEN 0 THEN '["Public nameserver: 8.8.8.8"]' WHEN 1 THEN '["Localhost nameserver: 127.0.0.53"]' WHEN 2 THEN '[]' ELSE '["External hostname nameserver: dns.example.com"]' END AS nameserver_flags FROM fx_host"""
-ROOT_NOTES = """SELECT h, r, 'PID ' || CAST(pid AS STRING) || ': ' || cmd || '...' AS note, 'root' AS kind FROM fx_cmds WHERE uid = 'root' AND (cmd LIKE '%python3 -c import%' OR cmd LIKE 'bash -i%')
-    UNION ALL SELECT h, r, 'PID ' || CAST(pid AS STRING) || ': ' || cmd || '...', 'root' FROM fx_cmds WHERE uid = 'root' AND cmd LIKE 'bash -i%'
+ROOT_NOTES = """SELECT h, r, 'PID ' || CAST(pid AS STRING) || ': ' || cmd AS note, 'root' AS kind FROM fx_cmds WHERE uid = 'root' AND (cmd LIKE '%python3 -c import%' OR cmd LIKE 'bash -i%')
+    UNION ALL SELECT h, r, 'PID ' || CAST(pid AS STRING) || ': ' || cmd, 'root' FROM fx_cmds WHERE uid = 'root' AND cmd LIKE 'bash -i%'
     UNION ALL SELECT DISTINCT h, r, 'Port ' || CAST(local_port AS STRING) || ' listening (unusual)', 'port' FROM fx_sockets WHERE state = 'LISTEN' AND local_port > 1024 AND local_port NOT IN (3306, 5432, 6379, 27017, 2049)"""
 PROC_INSIGHTS = f"""SELECT x.run_id, {json_list('f.note', "f.kind = 'root'")} AS suspicious_root_processes, {json_list('f.note', "f.kind = 'port'")} AS unusual_listening_services, '[]' AS process_tree_issues
     FROM fx_runs x LEFT JOIN ({ROOT_NOTES}) f ON f.h = x.h AND f.r = x.r GROUP BY x.run_id"""
@@ -158,16 +158,16 @@ RARE_PROC = f"""SELECT c.hostname, f.cmd, g.host_count, g.total_instances, f.pid
     WHERE f.cmd NOT LIKE '/usr/bin/%' AND f.cmd NOT LIKE '/bin/%' AND f.cmd NOT LIKE '/sbin/%' AND f.cmd NOT LIKE '[%]%' AND length(f.cmd) > 10 GROUP BY f.cmd HAVING count(DISTINCT c.asset_id) <= 2) g ON g.cmd = f.cmd"""
 case("v_rare_processes", lambda f: f("v_rare_processes"), RARE_PROC)
 case("v_rare_usb_devices", lambda f: f("v_rare_usb_devices"), f"""SELECT c.hostname, g.device_id, g.vendor_name, g.product_name, g.host_count, f.bus_number, f.device_number, f.serial_number FROM {C2('fx_usb')} JOIN (SELECT f.vendor_id || ':' || f.product_id AS device_id, f.vendor_name, f.product_name, count(DISTINCT c.h) AS host_count
-    FROM {C2('fx_usb')} GROUP BY 1, 2, 3 HAVING count(DISTINCT c.h) <= 2) g ON g.device_id = f.vendor_id || ':' || f.product_id""")
+    FROM {C2('fx_usb')} GROUP BY 1, 2, 3 HAVING count(DISTINCT c.h) <= 2) g ON g.device_id = f.vendor_id || ':' || f.product_id AND g.vendor_name IS NOT DISTINCT FROM f.vendor_name AND g.product_name IS NOT DISTINCT FROM f.product_name""")
 RARE_MOD = f"""SELECT c.hostname, f.module, g.host_count, g.host_count AS total_instances, f.size, f.used_by_count, f.used_by, f.description, f.license FROM {C2('fx_modules')} JOIN (SELECT module, count(DISTINCT h) AS host_count FROM fx_modules WHERE r = 2 GROUP BY module HAVING count(DISTINCT h) <= 2) g ON g.module = f.module"""
 case("v_rare_kernel_modules", lambda f: f("v_rare_kernel_modules"), RARE_MOD)
 case("v_unique_mounts", lambda f: f("v_unique_mounts"), f"SELECT hostname, '/data/h' || {s('h')} AS mountpoints, 'vg-root' AS name, 'lvm' AS type FROM fx_cur")
 case("v_memory_drift", lambda f: f("v_memory_drift"), f"""SELECT c.hostname, printf('%.1f', CAST(c.mem_gb AS DOUBLE)) AS current_gb, i.memory_capacity_gb AS expected_gb,
     CASE WHEN abs(c.mem_gb - i.memory_capacity_gb) < 0.5 THEN 'normal' WHEN c.mem_gb > i.memory_capacity_gb THEN 'increased' ELSE 'decreased' END AS status, abs(c.mem_gb - i.memory_capacity_gb) AS drift_gb FROM fx_cur c {INV}""")
 case("v_cpu_drift", lambda f: f("v_cpu_drift"), f"SELECT c.hostname, i.proc_no_cores AS expected_cores, i.proc_count AS expected_sockets, {CUR_OS} AS operating_system, CASE WHEN i.proc_no_cores IS NULL THEN 'unknown' ELSE 'baseline_loaded' END AS baseline_status FROM fx_cur c {INV}")
-WANT = "(i.storage_hdd_capacity_gb + i.storage_nvme_capabity_gb + i.storage_ssd_capabity_gb)"
+WANT = "CASE WHEN coalesce(i.storage_hdd_capacity_gb, i.storage_nvme_capabity_gb, i.storage_ssd_capabity_gb) IS NOT NULL THEN coalesce(i.storage_hdd_capacity_gb, 0) + coalesce(i.storage_nvme_capabity_gb, 0) + coalesce(i.storage_ssd_capabity_gb, 0) END"
 NOW = "(CAST(c.disk_tb AS DOUBLE) + CAST(500 AS DOUBLE) / 1024)"
-case("v_storage_drift", lambda f: f("v_storage_drift"), f"SELECT c.hostname, printf('%.2f', {NOW}) AS current_tb, {WANT} / CAST(1000 AS DOUBLE) AS expected_tb, CASE WHEN {WANT} IS NULL THEN 'no_baseline' WHEN abs({NOW} - {WANT} / CAST(1000 AS DOUBLE)) < 0.1 THEN 'normal' ELSE 'drift_detected' END AS status FROM fx_cur c {INV}")
+case("v_storage_drift", lambda f: f("v_storage_drift"), f"SELECT c.hostname, printf('%.2f', {NOW}) AS current_tb, ({WANT}) / CAST(1024 AS DOUBLE) AS expected_tb, CASE WHEN ({WANT}) IS NULL THEN 'no_baseline' WHEN abs({NOW} - ({WANT}) / CAST(1024 AS DOUBLE)) < 0.1 THEN 'normal' ELSE 'drift_detected' END AS status FROM fx_cur c {INV}")
 case("v_os_drift", lambda f: f("v_os_drift"), f"SELECT c.hostname, {CUR_OS} AS current_os, 'ubuntu' AS expected_os_name, '22.04' AS expected_os_version, CASE WHEN c.bal > 3000 THEN 'matches' ELSE 'os_changed' END AS status FROM fx_cur c")
 
 # ---- 2.9 playbook -----------------------------------------------------------------------------------------
@@ -255,10 +255,10 @@ reported(report.r_audit_config, "SELECT hostname, 4 AS rule_count, CASE WHEN aud
 FW = "(SELECT DISTINCT h, r, source, rule FROM fx_firewall)"
 reported(report.r_firewall_config, f"SELECT c.hostname, f.source, count(*) AS rule_count FROM {C2(FW)} GROUP BY 1, 2")
 reported(report.r_firewall_allow, f"SELECT hostname, source, rule FROM (SELECT c.hostname, f.source, f.rule, row_number() OVER (PARTITION BY c.hostname ORDER BY f.source, f.rule) AS rn FROM {C2(FW)} WHERE f.rule LIKE '%ACCEPT%') q WHERE rn <= 5")
-reported(report.r_logging, f"SELECT hostname, 'commented,ignored' || CASE WHEN bal > 1000 THEN ',loghost' || {s('nation')} ELSE '' END || ',w' || {s('nation')} AS targets, 'detected' AS status FROM fx_cur")
+reported(report.r_logging, f"SELECT hostname, CASE WHEN bal > 1000 THEN '@@loghost' || {s('nation')} || ':514' ELSE '' END || CASE WHEN bal > 5000 THEN ',@[10.0.0.9]:601' ELSE '' END AS targets, CASE WHEN bal > 1000 THEN 'detected' ELSE 'none found' END AS status FROM fx_cur")
 reported(report.r_logging_services, f"SELECT c.hostname, f.unit, f.load, f.active, f.sub FROM {C2('fx_units')} WHERE f.unit IN ('rsyslog.service', 'systemd-journald.service')")
 reported(report.r_routes, f"SELECT hostname, '10.' || {s('nation')} || '.0.0' AS destination, '0.0.0.0' AS gateway, 'eth0' AS iface FROM fx_cur UNION ALL SELECT hostname, '169.254.0.0', '0.0.0.0', 'eth0' FROM fx_cur")
-ACTIVE = f"SELECT c.hostname, f.*, row_number() OVER (PARTITION BY c.hostname ORDER BY f.latest DESC, f.username) AS rn FROM {C2('fx_lastlog')} WHERE f.port IS NOT NULL"
+ACTIVE = f"SELECT c.hostname, f.*, row_number() OVER (PARTITION BY c.hostname ORDER BY (f.k % 30) * 86400 + (f.k % 1440) * 60 DESC, f.username) AS rn FROM {C2('fx_lastlog')} WHERE f.port IS NOT NULL"
 reported(report.r_active_accounts, f"SELECT a.hostname, a.username, 'local' AS account_type, a.latest, a.from_host, a.port, u.uid, u.gid, 'grp' || {s('u.nation')} AS groupname, u.home, u.shell FROM ({ACTIVE}) a JOIN fx_users u ON u.h = a.h AND u.r = a.r AND u.username = a.username WHERE a.rn <= 10")
 reported(report.r_active_by_node, f"SELECT hostname, string_agg(username, ', ' ORDER BY rn) AS users FROM ({ACTIVE}) a GROUP BY hostname")
 reported(report.r_password_variance, f"SELECT count(*) AS host_count, count(DISTINCT users) AS distinct_lists, CASE WHEN count(DISTINCT users) = 1 THEN min(users) END AS common_list FROM ({PW}) q WHERE password_enabled > 0")
@@ -297,7 +297,7 @@ LINE_DIFF = f"""SELECT c.prev_run AS first_run, c.run_id AS second_run, '0' AS b
      UNION ALL SELECT h, line, 'added' FROM (SELECT h, groupname || ':x:' || {s('gid')} || ':' || members_csv AS line FROM fx_priv_groups WHERE r = 2 EXCEPT SELECT h, groupname || ':x:' || {s('gid')} || ':' || members_csv FROM fx_priv_groups WHERE r = 1) v) d ON d.h = c.h"""
 case("diff_lines", lambda f: diff.diff_lines(*_diff_inputs(f)[1:]), LINE_DIFF)
 case("diff_text", lambda f: diff.diff_text(*_diff_inputs(f, ("uname_a",))[1:]), f"""SELECT prev_run AS first_run, run_id AS second_run, '0' AS block_key, 'uname -a' AS command,
-    '--- ' || chr(10) || '+++ ' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-Linux n 5.' || {s('nation')} || '.1 #1 SMP x86_64 GNU/Linux' || chr(10) || '+Linux n 5.' || {s('nation')} || '.2 #1 SMP x86_64 GNU/Linux' AS diff FROM fx_cur""")
+    '--- ' || chr(10) || '+++ ' || chr(10) || '-Linux n 5.' || {s('nation')} || '.1 #1 SMP x86_64 GNU/Linux' || chr(10) || '+Linux n 5.' || {s('nation')} || '.2 #1 SMP x86_64 GNU/Linux' AS diff FROM fx_cur""")
 FILE_TEXT = f"""'***************HOST INFO***************' || chr(10) || '$ uname -a' || chr(10) || 'Linux n 5.' || {s('x.nation')} || '.' || {s('x.r')} || ' #1 SMP x86_64 GNU/Linux' || chr(10) || '===================================' || chr(10)
     || CASE WHEN g.body IS NULL THEN '' ELSE '***************USER INFO***************' || chr(10) || '$ getent group sudo root wheel adm admin' || chr(10) || g.body || chr(10) || '===================================' || chr(10) END"""
 FACTS["fx_ftext"] = f"SELECT x.h, x.r, x.run_id, x.ip, x.ts, x.path, {FILE_TEXT} AS text, g.body FROM fx_runs x LEFT JOIN fx_gtext g ON g.h = x.h AND g.r = x.r"

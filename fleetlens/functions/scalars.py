@@ -120,14 +120,14 @@ def process_start_to_utc(start: Column | str, collected_at: Column | str, zone:
 
 
 def listing_time_to_utc(mtime: Column | str, collected_at: Column | str, zone: Column | str) -> Column:
-    """`ls -l` time: `Nov 13 2025` or `Jan  4 22:28` (year of the run)."""
+    """`ls -l` time: `Nov 13 2025` or `Jan  4 22:28` (the latest such day that is not after the run)."""
     t = F.regexp_replace(strip(mtime), r"\s+", " ")
-    year = F.year(col(collected_at)).cast("string")
+    run = col(collected_at)
+    year = lambda back: F.concat_ws(" ", (F.year(run) - back).cast("string"), t)
+    this, last = (F.try_to_timestamp(year(back), F.lit("yyyy MMM d H:m")) for back in (0, 1))
+    # a day of room for the zone
     return local_to_utc(
-        F.coalesce(F.try_to_timestamp(t, F.lit("MMM d yyyy")),
-                   F.try_to_timestamp(F.concat_ws(" ", year, t), F.lit("yyyy MMM d H:m"))),
-        zone,
-    )
+        F.coalesce(F.try_to_timestamp(t, F.lit("MMM d yyyy")), F.when(this > run + F.expr("INTERVAL 1 DAY"), last).otherwise(this)), zone)
 
 
 def address_type(family: Column | str, address: Column | str) -> Column:

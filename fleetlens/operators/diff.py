@@ -66,20 +66,16 @@ def diff_lines(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> Dat
 
 
 def diff_text(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> DataFrame:
-    """Unified diff text of each changed block, computed block by block in Arrow batches."""
-    changed = diff_blocks(blocks, pairs, by).filter("status = 'changed'")
-    text = blocks.select("run_id", "command_index", "output_text")
-    first = text.select(F.col("run_id").alias("first_run"), "command_index", F.col("output_text").alias("before"))
-    second = text.select(F.col("run_id").alias("second_run"), F.col("command_index").alias("second_index"), F.col("output_text").alias("after"))
-    rows = changed.join(first, ["first_run", "command_index"]).join(second, ["second_run", "second_index"])
-
-    @F.pandas_udf("string")
-    def unified(before, after):
-        import difflib
+    """The differing lines of each changed block as text: a header, then removed lines and added lines in the order of their texts.
 
-        return before.combine(after, lambda a, b: "\n".join(difflib.unified_diff(a.split("\n"), b.split("\n"), lineterm="")))
-
-    return rows.select("first_run", "second_run", "block_key", "command", unified("before", "after").alias("diff"))
+    Lines are compared as bags, as in diff_lines; a line that only moved does not differ.
+    """
+    changed = diff_lines(blocks, pairs, by)
+    sign = F.when(F.col("change_type") == "removed", "-").otherwise("+")
+    entry = F.struct((sign == "+").alias("added"), "line", F.concat(F.lit("\n"), sign, F.col("line")).alias("text"), "copies")
+    texts = changed.groupBy("first_run", "second_run", "block_key", "command").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    body = F.array_join(F.transform("entries", lambda e: F.repeat(e["text"], e["copies"].cast("int"))), "")
+    return texts.select("first_run", "second_run", "block_key", "command", F.concat(F.lit("--- \n+++ "), body).alias("diff"))
 
 
 def diff_summary(blocks: DataFrame, runs: DataFrame, pairs: DataFrame, by: str = "position") -> DataFrame:

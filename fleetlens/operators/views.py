@@ -7,6 +7,7 @@ the rare keys before it joins back, so common values never cross a shuffle twice
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,18 @@ from fleetlens.functions.scalars import has_login_shell
 from fleetlens.functions.text import literal_map, starts_with_any
 
 Table = Callable[[str], DataFrame]
+
+
+def of_latest_runs(fn):
+    """Mark a question about latest runs only: run tables are then read from the partitions of their dates (see Fleet.recent)."""
+
+    @functools.wraps(fn)
+    def asked(table: Table, *args, **kw) -> DataFrame:
+        return fn(getattr(table, "recent", table), *args, **kw)
+
+    return asked
+
+
 GB = float(1024**3)
 
 
@@ -34,6 +47,7 @@ def _of_latest(table: Table, name: str) -> DataFrame:
     return table(name).join(table("v_latest_runs").select("run_id"), "run_id", "left_semi")
 
 
+@of_latest_runs
 def primary_ipv4(table: Table) -> DataFrame:
     """The address in the file name if an interface has it, else a global, else any non-loopback one."""
     latest = table("v_latest_runs").select("run_id", "source_ip")
@@ -49,6 +63,7 @@ def primary_ipv4(table: Table) -> DataFrame:
     return best.select("run_id", F.coalesce("best", "source_ip").alias("primary_ipv4"))
 
 
+@of_latest_runs
 def primary_mac(table: Table) -> DataFrame:
     """MAC of the interface with the file-name address, else of a global one, else any; UP comes first."""
     latest = table("v_latest_runs").select("run_id", "source_ip")
@@ -65,6 +80,7 @@ def primary_mac(table: Table) -> DataFrame:
     return rows.groupBy("run_id").agg(F.min_by("mac_addr", order).alias("primary_mac"))
 
 
+@of_latest_runs
 def v_asset_current(table: Table) -> DataFrame:
     """One row per asset (and tied latest run) with the facts used nearly everywhere."""
     latest = table("v_latest_runs").select(
@@ -88,6 +104,7 @@ def current_runs(table: Table, *extra: str) -> DataFrame:
         F.col("last_run_id").alias("run_id"), "asset_id", "hostname", *extra)
 
 
+@of_latest_runs
 def v_host_inventory_current(table: Table) -> DataFrame:
     """Observed inventory of the latest run, with expected class and location laid over it."""
     ac = table("v_asset_current")
@@ -176,6 +193,7 @@ def v_run_delta_privileged_members(table: Table) -> DataFrame:
 
 # ---- accounts and logins ----------------------------------------------------------------------------------
 
+@of_latest_runs
 def v_failed_logins_recent(table: Table, days: int = 30) -> DataFrame:
     ac = current_runs(table, "last_collected_at_utc")
     since = F.col("last_collected_at_utc") - F.expr(f"INTERVAL {days} DAYS")
@@ -195,10 +213,12 @@ def _never_logged_in_with_keys(table: Table) -> DataFrame:
     )
 
 
+@of_latest_runs
 def v_accounts_never_logged_in_with_keys(table: Table) -> DataFrame:
     return _never_logged_in_with_keys(table).withColumnRenamed("latest", "lastlog_status")
 
 
+@of_latest_runs
 def v_asset_security_summary(table: Table) -> DataFrame:
     """Counts and flags per host. Each source table is aggregated to one row per run before it is joined."""
     ac = table("v_asset_current").select(
@@ -235,6 +255,7 @@ def v_asset_security_summary(table: Table) -> DataFrame:
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in names}).withColumnRenamed("run_id", "last_run_id")
 
 
+@of_latest_runs
 def v_unexpected_privileged_users(table: Table) -> DataFrame:
     members = table("run_group_members").filter(
         (F.col("source") == "getent") & F.col("groupname").isin(C.ADMIN_GROUPS) & (F.col("member_username") != "root"))
@@ -246,6 +267,7 @@ def v_unexpected_privileged_users(table: Table) -> DataFrame:
 
 # ---- connected data ---------------------------------------------------------------------------------------
 
+@of_latest_runs
 def v_process_sockets(table: Table) -> DataFrame:
     procs = table("run_processes").select("run_id", "pid", "ppid", "uid", "cmd")
     socks = table("run_listening_sockets").select(
@@ -253,6 +275,7 @@ def v_process_sockets(table: Table) -> DataFrame:
     return current_runs(table).join(procs, "run_id").join(socks, ["run_id", "pid"], "left").drop("run_id", "asset_id")
 
 
+@of_latest_runs
 def v_usb_kernel_drivers(table: Table) -> DataFrame:
     drivers = literal_map(C.USB_VENDOR_DRIVERS)
     return current_runs(table).join(table("run_usb_devices"), "run_id").select(
@@ -261,6 +284,7 @@ def v_usb_kernel_drivers(table: Table) -> DataFrame:
         F.coalesce(F.try_element_at(drivers, F.col("vendor_id")), F.lit("unknown")).alias("likely_kernel_module"))
 
 
+@of_latest_runs
 def v_interface_processes(table: Table) -> DataFrame:
     ifaces = table("run_interfaces").select("run_id", "ifname", "mac_addr")
     addrs = table("run_interface_addrs").select("run_id", "ifname", "family", "address", "scope")
@@ -280,6 +304,7 @@ def _modinfo_pivot(table: Table, keys: list[str]) -> DataFrame:
     return rows.groupBy("run_id", "module").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in keys])
 
 
+@of_latest_runs
 def v_module_hardware(table: Table) -> DataFrame:
     """Modules with the USB and GPU devices of the same run. Device names are listed per run first; the
     USB x GPU x module product is never built."""
@@ -299,17 +324,21 @@ def v_module_hardware(table: Table) -> DataFrame:
 # ---- rarity across the fleet ------------------------------------------------------------------------------
 
 def _rare(rows: DataFrame, keys: list[str], max_hosts: int, instances: bool = True) -> DataFrame:
-    """Rows whose key occurs on at most `max_hosts` assets, with host and instance counts.
+    """Rows whose key occurs on one asset or two at most, with host and instance counts.
 
-    Counting goes (key, asset) -> key, so a key on every host is reduced on the map
-    side. Only rare keys are joined back.
+    Counting goes (key, asset) -> key, so a key on every host is reduced on the map side. The same aggregate keeps the first and last asset
+    of a key; rows of rare keys are then fetched by (asset, key), so a value that is on every host is in no join key. Null keys are equal.
     """
-    per_host = rows.groupBy(*keys, "asset_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_host.groupBy(*keys).agg(F.count(F.lit(1)).alias("host_count"), F.sum("n").alias("total_instances"))
-    rare = counts.filter(F.col("host_count") <= max_hosts)
+    assert max_hosts <= 2
+    key = F.struct(*keys)
+    keyed = rows.withColumn("_key", key)
+    per_host = keyed.groupBy("_key", "asset_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_host.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("host_count"), F.sum("n").alias("total_instances"), F.min("asset_id").alias("a"), F.max("asset_id").alias("b"))
+    rare = counts.filter(F.col("host_count") <= max_hosts).withColumn("asset_id", F.explode(F.array_distinct(F.array("a", "b")))).drop("a", "b")
     if not instances:
         rare = rare.drop("total_instances")
-    return rows.join(rare, keys)
+    return keyed.join(rare, ["asset_id", "_key"]).drop("_key")
 
 
 def rare_command(cmd: Column | str) -> Column:
@@ -319,22 +348,22 @@ def rare_command(cmd: Column | str) -> Column:
     return ~starts_with_any(lower, C.SYSTEM_COMMAND_DIRS) & ~c.rlike(r"(?s)^\[.*\]") & (F.length(c) > 10)
 
 
+@of_latest_runs
 def v_rare_processes(table: Table) -> DataFrame:
     rows = current_runs(table).join(table("run_processes").filter(rare_command("cmd")).select("run_id", "cmd", "pid", "uid", "ppid"), "run_id")
     return _rare(rows, ["cmd"], 2).select("hostname", "cmd", "host_count", "total_instances", "pid", "uid", "ppid")
 
 
+@of_latest_runs
 def v_rare_usb_devices(table: Table) -> DataFrame:
-    """Devices by id and names; every device with a rare id and name is listed."""
+    """Devices whose id and names occur on two assets at most, with the hosts that have just those."""
     usb = table("run_usb_devices").filter("vendor_id IS NOT NULL AND product_id IS NOT NULL")
     rows = current_runs(table).join(usb, "run_id").withColumn("device_id", F.concat_ws(":", "vendor_id", "product_id"))
-    names = rows.groupBy("device_id", "vendor_name", "product_name", "asset_id").count().groupBy(
-        "device_id", "vendor_name", "product_name").agg(F.count(F.lit(1)).alias("host_count")).filter("host_count <= 2")
-    devices = rows.select("hostname", "device_id", "bus_number", "device_number", "serial_number")
-    return names.join(devices, "device_id").select(
+    return _rare(rows, ["device_id", "vendor_name", "product_name"], 2).select(
         "hostname", "device_id", "vendor_name", "product_name", "host_count", "bus_number", "device_number", "serial_number")
 
 
+@of_latest_runs
 def v_rare_kernel_modules(table: Table) -> DataFrame:
     rows = current_runs(table).join(table("run_lsmod").select("run_id", "module", "size", "used_by_count", "used_by"), "run_id")
     info = table("run_modinfo_kv").filter("k IN ('description', 'license')")
@@ -345,6 +374,7 @@ def v_rare_kernel_modules(table: Table) -> DataFrame:
     )
 
 
+@of_latest_runs
 def v_unique_mounts(table: Table) -> DataFrame:
     m = F.col("mountpoints")
     devices = table("run_block_devices").filter(m.isNotNull() & (m != "") & ~starts_with_any(F.lower(m), C.HIDDEN_MOUNTS))
@@ -372,16 +402,18 @@ def v_cpu_drift(table: Table) -> DataFrame:
         F.when(F.col("proc_no_cores").isNull(), "unknown").otherwise("baseline_loaded").alias("baseline_status"))
 
 
+@of_latest_runs
 def v_storage_drift(table: Table) -> DataFrame:
-    """Disk capacity against the expected total; unknown when no disk was observed."""
+    """Disk capacity against the expected total, both in binary units; unknown when no disk was observed. A kind of disk that the inventory
+    does not state counts as none."""
     parts = ["storage_hdd_capacity_gb", "storage_nvme_capabity_gb", "storage_ssd_capabity_gb"]
     any_known = F.coalesce(*parts).isNotNull()
     expected = table("host_inventory").filter(any_known).select(
-        "hostname", (F.col(parts[0]) + F.col(parts[1]) + F.col(parts[2])).alias("want_gb"))
+        "hostname", sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)).alias("want_gb"))
     disks = _of_latest(table, "run_block_devices").filter("type = 'disk'").groupBy("run_id").agg(
         F.sum(F.col("size_bytes") / F.lit(float(1024**4))).alias("now_tb"))
     ac = table("v_asset_current").select("hostname", F.col("last_run_id").alias("run_id"))
-    want = F.col("want_gb") / 1000.0
+    want = F.col("want_gb") / 1024.0
     return ac.join(disks, "run_id", "left").join(expected, "hostname", "left").select(
         "hostname", F.format_string("%.2f", F.coalesce("now_tb", F.lit(0.0))).alias("current_tb"), want.alias("expected_tb"),
         F.when(F.col("want_gb").isNull(), "no_baseline").when(F.col("now_tb").isNull(), "unknown")

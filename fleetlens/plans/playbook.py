@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.scalars import has_login_shell, severity_rank
-from fleetlens.operators.views import Table, current_runs
+from fleetlens.operators.views import Table, current_runs, of_latest_runs
 
 
+@of_latest_runs
 def q_inventory(table: Table) -> DataFrame:
     return table("v_asset_current").select(
         "asset_id", "hostname", "primary_ipv4", "primary_mac", "operating_system", "kernel", "architecture",
         "mem_total_bytes", "last_collected_at_utc").orderBy("asset_id")
 
 
+@of_latest_runs
 def q_posture(table: Table) -> DataFrame:
     return table("v_asset_security_summary").select(
         "hostname", "privileged_user_count", "local_user_count", "locked_account_count", "authorized_key_count",
@@ -28,27 +30,31 @@ def q_missing_runs(table: Table) -> DataFrame:
         "asset_id", "hostname").orderBy("asset_id")
 
 
+@of_latest_runs
 def q_privileged(table: Table) -> DataFrame:
     members = table("run_group_members").filter((F.col("source") == "getent") & F.col("groupname").isin(C.ADMIN_GROUPS))
     return current_runs(table).join(members, "run_id").select("hostname", "groupname", "member_username").orderBy(
         "hostname", "groupname", "member_username")
 
 
+@of_latest_runs
 def q_shell_accounts(table: Table) -> DataFrame:
     users = table("run_users").filter(has_login_shell("shell"))
     return current_runs(table).join(users, "run_id").select("hostname", "username", "uid", "shell").orderBy("hostname", "uid")
 
 
+@of_latest_runs
 def q_locked(table: Table) -> DataFrame:
     return current_runs(table).join(table("run_passwd_status"), "run_id").select(
         "hostname", "username", "status_code", "last_change").orderBy("hostname", "username")
 
 
+@of_latest_runs
 def q_pkg_diff(table: Table, pairs: DataFrame) -> DataFrame:
     """dpkg packages found by name on one host of a pair only, for every (host_a, host_b) pair at once.
 
     A package name of a pair is aggregated over both sides; one side missing means
-    a difference. That is one shuffle for all pairs instead of two anti joins per pair.
+    a difference. That is one partial aggregation for all pairs instead of two anti joins per pair.
     """
     packages = current_runs(table).join(table("run_packages").filter("source = 'dpkg'"), "run_id").select(
         "hostname", "name", "version")
@@ -57,17 +63,19 @@ def q_pkg_diff(table: Table, pairs: DataFrame) -> DataFrame:
         F.struct(F.col("host_b").alias("hostname"), F.lit("b").alias("side")))).alias("s")
     ).select("host_a", "host_b", "s.hostname", "s.side")
     merged = sides.join(packages, "hostname").groupBy("host_a", "host_b", "name").agg(
-        F.count_distinct("side").alias("sides"), F.min("side").alias("side"), F.collect_list("version").alias("versions"))
-    return merged.filter("sides = 1").select(
-        "host_a", "host_b", F.concat(F.lit("only_in_"), "side").alias("diff_type"), "name", F.explode("versions").alias("version")
-    ).orderBy("host_a", "host_b", "diff_type", "name", "version")
+        F.min("side").alias("side"), F.max("side").alias("other")).filter("side = other")
+    # versions are fetched for differing names only
+    rows = merged.withColumn("hostname", F.when(F.col("side") == "a", F.col("host_a")).otherwise(F.col("host_b"))).join(packages, ["hostname", "name"])
+    return rows.select("host_a", "host_b", F.concat(F.lit("only_in_"), "side").alias("diff_type"), "name", "version").orderBy("host_a", "host_b", "diff_type", "name", "version")
 
 
+@of_latest_runs
 def q_findings(table: Table) -> DataFrame:
     return current_runs(table).join(table("findings"), "run_id").select(
         "hostname", "severity", "category", "title", "details").orderBy(severity_rank("severity"), "hostname", "category")
 
 
+@of_latest_runs
 def q_failed_logins(table: Table, now=None, days: int = 30, more_than: int = 5) -> DataFrame:
     """Failed logins of the last days up to `now` (a timestamp column; default the current time)."""
     since = (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {days} DAYS")
@@ -80,6 +88,7 @@ def q_failed_logins(table: Table, now=None, days: int = 30, more_than: int = 5)
     )
 
 
+@of_latest_runs
 def q_many_keys(table: Table, more_than: int = 5) -> DataFrame:
     users = table("run_users").filter(has_login_shell("shell")).select("run_id", "username")
     keys = table("run_ssh_authorized_keys").groupBy("run_id", "username").agg(
@@ -89,6 +98,7 @@ def q_many_keys(table: Table, more_than: int = 5) -> DataFrame:
         "hostname", "username", "key_count", "key_types").orderBy(F.desc("key_count"), "hostname", "username")
 
 
+@of_latest_runs
 def q_module_anomalies(table: Table) -> DataFrame:
     lists = ["unusual_modules", "suspicious_licenses", "modules_with_unknown_signer"]
     some = F.greatest(*[F.size(c) for c in lists]) > 0
@@ -98,6 +108,7 @@ def q_module_anomalies(table: Table) -> DataFrame:
         first(lists[2]).alias("unknown_signer"))
 
 
+@of_latest_runs
 def q_network_issues(table: Table) -> DataFrame:
     several = F.col("multiple_default_routes") == 1
     some = several | (F.size("unexpected_nameservers") > 0) | (F.size("suspicious_routes") > 0)
@@ -107,6 +118,7 @@ def q_network_issues(table: Table) -> DataFrame:
         first("unexpected_nameservers").alias("unexpected_nameserver"), first("suspicious_routes").alias("suspicious_route"))
 
 
+@of_latest_runs
 def q_persistence_counts(table: Table) -> DataFrame:
     """Cron files and service units per host, in one pass over the listings."""
     kind = F.when(F.col("source") == "cron_dirs", "Cron jobs").when(
@@ -122,9 +134,11 @@ def _hosts_with_fact(table: Table, group: str, key: str, value: str) -> DataFram
         table("assets").select("asset_id", "hostname"), "asset_id")
 
 
+@of_latest_runs
 def q_password_auth(table: Table) -> DataFrame:
     return _hosts_with_fact(table, "sshd", "passwordauthentication", "yes").select("hostname", "fact_value").distinct()
 
 
+@of_latest_runs
 def q_no_remote_log(table: Table) -> DataFrame:
     return _hosts_with_fact(table, "rsyslog", "remote_destinations", "[]").select("hostname")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from fleetlens import constants as C
 from fleetlens.functions.scalars import (
-    gigabytes_text, has_login_shell, severity_rank, text_or_unknown, uname_arch, uname_kernel,
+    free_text_to_utc, gigabytes_text, has_login_shell, severity_rank, text_or_unknown, uname_arch, uname_kernel,
 )
 from fleetlens.functions.text import blank_to_null, extract, first_n, strip
-from fleetlens.operators.views import Table, current_runs
+from fleetlens.operators.views import Table, current_runs, of_latest_runs
 
 
 # ---- fleet ------------------------------------------------------------------------------------------------
@@ -50,6 +50,7 @@ def r_fleet_stats(table: Table) -> DataFrame:
 
 # ---- host header ------------------------------------------------------------------------------------------
 
+@of_latest_runs
 def r_host_header(table: Table) -> DataFrame:
     ac = table("v_asset_current").withColumnRenamed("last_run_id", "run_id")
     dmi = table("run_dmi_system").select("run_id", F.col("version").alias("dmi_version"), "serial_number")
@@ -66,6 +67,7 @@ def r_host_header(table: Table) -> DataFrame:
         F.when(F.col("memory_capacity_gb") > 0, F.format_string("%.1f GB", "memory_capacity_gb")).otherwise("Unknown").alias("memory_inventory"))
 
 
+@of_latest_runs
 def r_disk_capacity(table: Table) -> DataFrame:
     disk = F.col("type") == "disk"
     sums = table("run_block_devices").join(table("v_latest_runs").select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(
@@ -80,6 +82,7 @@ def r_disk_capacity(table: Table) -> DataFrame:
 PORT_COLUMNS = ["proto", "state", "local_addr", "local_port", "peer_addr", "peer_port", "process_name", "pid"]
 
 
+@of_latest_runs
 def r_ports(table: Table) -> DataFrame:
     """Distinct sockets with their process, and the owner resolved by numeric uid or by name."""
     socks = table("run_listening_sockets").select("run_id", *PORT_COLUMNS)
@@ -106,6 +109,7 @@ def executable_base(cmd: Column | str) -> Column:
     return F.substring_index(F.substring_index(F.substring_index(strip(cmd), " ", 1), "/", -1), ":", 1)
 
 
+@of_latest_runs
 def r_port_packages(table: Table, k: int = 3) -> DataFrame:
     """Up to k packages whose name contains the executable's base name, starting matches first.
 
@@ -120,6 +124,7 @@ def r_port_packages(table: Table, k: int = 3) -> DataFrame:
     return first_n(matched, ["run_id", "base"], k, leading, "name", "version").select("hostname", "base", "name", "version")
 
 
+@of_latest_runs
 def r_port_firewall(table: Table, k: int = 3) -> DataFrame:
     """Up to k firewall rules that mention the port: ports are pulled out of each rule, then equi-joined."""
     ports = F.array_distinct(F.regexp_extract_all(
@@ -133,6 +138,7 @@ def r_port_firewall(table: Table, k: int = 3) -> DataFrame:
         "hostname", "local_port", "rule_source", "rule")
 
 
+@of_latest_runs
 def r_unusual_ports(table: Table) -> DataFrame:
     apipa = lambda c: F.coalesce(F.col(c).startswith("169.254."), F.lit(False))
     odd = ~apipa("local_addr") & ~apipa("peer_addr") & (F.col("local_port") > 0) & ~F.col("local_port").isin(C.KNOWN_PORTS)
@@ -141,6 +147,7 @@ def r_unusual_ports(table: Table) -> DataFrame:
 
 # ---- findings and accounts --------------------------------------------------------------------------------
 
+@of_latest_runs
 def r_host_findings(table: Table) -> DataFrame:
     return current_runs(table).join(table("findings"), "run_id").select(
         "hostname", "severity", "category", "title", "details").orderBy("hostname", severity_rank("severity"), "category", "title")
@@ -151,6 +158,7 @@ def _names(c: str, distinct: bool = False) -> Column:
     return F.array_join(F.array_sort(collect(c)), ",")
 
 
+@of_latest_runs
 def r_service_shells(table: Table) -> DataFrame:
     """System accounts (uid below 1000) with a login shell, with their groups."""
     users = table("run_users").filter(
@@ -162,6 +170,7 @@ def r_service_shells(table: Table) -> DataFrame:
         "hostname", "username", "shell", "uid", "groups")
 
 
+@of_latest_runs
 def r_privileged_users(table: Table) -> DataFrame:
     members = table("run_group_members").filter(F.col("groupname").isin(C.ADMIN_GROUPS))
     return current_runs(table).join(members, "run_id").groupBy("hostname", "member_username").agg(
@@ -179,6 +188,7 @@ def r_rare_processes(table: Table, k: int = 10) -> DataFrame:
         "hostname", "cmd", "host_count")
 
 
+@of_latest_runs
 def r_rare_packages(table: Table, k: int = 15) -> DataFrame:
     rows = current_runs(table).join(table("run_packages").select("run_id", "name", "version"), "run_id")
     counts = rows.select("name", "asset_id").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("host_count")).filter("host_count <= 2")
@@ -190,6 +200,7 @@ def r_rare_modules(table: Table, k: int = 10) -> DataFrame:
         "hostname", "module", "host_count", "description", "license")
 
 
+@of_latest_runs
 def r_usb(table: Table) -> DataFrame:
     return current_runs(table).join(table("run_usb_devices"), "run_id").select(
         "hostname", "vendor_id", "product_id", "vendor_name", "product_name", "serial_number", "bus_number", "device_number"
@@ -202,6 +213,7 @@ def r_unique_mounts(table: Table, k: int = 5) -> DataFrame:
 
 # ---- configuration ----------------------------------------------------------------------------------------
 
+@of_latest_runs
 def r_password_accounts(table: Table) -> DataFrame:
     enabled = F.col("status_code") == "P"
     return current_runs(table).join(table("run_passwd_status"), "run_id").groupBy("hostname").agg(
@@ -210,6 +222,7 @@ def r_password_accounts(table: Table) -> DataFrame:
         F.count_if(F.col("status_code") == "L").alias("locked_accounts"), F.count(F.lit(1)).alias("total_accounts"))
 
 
+@of_latest_runs
 def r_audit_config(table: Table) -> DataFrame:
     counts = table("run_audit_rules").groupBy("run_id").agg(F.count(F.lit(1)).alias("rule_count"))
     posture = table("run_audit_posture").select("run_id", "audit_enabled", "audit_immutable")
@@ -217,55 +230,57 @@ def r_audit_config(table: Table) -> DataFrame:
         "hostname", "rule_count", "audit_enabled", "audit_immutable")
 
 
+@of_latest_runs
 def r_firewall_config(table: Table) -> DataFrame:
     return current_runs(table).join(table("run_firewall_rules"), "run_id").groupBy("hostname", "source").agg(
         F.count(F.lit(1)).alias("rule_count"))
 
 
+@of_latest_runs
 def r_firewall_allow(table: Table, k: int = 5) -> DataFrame:
     allow = F.col("rule").ilike("%ACCEPT%") | F.col("rule").ilike("%ALLOW%")
     rows = current_runs(table).join(table("run_firewall_rules").filter(allow), "run_id")
     return first_n(rows, ["hostname"], k, "source", "rule").select("hostname", "source", "rule")
 
 
+@of_latest_runs
 def r_logging(table: Table) -> DataFrame:
-    """Remote logging targets per host (distinct, sorted) and whether the configuration was collected at all."""
-    text = F.col("output_text")
-    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    targets = F.when(
-        F.col("command").ilike("%rsyslog.conf%"),
-        F.concat(every(r"@@([A-Za-z0-9._-]+)"), every(r"@([A-Za-z0-9._-]+)"), every(r'target\s*=\s*"([^"]+)"'))
-    ).otherwise(F.concat(*[every(rf"(?m)^[ \t]*{k}[ \t]*=[ \t]*(\S+)") for k in ("ForwardToSyslog", "ForwardToConsole", "ForwardToWall")]))
-    conf = table("run_commands").filter(F.col("command").ilike("%rsyslog.conf%") | F.col("command").ilike("%journald.conf%"))
-    kind = F.when(F.col("command").ilike("%rsyslog.conf%"), "rsyslog").otherwise("journald")
-    first = conf.groupBy("run_id", kind.alias("kind")).agg(F.min("command_index").alias("command_index"))
-    chosen = conf.withColumn("kind", kind).join(first, ["run_id", "kind", "command_index"]).filter(F.trim(text) != "").select(
-        "run_id", F.filter(F.transform(targets, lambda t: F.trim(t)), lambda t: t != "").alias("targets"))
-    per_run = chosen.groupBy("run_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets")))).alias("targets"))
-    return table("v_asset_current").select("hostname", F.col("last_run_id").alias("run_id")).join(per_run, "run_id", "left").select(
+    """Remote logging targets of each host, sorted, as its rsyslog configuration states them outside comments."""
+    fact = table("run_facts").filter("fact_group = 'rsyslog' AND fact_key = 'remote_destinations'").select(
+        "run_id", F.array_sort(F.from_json("fact_value", "array<string>")).alias("targets"))
+    return table("v_asset_current").select("hostname", F.col("last_run_id").alias("run_id")).join(fact, "run_id", "left").select(
         "hostname", F.array_join("targets", ",").alias("targets"),
         F.when(F.col("targets").isNull(), "not collected").when(F.size("targets") == 0, "none found").otherwise("detected").alias("status"))
 
 
+@of_latest_runs
 def r_logging_services(table: Table) -> DataFrame:
     units = table("run_services_systemctl").filter("unit IN ('rsyslog.service', 'systemd-journald.service')")
     return current_runs(table).join(units, "run_id").select("hostname", "unit", "load", "active", "sub").orderBy("hostname", "unit")
 
 
+@of_latest_runs
 def r_routes(table: Table, k: int = 10) -> DataFrame:
     rows = current_runs(table).join(
         table("run_routes").filter("destination NOT IN ('default', '0.0.0.0', '::/0')"), "run_id")
     return first_n(rows, ["hostname"], k, "destination", "gateway", "iface").select("hostname", "destination", "gateway", "iface")
 
 
+def _login_time(text: str, run: str) -> Column:
+    """Time of a lastlog entry such as `Mon Jan 01 00:00:00 +0000 2024`, or of any other known form."""
+    zoned = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, r"^\w{3} +(?=[A-Za-z])", ""), " +", " "), F.lit("MMM d H:m:s xx yyyy"))
+    return F.coalesce(zoned, free_text_to_utc(text, run))
+
+
 def _active(table: Table) -> DataFrame:
     log = table("run_lastlog").filter(F.col("latest").isNotNull() & ~F.col("latest").ilike("%never%"))
-    return current_runs(table).join(log, "run_id")
+    return current_runs(table, "last_collected_at_utc").join(log, "run_id").withColumn("latest_utc", _login_time("latest", "last_collected_at_utc"))
 
 
+@of_latest_runs
 def r_active_accounts(table: Table, k: int = 10) -> DataFrame:
     """The k latest lastlog entries per host with account details."""
-    top = first_n(_active(table), ["hostname"], k, F.desc("latest"), F.col("username"))
+    top = first_n(_active(table), ["hostname"], k, F.desc_nulls_last("latest_utc"), F.col("username"))
     users = table("run_users").select("run_id", "username", "uid", "gid", "home", "shell")
     groups = table("run_groups").select("run_id", "gid", "groupname")
     domain = F.contains("username", F.lit("\\")) | F.contains("username", F.lit("@"))
@@ -274,11 +289,12 @@ def r_active_accounts(table: Table, k: int = 10) -> DataFrame:
         "uid", "gid", "groupname", "home", "shell")
 
 
+@of_latest_runs
 def r_active_by_node(table: Table) -> DataFrame:
     """Users with a recorded login per host, latest first."""
-    ordered = F.array_sort(F.collect_list(F.struct("latest", "username")), lambda a, b: (
-        F.when(a["latest"] > b["latest"], -1).when(a["latest"] < b["latest"], 1)
-        .when(a["username"] < b["username"], -1).when(a["username"] > b["username"], 1).otherwise(0)))
+    # entries without a readable time come last
+    since = F.coalesce(F.unix_micros("latest_utc"), F.lit(-(2**63)))
+    ordered = F.array_sort(F.collect_list(F.struct((-(since + 1)).alias("order"), "username")))
     return _active(table).groupBy("hostname").agg(
         F.array_join(F.transform(ordered, lambda x: x["username"]), ", ").alias("users"))
 

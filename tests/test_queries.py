@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from fixtures.cases import CASES
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = {name: q for name, q in entry.queries().items() if name in CASES}, entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
