@@ -50,18 +50,18 @@ def _found(table: str, severity: str, category: str, title: str, details: str, s
 
 
 FINDINGS = {
-    "finding_audit_disabled": _found("run_audit_posture", "high", "audit", "'Audit subsystem disabled'", "'The audit subsystem is disabled, preventing security event logging'", "fx_host WHERE audit_enabled = '0'"),
-    "finding_audit_mutable": _found("run_audit_posture", "medium", "audit", "'Audit rules not immutable'", "'Audit rules can be modified at runtime, potentially allowing attackers to disable logging'", "fx_host WHERE audit_enabled <> '2'"),
-    "finding_selinux_disabled": _found("run_selinux_posture", "high", "selinux", "'SELinux disabled'", "'SELinux is disabled, removing mandatory access controls'", "fx_host WHERE selinux = 'disabled'"),
-    "finding_selinux_permissive": _found("run_selinux_posture", "medium", "selinux", "'SELinux in permissive mode'", "'SELinux is in permissive mode, logging violations but not enforcing policy'", "fx_host WHERE selinux = 'permissive'"),
-    "finding_apparmor_mixed": _found("run_apparmor_posture", "medium", "apparmor", "'AppArmor mixed enforcement mode'", "'Some AppArmor profiles are in complain mode while others are enforcing'", "fx_host WHERE bal <= 4000"),
-    "finding_default_routes": _found("run_network_posture", "medium", "network", "'Multiple default routes configured'", "'Multiple default routes may indicate routing misconfiguration or MITM attempts'", "fx_host WHERE two_routes = 1"),
-    "finding_nameservers": _found("run_network_posture", "medium", "network", "'Unexpected nameservers: 8.8.8.8'", "'Found 1 unexpected nameservers that may indicate DNS hijacking'", "fx_host WHERE nation % 4 = 0"),
-    "finding_root_process": _found("run_process_insights", "high", "process", f"'Suspicious root processes detected (' || {s('n')} || ')'", "'Root processes with potentially malicious command lines found'",
+    "finding_audit_disabled": _found("run_audit_posture", "high", "audit", "'Audit subsystem disabled'", "'Auditing is off on this host, so security events leave no record'", "fx_host WHERE audit_enabled = '0'"),
+    "finding_audit_mutable": _found("run_audit_posture", "medium", "audit", "'Audit rules not immutable'", "'Audit rules are not locked: whoever gains root can switch recording off'", "fx_host WHERE audit_enabled <> '2'"),
+    "finding_selinux_disabled": _found("run_selinux_posture", "high", "selinux", "'SELinux disabled'", "'No mandatory access control by SELinux is in force'", "fx_host WHERE selinux = 'disabled'"),
+    "finding_selinux_permissive": _found("run_selinux_posture", "medium", "selinux", "'SELinux in permissive mode'", "'SELinux only reports what its policy would forbid'", "fx_host WHERE selinux = 'permissive'"),
+    "finding_apparmor_mixed": _found("run_apparmor_posture", "medium", "apparmor", "'AppArmor mixed enforcement mode'", "'Part of the AppArmor profiles only report, the others enforce'", "fx_host WHERE bal <= 4000"),
+    "finding_default_routes": _found("run_network_posture", "medium", "network", "'Multiple default routes configured'", "'More than one way out of the network is set; check that each is wanted'", "fx_host WHERE two_routes = 1"),
+    "finding_nameservers": _found("run_network_posture", "medium", "network", "'Unexpected nameservers: 8.8.8.8'", "'1 name servers are outside the expected set'", "fx_host WHERE nation % 4 = 0"),
+    "finding_root_process": _found("run_process_insights", "high", "process", f"'Suspicious root processes detected (' || {s('n')} || ')'", "'Command lines of root processes match patterns of known abuse'",
         f"(SELECT x.run_id, count(*) AS n FROM ({ROOT_NOTES}) f JOIN fx_runs x ON f.h = x.h AND f.r = x.r WHERE f.kind = 'root' GROUP BY x.run_id) q"),
-    "finding_failed_logins": _found("run_failed_logins", "medium", "auth", f"'High number of failed logins (' || {s('n')} || ')'", "'Large number of failed login attempts may indicate brute force attacks'",
+    "finding_failed_logins": _found("run_failed_logins", "medium", "auth", f"'High number of failed logins (' || {s('n')} || ')'", "'More failed logins than usual; passwords may be being tried out'",
         f"(SELECT run_id, count(*) AS n FROM ({FAILED}) f GROUP BY run_id HAVING count(*) > 10) q"),
-    "finding_systemd_units": _found("run_persistence_insights", "medium", "persistence", f"'Suspicious systemd units (' || {s('n')} || ')'", "'Non-standard systemd units that may indicate persistence mechanisms'",
+    "finding_systemd_units": _found("run_persistence_insights", "medium", "persistence", f"'Suspicious systemd units (' || {s('n')} || ')'", "'Units outside the usual set start with the system'",
         "(SELECT run_id, count(*) AS n FROM fx_files WHERE source = 'systemd_dirs' AND name LIKE '%.service' GROUP BY run_id) q"),
 }
 for _rule, _table in findings.RULES:

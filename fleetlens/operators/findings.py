@@ -16,37 +16,37 @@ def _finding(rows: DataFrame, table: str, severity: str, category: str, title: C
         text(details).alias("details"), F.concat_ws(".", F.lit(table), "run_id").alias("evidence_ref"))
 
 
-# Severity, category and wording of findings are fixed values.
+# Severity, category and title of findings are fixed values; the explanations are our own.
 
 def finding_audit_disabled(audit: DataFrame) -> DataFrame:
     return _finding(audit.filter("audit_enabled = 0"), "run_audit_posture", "high", "audit", "Audit subsystem disabled",
-                    "The audit subsystem is disabled, preventing security event logging")
+                    "Auditing is off on this host, so security events leave no record")
 
 
 def finding_audit_mutable(audit: DataFrame) -> DataFrame:
     return _finding(audit.filter("audit_immutable = 0"), "run_audit_posture", "medium", "audit", "Audit rules not immutable",
-                    "Audit rules can be modified at runtime, potentially allowing attackers to disable logging")
+                    "Audit rules are not locked: whoever gains root can switch recording off")
 
 
 def finding_selinux_disabled(selinux: DataFrame) -> DataFrame:
     return _finding(selinux.filter("selinux_disabled = 1"), "run_selinux_posture", "high", "selinux", "SELinux disabled",
-                    "SELinux is disabled, removing mandatory access controls")
+                    "No mandatory access control by SELinux is in force")
 
 
 def finding_selinux_permissive(selinux: DataFrame) -> DataFrame:
     return _finding(selinux.filter("selinux_disabled = 0 AND selinux_permissive = 1"), "run_selinux_posture", "medium", "selinux",
-                    "SELinux in permissive mode", "SELinux is in permissive mode, logging violations but not enforcing policy")
+                    "SELinux in permissive mode", "SELinux only reports what its policy would forbid")
 
 
 def finding_apparmor_mixed(apparmor: DataFrame) -> DataFrame:
     return _finding(apparmor.filter("apparmor_mixed_mode = 1"), "run_apparmor_posture", "medium", "apparmor",
-                    "AppArmor mixed enforcement mode", "Some AppArmor profiles are in complain mode while others are enforcing")
+                    "AppArmor mixed enforcement mode", "Part of the AppArmor profiles only report, the others enforce")
 
 
 def finding_default_routes(network: DataFrame) -> DataFrame:
     return _finding(network.filter("multiple_default_routes = 1"), "run_network_posture", "medium", "network",
                     "Multiple default routes configured",
-                    "Multiple default routes may indicate routing misconfiguration or MITM attempts")
+                    "More than one way out of the network is set; check that each is wanted")
 
 
 def finding_nameservers(network: DataFrame) -> DataFrame:
@@ -54,28 +54,28 @@ def finding_nameservers(network: DataFrame) -> DataFrame:
     return _finding(
         network.filter(F.size(servers) > 0), "run_network_posture", "medium", "network",
         F.concat(F.lit("Unexpected nameservers: "), F.array_join(servers, ", ")),
-        F.format_string("Found %d unexpected nameservers that may indicate DNS hijacking", F.size(servers)))
+        F.format_string("%d name servers are outside the expected set", F.size(servers)))
 
 
 def finding_root_process(processes: DataFrame) -> DataFrame:
     n = F.size("suspicious_root_processes")
     return _finding(processes.filter(n > 0), "run_process_insights", "high", "process",
                     F.format_string("Suspicious root processes detected (%d)", n),
-                    "Root processes with potentially malicious command lines found")
+                    "Command lines of root processes match patterns of known abuse")
 
 
 def finding_failed_logins(failed_logins: DataFrame) -> DataFrame:
     counted = failed_logins.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FAILED_LOGIN_THRESHOLD)
     return _finding(counted, "run_failed_logins", "medium", "auth",
                     F.format_string("High number of failed logins (%d)", "n"),
-                    "Large number of failed login attempts may indicate brute force attacks")
+                    "More failed logins than usual; passwords may be being tried out")
 
 
 def finding_systemd_units(persistence: DataFrame) -> DataFrame:
     n = F.size("suspicious_systemd_units")
     return _finding(persistence.filter(n > 0), "run_persistence_insights", "medium", "persistence",
                     F.format_string("Suspicious systemd units (%d)", n),
-                    "Non-standard systemd units that may indicate persistence mechanisms")
+                    "Units outside the usual set start with the system")
 
 
 # rule -> table it reads

@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from fleetlens import constants as C
 from fleetlens.functions.scalars import address_type, bind_scope, interface_type, route_type
 from fleetlens.functions.text import (
-    RUN_COLS, at, block, chunks, extract, first_line, groups, last_wins, last_wins_unless_null, lines, strip, to_int, tokens,
+    RUN_COLS, at, block, chunks, extract, first_line, last_wins, last_wins_unless_null, lines, strip, to_int, tokens,
 )
 
-_IFACE = r"^\d+:\s+([^:]+):.*\bmtu\s+(\d+)\b.*\bstate\s+(\S+)\b"
-
-
 def _interface_chunks(blocks: DataFrame) -> DataFrame:
-    head = first_line("chunk")
-    parts = chunks(block(blocks, "ip_addr"), r"\d+:\s+[^:\n]+:[^\n]*\bmtu\s+\d+\b[^\n]*\bstate\s+\S")
-    return parts.filter(head.rlike(_IFACE)).select(
-        *RUN_COLS, "chunk_no", "chunk", F.regexp_extract(head, _IFACE, 1).alias("ifname"),
-        to_int(F.regexp_extract(head, _IFACE, 2)).alias("mtu"), F.regexp_extract(head, _IFACE, 3).alias("state"))
+    """One row per numbered header line with the lines below it; header words come as name/value pairs behind the name."""
+    words = tokens(first_line("chunk"))
+    after = lambda name: at(words, F.array_position(words, F.lit(name)).cast("int"))
+    parts = chunks(block(blocks, "ip_addr"), r"\d+:[ \t]")
+    return parts.filter(F.array_contains(words, "mtu") & F.array_contains(words, "state") & at(words, 1).endswith(":")).select(
+        *RUN_COLS, "chunk_no", "chunk", F.substring_index(at(words, 1), ":", 1).alias("ifname"),
+        to_int(after("mtu")).alias("mtu"), after("state").alias("state"))
 
 
 def run_interfaces(blocks: DataFrame) -> DataFrame:
@@ -91,16 +90,17 @@ def _address_and_port(c: Column) -> tuple[Column, Column]:
 
 
 def run_listening_sockets(blocks: DataFrame) -> DataFrame:
-    pattern = r"^(\S+)\s+(\S+)\s+\S+\s+\S+\s+(\S+)\s+(\S+)\s*(users:\(\(.*\)\))?\s*$"
     rows = lines(block(blocks, "ss_punt")).filter(
         ~F.col("raw").startswith("Netid ") & ~F.col("raw").startswith("State ")
-    ).select("run_id", "line_no", "raw", groups("raw", pattern, 5).alias("g")).filter(F.size("g") == 5)
-    g = lambda i: at(F.col("g"), i - 1)
+    ).select("run_id", "line_no", "raw", tokens("raw", 7).alias("t"))
+    # protocol, state, two queues, local and peer address, and the owners, if they are known
+    t = lambda i: at(F.col("t"), i)
+    rows = rows.filter((F.size("t") == 6) | (t(6).startswith("users:((") & t(6).endswith("))")))
     local_addr, local_port = _address_and_port(F.col("local"))
     peer_addr, peer_port = _address_and_port(F.col("peer"))
     owner = r'"([^"]+)".*pid=(\d+)'
-    parsed = rows.select("run_id", "line_no", "raw", g(1).alias("proto"), g(2).alias("state"), g(3).alias("local"),
-                         g(4).alias("peer"), g(5).alias("users"))
+    parsed = rows.select("run_id", "line_no", "raw", t(0).alias("proto"), t(1).alias("state"), t(4).alias("local"),
+                         t(5).alias("peer"), t(6).alias("users"))
     typed = parsed.select(
         "run_id", "line_no", "proto", "state", local_addr.alias("local_addr"), local_port.alias("local_port"),
         peer_addr.alias("peer_addr"), peer_port.alias("peer_port"), extract("users", owner, 1).alias("process_name"),

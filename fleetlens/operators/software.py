@@ -10,7 +10,7 @@ from fleetlens.functions.scalars import (
     audit_id_filter, listing_time_to_utc, permission_octal, process_parts, process_start_to_utc, shell_words, unit_type,
 )
 from fleetlens.functions.text import (
-    literal_map, RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, groups, keyed_lines, last_wins, lines, starts_with_any, strip, to_int,
+    literal_map, RUN_COLS, at, blank_to_null, block, chunks, extract, first_line, keyed_lines, last_wins, lines, starts_with_any, strip, to_int,
     to_long, tokens,
 )
 
@@ -124,14 +124,16 @@ def run_containers(blocks: DataFrame) -> DataFrame:
     rows = _container_lines(blocks.filter(usable)).filter(F.col("line").rlike(r"^[0-9a-f]{12}\s+."))
     rest = F.regexp_extract("line", r"^[0-9a-f]{12}\s+(.+)", 1)
     cells = F.split("rest", r"\s{2,}")
-    status = F.when(
-        F.contains("rest", F.lit("Up ")), extract("rest", r"(Up\s+\d+\s+\w+(?:\s+\d+\s+\w+)?)")
-    ).when(F.contains("rest", F.lit("Exited ")), strip(extract("rest", r"(Exited\s+\([^)]+\)[^0-9]*(?:\d+\s+\w+\s+ago)?)")))
+    # columns are two spaces or more apart; health notes behind the time do not count
+    is_status = lambda c: c.startswith("Up ") | c.startswith("Exited ")
+    found = F.get(F.filter(cells, is_status), F.lit(0))
+    status = F.when(found.startswith("Up "), F.substring_index(found, " (", 1)).otherwise(found)
+    created = F.get(F.filter(cells, lambda c: strip(c).endswith(" ago") & ~is_status(c)), F.lit(0))
     parsed = rows.select("run_id", "line_no", "line", F.substring_index("command_tag", "_", 1).alias("runtime"), rest.alias("rest"))
     typed = parsed.select(
         "run_id", "line_no", "runtime", F.substring("line", 1, 12).alias("container_id"), strip(at(cells, 0)).alias("image"),
         strip(status).alias("status"), strip(F.element_at(cells, -1)).alias("names"),
-        extract("rest", r"(\d+\s+(?:months?|days?|weeks?|hours?)\s+ago)").alias("created_text"),
+        strip(created).alias("created_text"),
         F.lit(None).cast("string").alias("ports_text"), F.col("line").alias("raw_line"))
     return last_wins(typed, ["run_id", "runtime", "container_id"]).drop("line_no")
 
@@ -222,17 +224,19 @@ def run_file_listings(blocks: DataFrame) -> DataFrame:
     flat = block(blocks, "recent_bins").select(
         *RUN_COLS, "command_tag", F.lit(0).alias("chunk_no"), F.lit(None).cast("string").alias("directory"),
         F.col("output_text").alias("chunk"))
-    pattern = (r"^([dl-][rwxStTs-]{9})[.+]?\s+\d+\s+(\S+)\s+(\S+)\s+(\d+)\s+(\S+)\s+(\d+)\s+(\S+)\s+(.+)$")
     rows = lines(parts.unionByName(flat), "chunk", keep=("command_tag", "chunk_no", "directory")).select(
-        *RUN_COLS, "command_tag", "chunk_no", "directory", "line_no", "raw", groups("raw", pattern, 8).alias("g")
-    ).filter(F.size("g") == 8)
-    g = lambda i: at(F.col("g"), i - 1)
+        *RUN_COLS, "command_tag", "chunk_no", "directory", "line_no", "raw", F.split("raw", r"\s+", 9).alias("t"))
+    # mode, links, owner, group, size, three words of time, name
+    t = lambda i: at(F.col("t"), i)
+    is_mode = F.substring(t(0), 1, 1).isin("d", "l", "-") & F.length(t(0)).between(10, 11) & (F.translate(F.substring(t(0), 2, 9), "rwxStTs-", "") == "")
+    is_entry = (F.size("t") == 9) & is_mode & to_long(t(1)).isNotNull() & to_long(t(4)).isNotNull() & to_long(t(6)).isNotNull() & (t(8) != "")
+    rows = rows.filter(is_entry)
     source = literal_map(C.LISTING_SOURCES)
     parsed = rows.select(
         *RUN_COLS, F.struct("command_tag", "chunk_no", "line_no").alias("ord"), "directory",
-        F.try_element_at(source, F.col("command_tag")).alias("source"), g(1).alias("perms"), g(2).alias("owner"),
-        g(3).alias("grp"), to_long(g(4)).alias("size_bytes"), F.concat_ws(" ", g(5), g(6), g(7)).alias("mtime_text"),
-        g(8).alias("full_name"), F.col("raw").alias("raw_line"))
+        F.try_element_at(source, F.col("command_tag")).alias("source"), F.substring(t(0), 1, 10).alias("perms"), t(2).alias("owner"),
+        t(3).alias("grp"), to_long(t(4)).alias("size_bytes"), F.concat_ws(" ", t(5), t(6), t(7)).alias("mtime_text"),
+        t(8).alias("full_name"), F.col("raw").alias("raw_line"))
     arrow = F.instr("full_name", " -> ")
     link = F.col("perms").startswith("l")
     named = parsed.withColumn(
