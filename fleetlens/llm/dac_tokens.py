@@ -31,8 +31,8 @@ from fleetlens.llm.common import steps
 SEGMENT_IDS = 1 << 16
 RANK_BITS = 512
 END_ID = 1
-#: Words whose ids a worker remembers at most; beyond that it forgets all and begins anew.
-CACHED_WORDS = 800_000
+#: Words, and runs of letters, whose ids a worker remembers at most; beyond that it forgets them and begins anew.
+CACHED_WORDS, CACHED_RUNS = 400_000, 900_000
 
 
 class Level:
@@ -144,21 +144,22 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian u32 ids of each text; null is empty."""
         split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) + len(self.runs) > CACHED_WORDS:
-            self._forget()
+        if len(self.runs) > CACHED_RUNS:
+            self.runs = {"": b""}
+        if len(self.known) > CACHED_WORDS:
+            self.known = {"": b""}
         known, runs = self.known, self.runs
-        plain, rest, new = [], [], {w for words in split for w in words if w not in known}
-        for word in new:
-            if found := self.PLAIN.fullmatch(word):
+        plain, rest, match = [], [], self.PLAIN.fullmatch
+        for word in set().union(*split):
+            if word in known:
+                continue
+            if found := match(word):
                 plain.append((word, found[1].lower(), found[2]))
             else:
                 rest.append(word)
@@ -167,7 +168,7 @@ class Words:
         for word, run, signs in plain:
             known[word] = runs[run] + runs[signs] if signs else runs[run]
         self._learn(self.tokenizer, rest, known)
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     @staticmethod
     def _learn(tokenizer, words: list[str], into: dict[str, bytes]) -> None:
