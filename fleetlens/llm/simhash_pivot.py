@@ -33,6 +33,8 @@ WORDS = 3
 REFERENCES = 32
 BAND_REFERENCES = 16
 HOT_CELL = 2048
+#: Bits of a cell's number. Cells that share one are compared in vain, no more; fewer bits make smaller shuffles.
+CELL_BITS = 40
 SEED = 42
 #: Words of a text that are hashed at a time.
 WORD_STEP = 500_000
@@ -88,7 +90,7 @@ def cell(fps: np.ndarray, mask: int, refs: np.ndarray) -> np.ndarray:
     for column in table.T:
         out = (out ^ column) * _MIX
         out ^= out >> np.uint64(29)
-    return out
+    return out >> np.uint64(64 - CELL_BITS)
 
 
 def band_masks(bands: int) -> list[int]:
@@ -132,7 +134,7 @@ def _divided(radius: int):
                 for half in (free[: len(free) // 2], free[len(free) // 2 :]):
                     for out in itertools.combinations(half, radius // 2):
                         mask = sum(1 << b for b in half if b not in out)
-                        yield _rows((cells ^ cell(fps, mask, refs)) * _MIX, kind, fps, ids)
+                        yield _rows(((cells + (cell(fps, mask, refs) << np.uint64(20))) * _MIX) >> np.uint64(64 - CELL_BITS), kind, fps, ids)
 
     return run
 
