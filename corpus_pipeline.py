@@ -26,8 +26,10 @@ def _whole(docs: DataFrame):
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters (null and empty texts too) and those of no clear language go."""
-    judged = lang_nb.predict(docs, lang_nb.fit(docs), [_whole(docs)])
+    """Documents without letters (null and empty texts too) and those of no clear language go: of two about as likely, or such that no labelled
+    language fits them as it fits its own texts (other languages, gibberish)."""
+    model = lang_nb.fit(docs)
+    judged = lang_nb.predict(lang_nb.clear(docs, model, lang_nb.usual(docs, model)), model, [_whole(docs)])
     return judged.filter((F.col("lang_pred") != lang_nb.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
 
 

@@ -26,6 +26,9 @@ BUCKETS = 1 << BITS
 MAX_LANGS = 1000
 UNDETERMINED = "und"
 SMOOTHING = 0.5
+#: A text is not clearly of a language if it fits so many standard deviations worse than usual, or leads by less than this share of the usual lead.
+SPREADS = 8.0
+LEAST_LEAD = 0.25
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -97,24 +100,87 @@ def fit(labelled: DataFrame) -> Model:
         return Model([r["lang"] for r in lists], np.log(table / table.sum(axis=0)), np.log(docs / max(1.0, docs.sum())))
 
 
+@dataclass
+class Usual:
+    """What is usual among training texts of each language that are taken for it: fit (mean log probability of an n-gram), its variance, and lead (fit less
+    that of the next language); and the variance of the log probability of one of its n-grams."""
+
+    fit: dict[str, float]
+    variance: dict[str, float]
+    lead: dict[str, float]
+    of_one: dict[str, float]
+
+
 def score_batch(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and posterior of each text. Equal scores go to the language first in the alphabet."""
+    return measure_batch(model, texts)[:2]
+
+
+def measure_batch(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[float], list[int]]:
+    """Language, posterior, fit, lead (see Usual) and number of n-grams of each text. The lead over no other language is infinite."""
     found = [buckets(t) for t in texts]
     sizes = np.array([len(x) for x in found], np.int64)
-    langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+    langs, scores, fits, leads = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     some = np.flatnonzero(sizes)
     if not len(some) or not model.langs:
-        return langs, scores
+        return langs, scores, fits, leads, sizes.tolist()
     starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
     at = np.concatenate([found[i] for i in some])
-    logs = np.stack([np.add.reduceat(column[at], starts) for column in model.log_prob.T], axis=1) + model.log_prior
+    sums = np.stack([np.add.reduceat(column[at], starts) for column in model.log_prob.T], axis=1)
+    means = sums / sizes[some][:, None]
+    logs = sums + model.log_prior
     logs -= logs.max(axis=1, keepdims=True)
     share = np.exp(logs)
     share /= share.sum(axis=1, keepdims=True)
     for row, i in enumerate(some):
         best = int(share[row].argmax())
-        langs[i], scores[i] = model.langs[best], float(share[row, best])
-    return langs, scores
+        langs[i], scores[i], fits[i] = model.langs[best], float(share[row, best]), float(means[row, best])
+        leads[i] = fits[i] - float(np.delete(means[row], best).max(initial=-np.inf))
+    return langs, scores, fits, leads, sizes.tolist()
+
+
+def usual(labelled: DataFrame, model: Model) -> Usual:
+    """Measure all rows of (text, lang) that the model takes for their own language."""
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            langs, _, fits, leads, _ = measure_batch(shared.value, batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(langs, pa.string()), pa.array(fits, pa.float64()), pa.array(leads, pa.float64())], ["lang", "lang_pred", "fit", "lead"])
+
+    found = rows.mapInArrow(run, "lang string, lang_pred string, fit double, lead double").filter("lang = lang_pred").groupBy("lang")
+    lists = found.agg(F.avg("fit").alias("fit"), F.var_pop("fit").alias("variance"), F.avg("lead").alias("lead")).collect()  # MAX_LANGS rows at most
+    share = np.exp(model.log_prob)
+    of_one = (share * model.log_prob**2).sum(axis=0) - (share * model.log_prob).sum(axis=0) ** 2
+    return Usual(*[{r["lang"]: r[c] for r in lists} for c in ("fit", "variance", "lead")], dict(zip(model.langs, of_one.tolist(), strict=True)))
+
+
+def least_fit(known: Usual, lang: str, n: int) -> float:
+    """The worst fit that a text of n n-grams may have: SPREADS standard deviations under the usual, of texts among themselves and of n n-grams of this language; and never
+    nearer to the fit of a text of random n-grams than to the usual."""
+    # n-grams of all orders at a place come and go together
+    spread = np.sqrt(known.variance[lang] + len(ORDERS) * known.of_one[lang] / n)
+    return max(known.fit[lang] - SPREADS * spread, (known.fit[lang] - np.log(BUCKETS)) / 2)
+
+
+def clear_batch(model: Model, known: Usual, texts: list[str | None]) -> list[bool]:
+    """Which texts are of a language of the model and clearly so: they fit it as its own texts do, and better than the next language."""
+    langs, _, fits, leads, sizes = measure_batch(model, texts)
+    return [lang in known.fit and fit >= least_fit(known, lang, n) and lead >= LEAST_LEAD * known.lead[lang] for lang, fit, lead, n in zip(langs, fits, leads, sizes, strict=True)]
+
+
+def clear(docs: DataFrame, model: Model, known: Usual) -> DataFrame:
+    """The rows of docs whose column text is clearly of a language of the model (see clear_batch), all columns kept."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("text").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            passed = pa.array(clear_batch(*shared.value, batch.column("text").to_pylist()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("kept").filter(passed)], ["kept"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["kept"]])).select("kept.*")
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
