@@ -1,0 +1,139 @@
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of LEAST or more, and what such links reach.
+
+Candidates come from two sources, and only candidates whose sets are compared and similar enough are links. One is the links of SimHash fingerprints,
+thinned to forests. The other are min-hash keys: the smallest hashes of a set under PER_KEY mixings make a key, and texts meet that share one of KEYS keys; two
+texts of similarity s share none with a probability of (1 - s ** PER_KEY) ** KEYS, which is 6e-7 at 0.8.
+
+Texts of equal words are one vertex. Pairs of a key are not listed while much can be joined by stars: in each round one text of a key is compared with those that do
+not belong to its group yet. Texts already joined need no comparison; the pairs that are left are compared, all of them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.llm import simhash_pivot
+from fleetlens.llm.common import steps, stored
+from fleetlens.llm.components import components
+
+LEAST = 0.8
+WORDS = 5
+KEYS, PER_KEY = 20, 3
+#: So many pairs are compared without another round of stars.
+FEW_PAIRS = 100_000
+
+_MULTIPLIERS = np.random.default_rng(42).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """The different hashes of all runs of `words` words (of all words, if there are fewer), sorted; none if there is no word."""
+    found = (text or b"").lower().split()
+    size = min(words, len(found))
+    if not size:
+        return np.empty(0, np.uint64)
+    hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)
+    total = np.full(len(found) - size + 1, size, np.uint64)
+    for k in range(size):
+        total += hashed[k : k + len(total)] * _MULTIPLIERS[k]
+        total ^= total >> np.uint64(29)
+    return np.unique(total * _MIX)
+
+
+def keys(hashes: np.ndarray) -> list[int]:
+    """Min-hash keys of a set; none if it is empty."""
+    out = []
+    for k in range(KEYS if len(hashes) else 0):
+        key = np.uint64(k + 1)
+        for j in range(PER_KEY):
+            by = _MULTIPLIERS[k * PER_KEY + j]
+            mixed = (hashes ^ (hashes >> np.uint64(32)) ^ by) * by
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
+            with np.errstate(over="ignore"):
+                key = (key ^ mixed.min() ^ (key >> np.uint64(30))) * by
+        out.append(int(key.view(np.int64)))
+    return out
+
+
+def _marks(words: int, prints: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            fps = np.array([simhash_pivot.fingerprint(t, words, prints) for t in texts], np.uint64).reshape(-1, prints).view(np.int64)
+            digests = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+            found = [keys(shingles(t)) for t in texts]
+            columns = [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64())), *[pa.array(c) for c in np.ascontiguousarray(fps.T)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "keys", *[f"fp{k}" for k in range(prints)]])
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches, "text"):
+        found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64())], ["id", "hashes", "n"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of which the sets (id, hashes, n) have a Jaccard similarity of `least` or more."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    # sizes too far apart need no comparison
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}")).distinct(), end)
+    pairs = pairs.filter(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("hashes").alias(f"h{end}")), end)
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.filter(both >= least * (F.size("ha") + F.size("hb") - both) - 1e-9).select("a", "b").distinct()
+
+
+def classes(docs: DataFrame, words: int, radius: int, prints: int, least: float = LEAST, few_pairs: int = FEW_PAIRS) -> DataFrame:
+    """(doc_id, component_id) of every row of docs (doc_id, text): component_id is the smallest doc_id that links reach. words, radius and prints are those of
+    the SimHash candidates. Rows with a null doc_id link with nothing and get a null component_id. Texts without words are equal. An empty table gives no rows.
+    """
+    names = [f"fp{k}" for k in range(prints)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    kinds = ", ".join(["doc_id long, digest binary, keys array<long>", *[f"{n} long" for n in names]])
+    marked = stored(rows.mapInArrow(_marks(words, prints), kinds), "near-marks")
+    first = [F.first(c).alias(c) for c in ("keys", *names)]
+    vertices = stored(marked.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), *first), "near-vertices")
+    every = vertices.select("id", F.explode("keys").alias("key")).distinct()
+    members = stored(every.join(every.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "key"), "near-members")
+    near = stored(simhash_pivot.links(vertices.select("id", *names), radius, prints).select("a", "b"), "near-simhash")
+    asked = members.select("id").union(near.select("a")).union(near.select("b")).distinct()
+    texts = rows.join(asked.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text")
+    sets = stored(texts.mapInArrow(_sets, "id long, hashes array<long>, n long"), "near-sets")
+    links = stored(verified(near, sets, least), "near-links")
+    many, round_no = max(few_pairs, members.count()), 0
+    while True:
+        labels = components(links, "near")
+        joined = stored(members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), "near-labels")
+        per_key = joined.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("pairs")).filter("pairs > 0")
+        left = joined.join(per_key, "key")
+        total = per_key.agg(F.sum("pairs")).first()[0] or 0
+        if not total:
+            break
+        if last := total <= 2 * many:
+            other = left.select("key", F.col("id").alias("b"), F.col("label").alias("other"))
+            pairs = left.select("key", F.col("id").alias("a"), "label").join(other, "key").filter("a < b AND label <> other").select("a", "b")
+        else:
+            order = F.struct(F.xxhash64("id", F.lit(round_no)), "id", "label")
+            centre = left.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.label").alias("other"))
+            pairs = left.join(centre, "key").filter("label <> other").select(F.col("id").alias("a"), "b")
+        found = stored(verified(pairs, sets, least), "near-links")
+        links = links.union(found)
+        if last:
+            labels = components(links, "near")
+            break
+        if found.isEmpty():
+            # stars join nothing more: the rest is compared as it is
+            many = total
+        round_no += 1
+    named = vertices.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return marked.join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -1,0 +1,46 @@
+"""The near-copy stage against all pairs of documents."""
+
+import itertools
+import random
+
+import pytest
+
+import corpus_pipeline
+from fleetlens.llm import near_text
+from tests.llm.test_text_operators import least_reached
+
+
+def shingle_set(text, size=5):
+    words = text.lower().split()
+    size = min(size, len(words))
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+
+
+def all_links(texts):
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    return [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def edited():
+    """Copies with few and with many edits, chains of copies of copies, and texts of one vocabulary."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "re", "so", "ta", "ve") for b in ("n", "r", "s", "mo", "la")]
+    texts = []
+    for k in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((8, 30, 80, 300)))]
+        family = [base]
+        for share in (0.0, 0.01, 0.02, 0.04, 0.06, 0.2):
+            family.append([rng.choice(vocabulary) if rng.random() < share else w for w in (family[-1] if k % 2 else base)])
+        texts += family
+    rng.shuffle(texts)
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("few_pairs", [0, 100_000])
+def test_links_are_those_of_all_pairs(spark, few_pairs):
+    texts = edited()
+    want = least_reached(all_links(texts), texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_text.classes(docs, corpus_pipeline.COPY_WORDS, corpus_pipeline.COPY_RADIUS, corpus_pipeline.COPY_PRINTS, few_pairs=few_pairs).collect()}
+    assert got == want
+    assert 100 < len(set(want.values())) < len(want) - 50
