@@ -2,9 +2,9 @@
 
 Equal vectors are one vertex. Vertices are dealt over shards by a hash of their id; each shard builds a graph of its vectors. Blocks of vertices then
 query every shard: a beam search from the top layer down, many queries in step. A query whose beam holds nothing but links gets an exact scan of the
-shard, as a graph beam cannot say how far the links go. In each block every fiftieth query is also answered by brute force; while the audit's
-recall is under RECALL, the beam is doubled (a beam as wide as the shard is an exact scan). What the beam finds is verified by cosine in
-double precision. Tasks return the number of links of each query and a spanning forest of the links, never all pairs; components are joined on Spark.
+shard, as a graph beam cannot say how far the links go. In each block some queries, chosen by a hash of the id, are also answered by brute force; while the audit's
+recall (matches with themselves do not count) is under RECALL, the beam is doubled (a beam as wide as the shard is an exact scan). What the beam finds is verified by cosine in
+double precision. Tasks return the number of links of each query and a spanning forest of the links; they neither return nor hold all pairs; components are joined on Spark.
 
 A task holds one shard (SHARD_ROWS vectors at most, on average) and one block of queries. As every shard is queried, the work grows with rows x shards; up to
 MIN_SHARDS x SHARD_ROWS vectors the number of shards stays as it is.
@@ -13,6 +13,7 @@ MIN_SHARDS x SHARD_ROWS vectors the number of shards stays as it is.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,16 @@ NEIGHBOURS = 12
 BUILD_BEAM = 40
 BEAM = 32
 RECALL = 0.99
+#: Audited are one query of so many, but so many at least, and as many as it takes to have so many links.
 AUDIT_EVERY = 50
+AUDIT_ROWS = 300
+LEAST_TRUTH = 100
 #: Queries in step; candidates that each expands at a time.
 STEP_ROWS = 256
 EXPAND = 4
+#: Vectors of a shard that a scan compares at a time, and links that are held before they are folded into a forest.
+STEP_SHARD = 2_048
+HELD_PAIRS = 500_000
 
 
 class Graph:
@@ -173,39 +180,85 @@ class Graph:
         return Graph(vectors, layers)
 
 
-def _exact(queries: np.ndarray, shard: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (query row, shard row) of cosine `least` or more, in blocks; vectors in double precision."""
-    a, b = [], []
+class Links:
+    """Links of queries (ids `own`) with the vectors of a shard (ids, weights): how many each query has, and their spanning forest. Pairs that come in are counted and folded
+    into the forest a helping at a time; no list of them is kept. A vector's match with itself is no link."""
+
+    def __init__(self, own: np.ndarray, ids: np.ndarray, weights: np.ndarray):
+        self.own, self.ids, self.weights = own, ids, weights
+        self.n, self.held = np.zeros(len(own), np.int64), 0
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+
+    def add(self, q: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Take pairs (query row, shard row); returns how many links of each query were among them, equal vectors as one."""
+        apart = self.own[q] != self.ids[s]
+        q, s = q[apart], s[apart]
+        np.add.at(self.n, q, self.weights[s])
+        self.found.append((self.own[q], self.ids[s]))
+        self.held += len(q)
+        if self.held > HELD_PAIRS:
+            self.found, self.held = [self.forest()], 0
+        return np.bincount(q, minlength=len(self.own))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        return forest(*map(np.concatenate, zip(*self.found, strict=True)))
+
+
+def _exact(queries: np.ndarray, shard: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (query row, shard row) of cosine `least` or more, block after block; vectors in double precision."""
     for k in range(0, len(queries), STEP_ROWS):
-        for j in range(0, len(shard), 65_536):
-            x, y = np.nonzero(queries[k : k + STEP_ROWS] @ shard[j : j + 65_536].T >= least)
-            a.append(x + k)
-            b.append(y + j)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def find(graph: Graph, shard: np.ndarray, queries: np.ndarray, audited: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int, float]:
-    """Verified pairs (query row, shard row), the beam that passed the audit, and its recall. shard, queries: double precision, length 1."""
-    truth = set(zip(*(x.tolist() for x in _exact(queries[audited], shard, least)), strict=True))
-    while True:
-        if beam >= len(shard):
-            return *_exact(queries, shard, least), beam, 1.0
-        ids, sims = graph.search(queries.astype(np.float32), beam)
+        for j in range(0, len(shard), STEP_SHARD):
+            x, y = np.nonzero(queries[k : k + STEP_ROWS] @ shard[j : j + STEP_SHARD].T >= least)
+            yield x + k, y + j
+
+
+def audit_order(own: np.ndarray) -> np.ndarray:
+    """Rows in the order of a hash of their ids, whatever the ids have in common."""
+    mixed = own.astype(np.int64).view(np.uint64)
+    for by in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(by)
+    return np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")
+
+
+def find(graph: Graph, shard: np.ndarray, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, weights: np.ndarray, least: float, beam: int = BEAM) -> tuple[Links, int, float]:
+    """Verified links, the beam that passed the audit, and its recall. shard, queries: double precision, length 1; own, ids: what they are called.
+
+    The recall is that of queries whose beam is not full of links, as the others are scanned. The audit takes more queries until they have LEAST_TRUTH links or
+    all are answered exactly.
+    """
+    out, order = Links(own, ids, weights), audit_order(own)
+    known, truth = np.zeros(len(own), bool), np.zeros(len(own), np.int64)
+
+    def scan(rows: np.ndarray) -> None:
+        for x, y in _exact(queries[rows], shard, least):
+            np.add(truth, out.add(rows[x], y), out=truth)
+        known[rows] = True
+
+    size = max(AUDIT_ROWS, len(own) // AUDIT_EVERY)
+    while beam < len(shard):
+        near, sims = graph.search(queries.astype(np.float32), beam)
         # the beam's last is a link, or nearly: there may be more
         full = sims[:, -1] >= least - 1e-3
         q, k = np.nonzero((sims >= least - 1e-3) & ~full[:, None])
-        s = ids[q, k]
-        ok = np.einsum("ij,ij->i", queries[q], shard[s]) >= least
-        dense = np.flatnonzero(full)
-        x, y = _exact(queries[dense], shard, least)
-        q, s = np.concatenate([q[ok], dense[x]]), np.concatenate([s[ok], y])
-        place = np.full(len(queries), -1)
-        place[audited] = np.arange(len(audited))
-        got = place[q] >= 0
-        hits = len(truth & set(zip(place[q[got]].tolist(), s[got].tolist(), strict=True)))
-        if hits >= RECALL * len(truth):
-            return q, s, beam, hits / len(truth) if truth else 1.0
+        s = near[q, k]
+        ok = (np.einsum("ij,ij->i", queries[q], shard[s]) >= least) & (own[q] != ids[s])
+        q, s = q[ok], s[ok]
+        while True:
+            rows = order[:size]
+            scan(rows[~known[rows]])
+            judged = known & ~full
+            if (links := int(truth[judged].sum())) >= LEAST_TRUTH or known.all():
+                break
+            size *= 2
+        if known.all():
+            return out, beam, 1.0
+        if (hits := int(judged[q].sum())) >= RECALL * links:
+            out.add(q[~known[q]], s[~known[q]])
+            scan(np.flatnonzero(full & ~known))
+            return out, beam, hits / links
         beam *= 2
+    scan(np.flatnonzero(~known))
+    return out, beam, 1.0
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -237,11 +290,8 @@ def _query(least: float):
         raw = np.frombuffer(row["vectors"], "<f8")
         shard = _matrix(pa.FixedSizeListArray.from_arrays(pa.array(raw), dim), dim)
         own, queries = left["id"].to_numpy(), _matrix(left["vector"], dim)
-        q, s, _, _ = find(Graph.unpack(row["layers"], shard.astype(np.float32)), shard, queries, np.flatnonzero(own % AUDIT_EVERY == 0), least)
-        apart = own[q] != ids[s]
-        q, s = q[apart], s[apart]
-        n = np.bincount(q, weights=weights[s], minlength=len(own)).astype(np.int64)
-        a, b = forest(own[q], ids[s])
+        found, _, _ = find(Graph.unpack(row["layers"], shard.astype(np.float32)), shard, queries, own, ids, weights, least)
+        n, (a, b) = found.n, found.forest()
         some = np.flatnonzero(n)
         return pa.table([pa.array(np.concatenate([own[some], a])), pa.array(np.concatenate([np.zeros(len(some), np.int64), b]), mask=np.arange(len(some) + len(a)) < len(some)), pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)]))], names)
 
