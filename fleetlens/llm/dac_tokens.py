@@ -14,9 +14,6 @@ chunks, the bitmap (u64 words), the rank directory (u32).
 
 from __future__ import annotations
 
-import functools
-import os
-import re
 import struct
 from collections.abc import Iterator
 
@@ -26,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetlens.llm import word_ids
 from fleetlens.llm.common import steps
 
 SEGMENT_IDS = 1 << 16
 RANK_BITS = 512
 END_ID = 1
-#: Words, and runs of letters, whose ids a worker remembers at most; beyond that it forgets them and begins anew.
-CACHED_WORDS, CACHED_RUNS = 400_000, 900_000
+#: Bytes of text tokenized at a time.
+TEXT_BYTES = 8_000_000
 
 
 class Level:
@@ -129,92 +127,41 @@ def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, Dac]:
     return [None if null else i for i, null in zip(ids, nulls, strict=True)], starts, Dac(levels)
 
 
-class Words:
-    """Ids of texts. The tokenizer drops white space and no token spans it, so a text's ids are those of its words one after another; ids of words seen before
-    are remembered. Nor does a token span the end of a run of letters, so a word of letters with signs behind it is put together from the two; letters
-    that need no normal form are lower-cased here and go to the library without its normalizer, which would do just that."""
-
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian u32 ids of each text; null is empty."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.runs) > CACHED_RUNS:
-            self.runs = {"": b""}
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        known, runs = self.known, self.runs
-        plain, rest, match = [], [], self.PLAIN.fullmatch
-        for word in set().union(*split):
-            if word in known:
-                continue
-            if found := match(word):
-                plain.append((word, found[1].lower(), found[2]))
-            else:
-                rest.append(word)
-        self._learn(self.letters, list({run for _, run, _ in plain if run not in runs}), runs)
-        self._learn(self.tokenizer, list({signs for _, _, signs in plain if signs not in runs}), runs)
-        for word, run, signs in plain:
-            known[word] = runs[run] + runs[signs] if signs else runs[run]
-        self._learn(self.tokenizer, rest, known)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    @staticmethod
-    def _learn(tokenizer, words: list[str], into: dict[str, bytes]) -> None:
-        for k in range(0, len(words), 10_000):
-            part = words[k : k + 10_000]
-            for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into[word] = struct.pack(f"<{len(ids := found.ids)}I", *ids)
-
-
-@functools.lru_cache(maxsize=2)
-def load(path: str) -> Words:
-    return Words(path)
-
-
 def write(docs: DataFrame, tokenizer: str, out: str, segment_ids: int = SEGMENT_IDS, end_id: int = END_ID) -> None:
     """Write the ids of docs (doc_id, text) below `out`, documents in ascending order of doc_id (null first; equal ids in the order of their texts' hash),
     each closed by end_id. Null texts count as empty. An empty table leaves an archive without segments."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, done = load(tokenizer), TaskContext.get().partitionId(), 0
-        ids: list[int | None] = []
-        starts: list[int] = []
-        held: list[bytes] = []
-        size = seq = 0
+        words, part, done, seq = word_ids.load(tokenizer), TaskContext.get().partitionId(), 0, 0
+        docs_held: list[int | None] = []
+        starts_held: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
 
         def segment():
             nonlocal done, size, seq
-            blob = pack(ids, starts, np.frombuffer(b"".join(held), "<u4"))
+            blob = pack(docs_held, starts_held, np.concatenate(held))
             row = [[part], [seq], [done], [size], [blob]]
             done, seq, size = done + size, seq + 1, 0
-            ids.clear(), starts.clear(), held.clear()
+            docs_held.clear(), starts_held.clear(), held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "part_start", "n_ids", "blob"])
 
-        for batch in steps(batches, "text"):
-            for doc, found in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
-                ids.append(doc)
-                starts.append(size)
-                held.append(found + end)
-                size += len(found) // 4 + 1
+        for batch in steps(batches, "text", TEXT_BYTES):
+            ids, starts = words.encode(batch.column("text"))
+            ids, starts = np.insert(ids, starts[1:], end_id), starts + np.arange(len(starts))
+            doc_ids, at = batch.column("doc_id").to_pylist(), 0
+            while at < len(doc_ids):  # as many documents as fill the segment
+                to = min(len(doc_ids), int(np.searchsorted(starts, starts[at] + segment_ids - size)))
+                docs_held += doc_ids[at:to]
+                starts_held += (starts[at:to] - starts[at] + size).tolist()
+                held.append(ids[starts[at] : starts[to]])
+                size, at = size + int(starts[to] - starts[at]), to
                 if size >= segment_ids:
                     yield segment()
-        if ids:
+        if docs_held:
             yield segment()
 
     dealt.mapInArrow(run, "part int, seq int, part_start long, n_ids long, blob binary").write.mode("overwrite").parquet(f"{out}/segments")

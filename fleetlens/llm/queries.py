@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe_tree, dac_tokens, hnsw_dedup, lang_nb, license_scan, quality_mil, simhash_pivot, spaced_seed, url_reputation, warc_store
+from fleetlens.llm import bpe_tree, dac_tokens, hnsw_dedup, lang_nb, license_scan, packing, prefix_trie, quality_mil, simhash_pivot, spaced_seed, spelling, url_reputation, warc_store
 from fleetlens.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,19 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seed.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.of_conversations(_read(spark, sf_dir, "conversations"), prefix_trie.GROUP)
+
+
+def op12_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_spelling_kd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(_read(spark, sf_dir, "documents"), drop_every=97))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_store": op1_warc_store,
     "op2_url_reputation": op2_url_reputation,
@@ -156,5 +169,8 @@ QUERIES: dict[str, Query] = {
     "op8_language_nb": op8_language_nb,
     "op9_hnsw_dedup": op9_hnsw_dedup,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_order_packing": op12_order_packing,
+    "op13_spelling_kd": op13_spelling_kd,
 }
 SQL: dict[str, str] = {"op1_warc_store": _OP1_SQL, "op2_url_reputation": _OP2_SQL, "op4_license_scan": _op4_sql()}

@@ -8,13 +8,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fleetlens.llm import dac_tokens, hnsw_dedup, lang_nb, quality_mil, queries, simhash_pivot, spaced_seed, url_reputation, warc_store
+from fleetlens.llm import dac_tokens, hnsw_dedup, lang_nb, quality_mil, queries, simhash_pivot, spaced_seed, url_reputation, warc_store, word_ids
 from fleetlens.llm.common import shared_dir
 from tests.llm.conftest import DOCS, EDGES, rows_of
 from tests.llm.test_text_operators import PLAIN, least_reached
@@ -130,7 +131,6 @@ def test_addressable_codes():
 
 def test_op7_on_documents(spark, sf_dir):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     found = {r["doc_id"]: r for r in queries.op7_dac_tokens(spark, sf_dir).collect()}
     start = 0
     for doc in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
@@ -141,13 +141,13 @@ def test_op7_on_documents(spark, sf_dir):
 
 def test_words_are_encoded_as_whole_texts():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(8)
     signs = list("aAbé'sStΣİß1９ \t\n\r.!\x1c\x85\u00a0\u2003\u0301漢<|>")
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(500)] + ["<|endoftext|> x", "ΣΑΣ Σ. ς"]
-    got = dac_tokens.load(WORDS).encode(texts)
-    for text, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(500)] + ["<|endoftext|> x", "a<|startoftext|>b.", "<|EndOfText|>", "ΣΑΣ Σ. ς", "it's don't. I'LL!", "x" * 5000, None, ""]
+    for _ in range(2):  # new words, and words seen before
+        ids, starts = word_ids.load(WORDS).encode(pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert ids[starts[k] : starts[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_token_file_edges(spark, edges, nothing):
