@@ -8,15 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe_tree, lang_nb, near_text, quality_mil, spaced_seed
+from fleetlens.llm import bpe_tree, lang_nb, quality_mil, simhash_pivot, spaced_seed
 from fleetlens.llm.common import shared_dir, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents whose language is less sure than this go.
 LEAST_LANGUAGE_SCORE = 0.5
-#: Candidates of the near-copy stage: documents of which one of three fingerprints over word pairs differs in five bits or fewer. near_text adds more and compares all.
-COPY_WORDS, COPY_RADIUS, COPY_PRINTS = 2, 5, 3
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -28,8 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters (null and empty texts too) and those of no clear language go: of two about as likely, or such that no labelled
     language fits them as it fits its own texts (other languages, gibberish)."""
     model = lang_nb.fit(docs)
-    judged = lang_nb.predict(lang_nb.clear(docs, model, lang_nb.usual(docs, model)), model, [_whole(docs)])
-    return judged.filter((F.col("lang_pred") != lang_nb.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
+    return lang_nb.clear(docs, model, lang_nb.usual(docs, model), LEAST_LANGUAGE_SCORE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +36,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (links: 0.8 or more of all five-word shingles shared) the document with the smallest doc_id stays; of rows with equal doc_id one. Rows
-    with a null doc_id stay."""
-    found = stored(near_text.classes(docs, COPY_WORDS, COPY_RADIUS, COPY_PRINTS), "copies")
+    """Of each group of documents that links reach (fingerprints over shingles of simhash_pivot.WORDS words that differ in simhash_pivot.RADIUS bits or fewer) the one with
+    the smallest doc_id stays; of rows with equal doc_id one. Rows with a null doc_id stay."""
+    found = stored(simhash_pivot.classes(docs).select("doc_id", "component_id"), "copies")
     dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
     if found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():

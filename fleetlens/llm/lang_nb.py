@@ -29,6 +29,8 @@ SMOOTHING = 0.5
 #: A text is not clearly of a language if it fits so many standard deviations worse than usual, or leads by less than this share of the usual lead.
 SPREADS = 8.0
 LEAST_LEAD = 0.25
+#: Bytes of text measured at a time.
+MEASURED_BYTES = 1_000_000
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -145,7 +147,7 @@ def usual(labelled: DataFrame, model: Model) -> Usual:
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", MEASURED_BYTES):
             langs, _, fits, leads, _ = measure_batch(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(langs, pa.string()), pa.array(fits, pa.float64()), pa.array(leads, pa.float64())], ["lang", "lang_pred", "fit", "lead"])
 
@@ -164,20 +166,20 @@ def least_fit(known: Usual, lang: str, n: int) -> float:
     return max(known.fit[lang] - SPREADS * spread, (known.fit[lang] - np.log(BUCKETS)) / 2)
 
 
-def clear_batch(model: Model, known: Usual, texts: list[str | None]) -> list[bool]:
-    """Which texts are of a language of the model and clearly so: they fit it as its own texts do, and better than the next language."""
-    langs, _, fits, leads, sizes = measure_batch(model, texts)
-    return [lang in known.fit and fit >= least_fit(known, lang, n) and lead >= LEAST_LEAD * known.lead[lang] for lang, fit, lead, n in zip(langs, fits, leads, sizes, strict=True)]
+def clear_batch(model: Model, known: Usual, texts: list[str | None], least: float = 0.0) -> list[bool]:
+    """Which texts are of a language of the model and clearly so: they fit it as its own texts do, and better than the next language; the score is `least` or more."""
+    langs, scores, fits, leads, sizes = measure_batch(model, texts)
+    return [lang in known.fit and score >= least and fit >= least_fit(known, lang, n) and lead >= LEAST_LEAD * known.lead[lang] for lang, score, fit, lead, n in zip(langs, scores, fits, leads, sizes, strict=True)]
 
 
-def clear(docs: DataFrame, model: Model, known: Usual) -> DataFrame:
+def clear(docs: DataFrame, model: Model, known: Usual, least: float = 0.0) -> DataFrame:
     """The rows of docs whose column text is clearly of a language of the model (see clear_batch), all columns kept."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            passed = pa.array(clear_batch(*shared.value, batch.column("text").to_pylist()), pa.bool_())
+        for batch in steps(batches, "text", MEASURED_BYTES):
+            passed = pa.array(clear_batch(*shared.value, batch.column("text").to_pylist(), least), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("kept").filter(passed)], ["kept"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["kept"]])).select("kept.*")

@@ -5,7 +5,8 @@ documents, says how much each counts; the weighted mean of the encodings is scor
 time with a running softmax, so memory does not grow with a text.
 
 The model is fitted on the driver from at most FIT_DOCS labelled documents (half of each label, taken in the order of a hash of the id) of at most
-FIT_CHARS characters each; the score is corrected for the share of the labels. These bounds hold for fitting alone.
+FIT_CHARS characters and FIT_PASSAGES passages each (of more passages, so many evenly spread); the score is corrected for the share of the labels. These
+bounds hold for fitting alone.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ PASSAGE_CHARS = 400
 BLOCK_PASSAGES = 1000
 FIT_DOCS = 4000
 FIT_CHARS = 200_000
+FIT_PASSAGES = 128
 SHAPES, PAIRS, DENSE = 256, 128, 8
 WIDTH = SHAPES + PAIRS + DENSE
 HIDDEN, GATES, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 16, 12, 64, 0.003, 1e-4, 7
@@ -128,8 +130,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, share: float) -> Model:
     if not len(bags) or labels.min() == labels.max():
         return Model(np.zeros(WIDTH), np.ones(WIDTH), {}, 0.0, float(share))
     rng = np.random.default_rng(SEED)
-    every = np.concatenate(bags)
-    mean, scale = every.mean(axis=0, dtype=np.float64).astype(np.float32), (1 / (every.std(axis=0, dtype=np.float64) + 0.05)).astype(np.float32)
+    rows = sum(map(len, bags))
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / rows
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / rows)
+    mean, scale = mean.astype(np.float32), (1 / (spread + 0.05)).astype(np.float32)
     shapes = {"w": (WIDTH, HIDDEN), "w0": (HIDDEN,), "v": (HIDDEN, GATES), "u": (HIDDEN, GATES), "a": (GATES,), "c": (HIDDEN,), "c0": (1,)}
     p = {k: (rng.standard_normal(s) / np.sqrt(s[0]) * (k not in ("w0", "c0"))).astype(np.float32) for k, s in shapes.items()}
     first, second, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
@@ -167,6 +171,10 @@ def _gradients(p, bags, labels):
     return {"w": x.T @ d_pre, "w0": d_pre.sum(axis=0), "v": h.T @ d_v, "u": h.T @ d_u, "a": (v * u).T @ d_attention, "c": z.T @ d_logit, "c0": np.array([d_logit.sum()])}
 
 
+def _spread(bag: np.ndarray) -> np.ndarray:
+    return bag if len(bag) <= FIT_PASSAGES else bag[np.linspace(0, len(bag) - 1, FIT_PASSAGES).astype(np.int64)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, quality 0 or 1). Documents with both labels, and null labels, teach nothing; of repeated ids the
     text that is last in order counts."""
@@ -182,12 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            found = [np.concatenate(list(encode(t))).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
+            found = [_spread(np.concatenate(list(encode(t)))).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "bag"])
 
-    found = sorted(rows.mapInArrow(run, "doc_id long, label int, bag binary").collect())
-    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in found]
-    return train(bags, np.array([r["label"] for r in found], np.float32), counts.get(1, 0) / sum(counts.values()))
+    found = sorted((r["doc_id"], r["label"], r["bag"]) for r in rows.mapInArrow(run, "doc_id long, label int, bag binary").toLocalIterator())
+    bags = [np.frombuffer(bag, np.float16).reshape(-1, WIDTH) for _, _, bag in found]  # half precision until a batch needs them
+    return train(bags, np.array([label for _, label, _ in found], np.float32), counts.get(1, 0) / sum(counts.values()))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:

@@ -214,12 +214,13 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     model = lang_nb.fit(docs)
-    kept = [i for i in text if lang_nb.score_batch(model, [text[i]])[1][0] >= 0.5]
+    usual = lang_nb.usual(docs, model)
+    kept = [i for i in text if lang_nb.score_batch(model, [text[i]])[1][0] >= 0.5 and lang_nb.clear_batch(model, usual, [text[i]])[0]]
     some = docs.filter(F.col("doc_id").isin(kept))
     judge = quality_mil.fit(some, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = [i for i in kept if judge.score(quality_mil.encode(text[i])) >= 0.5]
-    prints = {i: simhash_pivot.fingerprint(text[i].encode(), corpus_pipeline.COPY_WORDS, corpus_pipeline.COPY_PRINTS) for i in kept}
-    near = [(a, b) for a, b in itertools.combinations(kept, 2) if any((x ^ y).bit_count() <= corpus_pipeline.COPY_RADIUS for x, y in zip(prints[a], prints[b], strict=True))]
+    prints = {i: simhash_pivot.fingerprint(text[i].encode(), 3)[0] for i in kept}
+    near = [(a, b) for a, b in itertools.combinations(kept, 2) if (prints[a] ^ prints[b]).bit_count() <= 3]
     low = least_reached(near, kept)
     kept = [i for i in kept if low[i] == i]
     bench = spaced_seed.block([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
