@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_chars:
             found = [_spread(np.concatenate(list(encode(t)))).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "bag"])
 
-    found = sorted((r["doc_id"], r["label"], r["bag"]) for r in rows.mapInArrow(run, "doc_id long, label int, bag binary").toLocalIterator())
+    found = sorted((r["doc_id"], r["label"], r["bag"]) for r in rows.mapInArrow(run, "doc_id long, label int, bag binary").collect())
     bags = [np.frombuffer(bag, np.float16).reshape(-1, WIDTH) for _, _, bag in found]  # half precision until a batch needs them
     return train(bags, np.array([label for _, label, _ in found], np.float32), counts.get(1, 0) / sum(counts.values()))
 
