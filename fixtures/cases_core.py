@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixtures.cases import CASES, DUCK, FACTS, Case, R, case, iso, plain, union, utc
-from fixtures.cases_fleet import FILE_TEXT  # noqa: F401
+from fixtures.cases_fleet import FILE_TEXT, report_sql  # noqa: F401
 from fixtures.facts import Dialect, div, i, s, with_facts
 from fixtures.render import dialect, fleet, rendered
 from fleetlens.constants import INVENTORY_COLUMNS
@@ -169,13 +169,13 @@ def _tables_sink(spark: SparkSession, d: str) -> DataFrame:
 core("tables_sink", _tables_sink, f"SELECT strftime(x.ts, '%Y%m%d') AS run_date, x.run_id, f.username, f.uid FROM {R('fx_users')}")
 
 
-def _report_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark, "report")
-    report.write_report(fleet(spark, d), path)
-    return spark.read.text(path).filter(F.col("value").startswith("IP Address: ")).select("hostname", "value")
+def _report_sink(f) -> DataFrame:
+    path = folder(f.spark, "report")
+    report.write_report(f, path)
+    return f.spark.read.schema("value string, hostname string").text(path).select(F.coalesce("hostname", F.lit("")).alias("hostname"), F.col("value").alias("line"))
 
 
-core("report_sink", _report_sink, "SELECT hostname, 'IP Address: ' || ip AS value FROM fx_cur")
+case("report_sink", _report_sink, f"SELECT hostname, line FROM ({report_sql()}) r")
 case("ingest_summary", lambda f: f.summary(), "SELECT (SELECT count(*) FROM supplier) AS assets, 3 * (SELECT count(*) FROM supplier) AS runs, 9 * (SELECT count(*) FROM supplier) AS commands")
 
 # ---- 2.2 blocks -------------------------------------------------------------------------------------------

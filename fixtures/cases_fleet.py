@@ -217,7 +217,12 @@ case("view_sql", _view_sql, f"SELECT c.hostname, count(DISTINCT f.username) AS u
 # ---- 2.10 report ------------------------------------------------------------------------------------------
 
 
+#: Expected rows of the report's questions, from which those of its text are put together.
+REPORTED: dict[str, str] = {}
+
+
 def reported(fn, sql: str, drop: tuple[str, ...] = ()) -> None:
+    REPORTED[fn.__name__] = sql
     case(fn.__name__, lambda f: f(fn.__name__), sql, drop=drop)
 
 
@@ -262,12 +267,70 @@ ACTIVE = f"SELECT c.hostname, f.*, row_number() OVER (PARTITION BY c.hostname OR
 reported(report.r_active_accounts, f"SELECT a.hostname, a.username, 'local' AS account_type, a.latest, a.from_host, a.port, u.uid, u.gid, 'grp' || {s('u.nation')} AS groupname, u.home, u.shell FROM ({ACTIVE}) a JOIN fx_users u ON u.h = a.h AND u.r = a.r AND u.username = a.username WHERE a.rn <= 10")
 reported(report.r_active_by_node, f"SELECT hostname, string_agg(username, ', ' ORDER BY rn) AS users FROM ({ACTIVE}) a GROUP BY hostname")
 reported(report.r_password_variance, f"SELECT count(*) AS host_count, count(DISTINCT users) AS distinct_lists, CASE WHEN count(DISTINCT users) = 1 THEN min(users) END AS common_list FROM ({PW}) q WHERE password_enabled > 0")
-case("report_lines", lambda f: report.report_lines(f).groupBy("section").agg(F.count(F.lit(1)).alias("line_count"), F.count_distinct("hostname").alias("hosts")),
-     f"""SELECT 1 AS section, count(DISTINCT f.severity) AS line_count, 1 AS hosts FROM {L(ALL_FINDINGS)} UNION ALL SELECT 2, 1, 1 UNION ALL SELECT 3, 1, 1 UNION ALL SELECT 10, count(*) * 10, count(*) FROM fx_cur UNION ALL SELECT 11, count(*), count(*) FROM fx_cur
-     UNION ALL SELECT 12, count(*), count(DISTINCT hostname) FROM fx_ports UNION ALL SELECT 13, count(*), count(DISTINCT c.hostname) FROM {L(ALL_FINDINGS)} UNION ALL SELECT 14, count(DISTINCT (c.hostname, f.username)), count(DISTINCT c.hostname) FROM {C2('fx_priv_members')}
-     UNION ALL SELECT 15, count(*), count(DISTINCT hostname) FROM ({CASES['r_rare_processes'].sql and f"SELECT hostname FROM (SELECT hostname, row_number() OVER (PARTITION BY hostname ORDER BY cmd, pid) AS rn FROM ({RARE_PROC}) q) z WHERE rn <= 10"}) y
-     UNION ALL SELECT 16, count(*), count(DISTINCT hostname) FROM (SELECT hostname FROM (SELECT c.hostname, row_number() OVER (PARTITION BY c.hostname ORDER BY f.name, f.version) AS rn FROM {L(PACKAGES)} JOIN (SELECT f.name FROM {L(PACKAGES)} GROUP BY f.name HAVING count(DISTINCT c.h) <= 2) g ON g.name = f.name) z WHERE rn <= 15) y
-     UNION ALL SELECT 17, count(*), count(*) FROM fx_cur UNION ALL SELECT 18, count(*) * 2, count(*) FROM fx_cur UNION ALL SELECT 90, count(DISTINCT hostname), 1 FROM ({ACTIVE}) a""")
+
+def told(section: int, source: str, *items: str, host: str = "hostname") -> str:
+    """The lines that a section says of every row of a question."""
+    return f"""SELECT {host} AS hostname, {section} AS section, CAST(i - 1 AS INT) AS line_no, said[i] AS line FROM (SELECT *, unnest(range(1, len(said) + 1)) AS i
+        FROM (SELECT *, [x FOR x IN [{", ".join(items)}] IF x IS NOT NULL] AS said FROM ({source}) q0) q1) q2"""
+
+
+def text_of(section: int) -> str:
+    """Lines of one section, without its title."""
+    q, only = REPORTED, "' (only on ' || host_count || CASE WHEN host_count > 1 THEN ' nodes)' ELSE ' node)' END"
+    gigabytes = "printf('%.1f GB', {0} / 1073741824.0)"
+    socket = "'  ' || upper(proto) || ' ' || local_addr || ':' || coalesce(CAST(local_port AS STRING), '*') || CASE WHEN peer_addr <> '' AND peer_port <> 0 THEN ' -> ' || peer_addr || ':' || peer_port ELSE '' END || ' [' || state || ', ' || addr_scope || ']'"
+    owner = "CASE WHEN uid IS NULL THEN '' ELSE ' (uid=' || coalesce(CAST(owner_uid AS STRING), uid) || ', user=' || coalesce(owner_name, 'unknown') || ', group=' || coalesce(owner_group, 'unknown') || ')' END"
+    unknown = lambda c, other="unknown": f"coalesce(CAST({c} AS STRING), '{other}')"
+    return {
+        1: lambda: told(1, q["r_severity_counts"], "finding_count || ' ' || upper(severity) || ' severity findings'", host="''"),
+        2: lambda: told(2, q["r_time_span"], "'Oldest Data Collection: ' || replace(replace(oldest_collection, 'T', ' '), 'Z', ' UTC')", "'Newest Data Collection: ' || replace(replace(newest_collection, 'T', ' '), 'Z', ' UTC')", "'Data Time Span: ' || span_days || ' days'", host="''"),
+        3: lambda: told(3, q["r_fleet_stats"], "'Total Nodes Assessed: ' || total_hosts", "'Average Memory per Node: ' || printf('%.1f GB', avg_memory_gb)", "'Total Unique Users Across Nodes: ' || total_users", "'Total Unique Packages Across Nodes: ' || total_packages", host="''"),
+        10: lambda: told(10, q["r_host_header"], *[f"'{k}: ' || {c}" for k, c in report.HEADER_ITEMS.items()]),
+        11: lambda: told(11, q["r_disk_capacity"], f"'Total Disk Capacity (All): ' || {gigabytes.format('total_disk_bytes')}", f"'Total Disk Capacity (Fixed): ' || {gigabytes.format('total_fixed_disk_bytes')}"),
+        12: lambda: told(12, q["r_ports"], socket, "'    Process: ' || cmd", f"'    PID: ' || pid || {owner}"),
+        13: lambda: told(13, f"SELECT hostname, base, string_agg(name || ' ' || version, ', ' ORDER BY name || ' ' || version) AS packages FROM ({q['r_port_packages']}) y GROUP BY hostname, base", "'  ' || base || ': ' || packages"),
+        14: lambda: told(14, q["r_port_firewall"], "'  ' || local_port || ': [' || rule_source || '] ' || rule"),
+        15: lambda: told(15, q["r_unusual_ports"], "'  ' || upper(proto) || ' ' || local_addr || ':' || local_port || ' - ' || cmd"),
+        16: lambda: told(16, q["r_host_findings"], "upper(severity) || ': ' || title", "CASE WHEN details <> '' THEN '   ' || details END"),
+        17: lambda: told(17, q["r_service_shells"], "'  User: ' || username || ' (UID: ' || uid || ', Shell: ' || shell || ')'", "CASE WHEN groups <> '' THEN '    Groups: ' || groups END"),
+        18: lambda: told(18, q["r_privileged_users"], "'  ' || member_username || ': ' || groups"),
+        19: lambda: told(19, q["r_unused_keys"], "'  ' || username || ': ' || key_count || ' SSH keys'"),
+        20: lambda: told(20, q["r_rare_processes"], f"'  ' || cmd || {only}"),
+        21: lambda: told(21, q["r_rare_packages"], f"'  ' || concat_ws(' ', name, version) || {only}"),
+        22: lambda: told(22, q["r_rare_modules"], f"'  ' || module || CASE WHEN description <> '' THEN ' - ' || description ELSE '' END || CASE WHEN license <> '' THEN ' [' || license || ']' ELSE '' END || {only}"),
+        23: lambda: told(23, q["r_usb"], f"'  Bus ' || {unknown('bus_number')} || ' Device ' || {unknown('device_number')} || ': ' || {unknown('vendor_name', 'Unknown Vendor')} || ' ' || {unknown('product_name', 'Unknown Product')} || ' [' || vendor_id || ':' || product_id || '] Serial: ' || {unknown('serial_number')}"),
+        24: lambda: told(24, q["r_unique_mounts"], "'  ' || mountpoints || ' (' || name || ', ' || type || ')'"),
+        25: lambda: told(25, q["r_password_accounts"], "'Accounts with Passwords Enabled: ' || password_enabled", "'  Users: ' || CASE WHEN users <> '' THEN users ELSE 'None' END", "'Locked Accounts: ' || locked_accounts", "'Total User Accounts: ' || total_accounts"),
+        26: lambda: told(26, q["r_audit_config"], "'Audit Rules: ' || rule_count || ' rules configured'", "'Audit Enabled: ' || CASE WHEN audit_enabled <> 0 THEN 'Yes' ELSE 'No' END", "'Audit Immutable: ' || CASE WHEN audit_immutable <> 0 THEN 'Yes' ELSE 'No' END"),
+        27: lambda: told(27, q["r_firewall_config"], "'  ' || source || ': ' || rule_count || ' rules'"),
+        28: lambda: told(28, q["r_firewall_allow"], "'    [' || source || '] ' || rule"),
+        29: lambda: told(29, q["r_logging_services"], "'  ' || unit || ': ' || active || '/' || sub || ' (load=' || load || ')'"),
+        30: lambda: told(30, q["r_logging"], "'Remote logging targets: ' || status", "CASE WHEN targets <> '' THEN '  ' || targets END"),
+        31: lambda: told(31, q["r_routes"], "'  ' || destination || ' via ' || gateway || ' dev ' || iface"),
+        32: lambda: told(32, q["r_active_accounts"], f"'  ' || username || ' (' || account_type || '): ' || latest || ' from ' || {unknown('from_host')} || ' (' || {unknown('port', 'n/a')} || ')'", f"'     uid=' || {unknown('uid', 'n/a')} || ' gid=' || {unknown('gid', 'n/a')} || ' group=' || {unknown('groupname')} || ' shell=' || {unknown('shell')} || ' home=' || {unknown('home')}"),
+        90: lambda: told(90, q["r_active_by_node"], "'  ' || hostname || ': ' || users", host="''"),
+        91: lambda: told(91, f"SELECT 'Same across all nodes' AS hostname, common_list AS users FROM ({q['r_password_variance']}) v WHERE distinct_lists = 1 UNION ALL SELECT hostname, users FROM ({q['r_password_accounts']}) v WHERE password_enabled > 0 AND (SELECT distinct_lists FROM ({q['r_password_variance']}) w) > 1",
+                         "'  ' || hostname || ': ' || users", host="''"),
+    }[section]()
+
+
+FACTS["fx_told"] = " UNION ALL ".join(f"({text_of(number)})" for number in report.TITLES)
+
+
+def report_sql() -> str:
+    """The whole text: lines of all sections, and of each host and section the title, and what is said where nothing was found."""
+    parts = ["SELECT hostname, section, line_no, line FROM fx_told"]
+    for number, (title, nothing) in report.TITLES.items():
+        hosts = "SELECT DISTINCT hostname FROM fx_cur" if report.is_of_host(number) else "SELECT '' AS hostname"
+        there = f"EXISTS (SELECT 1 FROM fx_told l WHERE l.hostname = t.hostname AND l.section = {number})"
+        parts.append(f"SELECT hostname, {number} AS section, 0 AS line_no, '{title}:' AS line FROM ({hosts}) t" + ("" if nothing else f" WHERE {there}"))
+        if nothing:
+            parts.append(f"SELECT hostname, {number}, 1, '{nothing}' FROM ({hosts}) t WHERE NOT {there}")
+    return " UNION ALL ".join(parts)
+
+
+case("report_lines", lambda f: report.report_lines(f).drop("ord"), report_sql())
+
 
 # ---- 2.11 snapshot comparison -----------------------------------------------------------------------------
 

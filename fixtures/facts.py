@@ -133,12 +133,12 @@ def facts(d: Dialect) -> dict[str, str]:
     F["fx_lastlog"] = f"""SELECT h, r, k, username, CASE WHEN bal >= 1000 THEN 'pts/' || {s('k % 9')} END AS port,
         CASE WHEN bal >= 1000 THEN '10.9.0.' || {s('k % 250')} END AS from_host,
         CASE WHEN bal < 1000 THEN 'Never logged in' ELSE {d.fmt(login, 'EEE MMM dd HH:mm:ss', '%a %b %d %H:%M:%S')} || ' +0000 2024' END AS latest FROM fx_users"""
-    # keys: one per fulfilled order, owned by a customer of the same host
+    # keys: one per order, owned by a customer of the same host
     m = f"(SELECT count(*) FROM {t('customer')})"
     F["fx_keys"] = f"""SELECT (o_orderkey % {m}) % {n} AS h, r, o_orderkey AS k, o_orderkey % {m} AS owner, 'user' || {s(f'o_orderkey % {m}')} AS username,
         CASE WHEN o_totalprice < 100000 THEN 'ssh-rsa' WHEN o_totalprice < 300000 THEN 'ssh-ed25519' ELSE 'ecdsa-sha2-nistp256' END AS key_type,
         'blob-' || {s('o_orderkey')} AS blob, 'key ' || {s('o_orderkey')} AS key_comment
-        FROM {d.runs_of(t('orders'))} WHERE o_orderstatus = 'F'"""
+        FROM {d.runs_of(t('orders'))}"""
     F["fx_events"] = f"""SELECT event_id % {n} AS h, r, event_id AS k, ts AS event_ts, {d.minute('ts')} AS minute_ts, user_id, event_type, value,
         'user' || {s('user_id')} AS username, CASE WHEN value < 20 THEN 'ssh:notty' WHEN value < 60 THEN 'pts/' || {s('event_id % 7')} ELSE 'tty' || {s('event_id % 5')} END AS tty,
         '10.9.' || {s(div('event_id', '250') + ' % 250')} || '.' || {s('event_id % 250 + 1')} AS remote_host

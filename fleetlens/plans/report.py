@@ -3,7 +3,10 @@ belong to the report. `report_lines` turns the sections into ordered text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
@@ -309,54 +312,190 @@ def r_password_variance(table: Table) -> DataFrame:
 
 # ---- text -------------------------------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Section:
+    """A part of the report: `lines` of each row of a table, rows ordered by `order`."""
+
+    number: int
+    rows: Callable[[Table], DataFrame]
+    order: list[Column | str]
+    lines: list[Column | str]
+
+    @property
+    def title(self) -> str:
+        return TITLES[self.number][0]
+
+    @property
+    def nothing(self) -> str | None:
+        return TITLES[self.number][1]
+
+    @property
+    def of_host(self) -> bool:
+        return is_of_host(self.number)
+
+
+FIRST_OF_HOST, LAST_OF_HOST = 10, 89
+
+#: Title of every section, and what it says if it finds nothing; without that it is left out then. Those of one host come before number LAST_OF_HOST.
+TITLES: dict[int, tuple[str, str | None]] = {
+    1: ("Executive summary", "No findings"),
+    2: ("Data collection", "Data collection timestamps not available"),
+    3: ("Nodes", None),
+    10: ("Host", None),
+    11: ("Disk capacity", None),
+    12: ("Open ports and services", "No listening ports identified"),
+    13: ("Possible packages of listening programs", None),
+    14: ("Firewall rules for open ports", None),
+    15: ("Unusual ports", None),
+    16: ("Security findings", "No security findings identified"),
+    17: ("Service accounts with interactive shells", None),
+    18: ("Privileged users", None),
+    19: ("Accounts with SSH keys but never logged in", None),
+    20: ("Rare processes on this node", None),
+    21: ("Rare packages on this node", None),
+    22: ("Rare kernel modules", None),
+    23: ("USB devices", "No USB devices detected"),
+    24: ("Unique mount points", None),
+    25: ("Password accounts", None),
+    26: ("Audit", None),
+    27: ("Firewall rules", None),
+    28: ("Custom and allow rules", None),
+    29: ("Logging services", None),
+    30: ("Remote logging", None),
+    31: ("Routes", "No non-default routes detected"),
+    32: ("Active accounts", "No recent account activity detected"),
+    90: ("Active accounts by node", "None detected"),
+    91: ("Accounts with passwords enabled by node", "None detected"),
+}
+
+
+def is_of_host(section: int) -> bool:
+    return FIRST_OF_HOST <= section <= LAST_OF_HOST
+
+
+HEADER_ITEMS = {
+    "IP Address": "ip_address", "Operating System": "operating_system", "Kernel": "kernel", "Architecture": "architecture",
+    "Hardware Vendor": "hardware_vendor", "Hardware Model": "hardware_model", "System Version": "system_version",
+    "Serial Number": "serial_number", "Memory (Observed)": "memory_observed", "Memory (Inventory)": "memory_inventory"}
+
+
+def _or(c: str, other: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(other))
+
+
+def _number(c: str) -> Column:
+    """Text that sorts as the number does, nulls first."""
+    return F.when(F.col(c).isNull(), "").otherwise(F.lpad(F.col(c).cast("string"), 20, "0"))
+
+
+def _said(prefix: str, c: Column | str, suffix: str = "") -> Column:
+    return F.concat(F.lit(prefix), F.col(c).cast("string") if isinstance(c, str) else c, F.lit(suffix))
+
+
+def _port_packages(table: Table) -> DataFrame:
+    """One row for each program that listens; a program has a few packages at most."""
+    package = F.concat_ws(" ", "name", "version")
+    return table("r_port_packages").groupBy("hostname", "base").agg(F.array_join(F.array_sort(F.collect_list(package)), ", ").alias("packages"))
+
+
+def _password_lists(table: Table) -> DataFrame:
+    """The accounts with passwords of each host, or one row if all hosts have the same."""
+    variance = table("r_password_variance").filter("distinct_lists = 1").select(F.lit("Same across all nodes").alias("hostname"), F.col("common_list").alias("users"))
+    several = table("r_password_variance").filter("distinct_lists > 1").select("distinct_lists")
+    lists = table("r_password_accounts").filter("password_enabled > 0").join(F.broadcast(several)).select("hostname", "users")  # several has one row or none
+    return variance.unionByName(lists)
+
+
+def sections() -> list[Section]:
+    scope = F.concat(F.lit(" ["), _or("state", "unknown"), F.lit(", "), "addr_scope", F.lit("]"))
+    peer = F.when((F.col("peer_addr") != "") & (F.col("peer_port") != 0), F.concat(F.lit(" -> "), "peer_addr", F.lit(":"), F.col("peer_port").cast("string"))).otherwise("")
+    owner = F.when(F.col("uid").isNotNull(), F.concat(F.lit(" (uid="), F.coalesce(F.col("owner_uid").cast("string"), "uid"), F.lit(", user="), _or("owner_name", "unknown"), F.lit(", group="), _or("owner_group", "unknown"), F.lit(")"))).otherwise("")
+    port = F.concat(_said("  ", F.upper(_or("proto", "unknown"))), F.lit(" "), _or("local_addr", "unknown"), F.lit(":"), _or("local_port", "*"), peer, scope)
+    only = F.when(F.col("host_count") > 1, F.format_string(" (only on %d nodes)", "host_count")).otherwise(F.format_string(" (only on %d node)", "host_count"))
+    utc = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss 'UTC'")
+    yes_no = lambda c: F.when(F.col(c) != 0, "Yes").otherwise("No")
+    usb_ids = F.when((F.col("vendor_id") != "") & (F.col("product_id") != ""), F.concat("vendor_id", F.lit(":"), "product_id")).otherwise("unknown")
+    return [
+        Section(1, lambda t: t("r_severity_counts"), [severity_rank("severity")], [F.format_string("%d %s severity findings", "finding_count", F.upper("severity"))]),
+        Section(2, lambda t: t("r_time_span").filter("oldest_collection IS NOT NULL"), [], [
+            _said("Oldest Data Collection: ", utc("oldest_collection")), _said("Newest Data Collection: ", utc("newest_collection")), _said("Data Time Span: ", "span_days", " days")]),
+        Section(3, lambda t: t("r_fleet_stats"), [], [
+            _said("Total Nodes Assessed: ", "total_hosts"), _said("Average Memory per Node: ", F.coalesce(F.format_string("%.1f GB", "avg_memory_gb"), F.lit("Unknown"))),
+            _said("Total Unique Users Across Nodes: ", "total_users"), _said("Total Unique Packages Across Nodes: ", "total_packages")]),
+        Section(10, lambda t: t("r_host_header"), [], [_said(f"{k}: ", c) for k, c in HEADER_ITEMS.items()]),
+        Section(11, lambda t: t("r_disk_capacity"), [], [_said("Total Disk Capacity (All): ", gigabytes_text("total_disk_bytes")), _said("Total Disk Capacity (Fixed): ", gigabytes_text("total_fixed_disk_bytes"))]),
+        Section(12, lambda t: t("r_ports"), [_number("local_port"), "proto", "local_addr", _number("pid"), "peer_addr"], [
+            port, _said("    Process: ", "cmd"), F.when(F.col("pid").isNotNull(), _said("    PID: ", F.concat(F.col("pid").cast("string"), owner)))]),
+        Section(13, _port_packages, ["base"], [F.concat(F.lit("  "), "base", F.lit(": "), "packages")]),
+        Section(14, lambda t: t("r_port_firewall"), [_number("local_port"), "rule_source", "rule"], [F.concat(F.lit("  "), F.col("local_port").cast("string"), F.lit(": ["), "rule_source", F.lit("] "), "rule")]),
+        Section(15, lambda t: t("r_unusual_ports"), [_number("local_port"), "proto", "local_addr", "cmd"], [F.concat(F.lit("  "), F.upper("proto"), F.lit(" "), "local_addr", F.lit(":"), F.col("local_port").cast("string"), F.lit(" - "), "cmd")]),
+        Section(16, lambda t: t("r_host_findings"), [severity_rank("severity").cast("string"), "category", "title", "details"], [
+            F.concat(F.upper("severity"), F.lit(": "), "title"), F.when(F.col("details") != "", _said("   ", "details"))]),
+        Section(17, lambda t: t("r_service_shells"), ["username"], [
+            F.concat(F.lit("  User: "), "username", F.lit(" (UID: "), F.col("uid").cast("string"), F.lit(", Shell: "), "shell", F.lit(")")), F.when(F.col("groups") != "", _said("    Groups: ", "groups"))]),
+        Section(18, lambda t: t("r_privileged_users"), ["member_username"], [F.concat(F.lit("  "), "member_username", F.lit(": "), "groups")]),
+        Section(19, lambda t: t("r_unused_keys"), ["username"], [F.concat(F.lit("  "), "username", F.lit(": "), F.col("key_count").cast("string"), F.lit(" SSH keys"))]),
+        Section(20, lambda t: t("r_rare_processes"), [_number("host_count"), "cmd"], [F.concat(F.lit("  "), "cmd", only)]),
+        Section(21, lambda t: t("r_rare_packages"), [_number("host_count"), "name", "version"], [F.concat(F.lit("  "), F.concat_ws(" ", "name", "version"), only)]),
+        Section(22, lambda t: t("r_rare_modules"), [_number("host_count"), "module"], [
+            F.concat(F.lit("  "), "module", F.when(F.col("description") != "", _said(" - ", "description")).otherwise(""), F.when(F.col("license") != "", _said(" [", "license", "]")).otherwise(""), only)]),
+        Section(23, lambda t: t("r_usb"), ["bus_number", "device_number"], [
+            F.concat(F.lit("  Bus "), _or("bus_number", "unknown"), F.lit(" Device "), _or("device_number", "unknown"), F.lit(": "), _or("vendor_name", "Unknown Vendor"), F.lit(" "), _or("product_name", "Unknown Product"), F.lit(" ["), usb_ids, F.lit("] Serial: "), _or("serial_number", "unknown"))]),
+        Section(24, lambda t: t("r_unique_mounts"), ["mountpoints", "name"], [F.concat(F.lit("  "), "mountpoints", F.lit(" ("), "name", F.lit(", "), "type", F.lit(")"))]),
+        Section(25, lambda t: t("r_password_accounts"), [], [
+            _said("Accounts with Passwords Enabled: ", "password_enabled"), _said("  Users: ", F.when(F.col("users") != "", F.col("users")).otherwise("None")), _said("Locked Accounts: ", "locked_accounts"), _said("Total User Accounts: ", "total_accounts")]),
+        Section(26, lambda t: t("r_audit_config"), [], [_said("Audit Rules: ", "rule_count", " rules configured"), _said("Audit Enabled: ", yes_no("audit_enabled")), _said("Audit Immutable: ", yes_no("audit_immutable"))]),
+        Section(27, lambda t: t("r_firewall_config"), ["source"], [F.concat(F.lit("  "), "source", F.lit(": "), F.col("rule_count").cast("string"), F.lit(" rules"))]),
+        Section(28, lambda t: t("r_firewall_allow"), ["source", "rule"], [F.concat(F.lit("    ["), "source", F.lit("] "), "rule")]),
+        Section(29, lambda t: t("r_logging_services"), ["unit"], [F.concat(F.lit("  "), "unit", F.lit(": "), "active", F.lit("/"), "sub", F.lit(" (load="), "load", F.lit(")"))]),
+        Section(30, lambda t: t("r_logging"), [], [F.concat(F.lit("Remote logging targets: "), "status"), F.when(F.col("targets") != "", _said("  ", "targets"))]),
+        Section(31, lambda t: t("r_routes"), ["destination", "gateway", "iface"], [F.concat(F.lit("  "), "destination", F.lit(" via "), _or("gateway", "None"), F.lit(" dev "), _or("iface", "None"))]),
+        Section(32, lambda t: t("r_active_accounts"), ["username"], [
+            F.concat(F.lit("  "), "username", F.lit(" ("), "account_type", F.lit("): "), "latest", F.lit(" from "), _or("from_host", "unknown"), F.lit(" ("), _or("port", "n/a"), F.lit(")")),
+            F.concat(F.lit("     uid="), _or("uid", "n/a"), F.lit(" gid="), _or("gid", "n/a"), F.lit(" group="), _or("groupname", "unknown"), F.lit(" shell="), _or("shell", "unknown"), F.lit(" home="), _or("home", "unknown"))]),
+        Section(90, lambda t: t("r_active_by_node"), ["hostname"], [F.concat(F.lit("  "), "hostname", F.lit(": "), "users")]),
+        Section(91, _password_lists, ["hostname"], [F.concat(F.lit("  "), "hostname", F.lit(": "), "users")]),
+    ]
+
+
 def report_lines(table: Table) -> DataFrame:
-    """(hostname, section, ord, line) for the whole fleet; `hostname` is empty for fleet-wide sections.
+    """(hostname, section, ord, line_no, line) for the whole fleet, to be read in that order; `hostname` is empty for fleet-wide sections.
 
-    Section numbers put the host header first.
+    Every section begins with its title (ord empty, line 0). Sections say so if they found nothing, or are left out for that host.
     """
-
-    def section(no: int, df: DataFrame, host: Column, order: Column, line: Column) -> DataFrame:
-        return df.select(host.alias("hostname"), F.lit(no).alias("section"), order.cast("string").alias("ord"), line.alias("line"))
-
-    h, none = F.col("hostname"), F.lit("")
-    say = F.format_string
-    header = table("r_host_header")
-    header_items = {
-        "IP Address": "ip_address", "Operating System": "operating_system", "Kernel": "kernel", "Architecture": "architecture",
-        "Hardware Vendor": "hardware_vendor", "Hardware Model": "hardware_model", "System Version": "system_version",
-        "Serial Number": "serial_number", "Memory (Observed)": "memory_observed", "Memory (Inventory)": "memory_inventory"}
-    facts = header.select("hostname", F.posexplode(F.array(*[
-        F.concat(F.lit(k + ": "), F.col(c)) for k, c in header_items.items()])).alias("i", "text"))
-    parts = [
-        section(1, table("r_severity_counts"), none, severity_rank("severity"),
-                say("%d %s severity findings", "finding_count", F.upper("severity"))),
-        section(2, table("r_time_span"), none, F.lit("1"), say("Data time span: %d days", "span_days")),
-        section(3, table("r_fleet_stats"), none, F.lit("1"), say(
-            "%d nodes, %.1f GB memory on average, %d users, %d packages", "total_hosts", "avg_memory_gb", "total_users", "total_packages")),
-        section(10, facts, h, F.col("i"), F.col("text")),
-        section(11, table("r_disk_capacity"), h, F.lit("1"), F.concat(F.lit("Total disk capacity: "), gigabytes_text("total_disk_bytes"))),
-        section(12, table("r_ports"), h, F.concat(F.lpad(F.coalesce(F.col("local_port").cast("string"), F.lit("")), 5, "0"), "proto", "local_addr", F.coalesce(F.col("pid").cast("string"), F.lit(""))),
-                F.concat(F.upper("proto"), F.lit(" "), "local_addr", F.lit(":"), F.coalesce(F.col("local_port").cast("string"), F.lit("*")),
-                         F.lit(" ["), "state", F.lit(", "), "addr_scope", F.lit("] "), "cmd")),
-        section(13, table("r_host_findings"), h, F.concat(severity_rank("severity").cast("string"), "category", "title"),
-                F.concat(F.upper("severity"), F.lit(": "), "title")),
-        section(14, table("r_privileged_users"), h, F.col("member_username"), F.concat_ws(": ", "member_username", "groups")),
-        section(15, table("r_rare_processes"), h, F.col("cmd"), say("%s (only on %d nodes)", "cmd", "host_count")),
-        section(16, table("r_rare_packages"), h, F.col("name"), say("%s %s (only on %d nodes)", "name", "version", "host_count")),
-        section(17, table("r_logging"), h, F.lit("1"), F.concat(F.lit("Remote logging: "), "status", F.lit(" "), F.coalesce("targets", F.lit("")))),
-        section(18, table("r_routes"), h, F.concat("destination", "gateway"), say("%s via %s dev %s", "destination", "gateway", "iface")),
-        section(90, table("r_active_by_node"), none, h, F.concat_ws(": ", "hostname", "users")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    every = sections()
+    ordered = lambda x: F.concat_ws("\x01", F.lit("1"), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in x.order])
+    bodies = [
+        x.rows(table).select((F.col("hostname") if x.of_host else F.lit("")).alias("hostname"), F.lit(x.number).alias("section"), ordered(x).alias("ord"),
+                             F.posexplode(F.array_compact(F.array(*x.lines))).alias("line_no", "line"), F.lit(True).alias("found"))
+        for x in every]
+    # a title and what is said of nothing, for each host and section
+    said = F.explode(F.array(*[F.struct(F.lit(x.number).alias("section"), F.lit(no).alias("line_no"), F.lit(text).alias("line")) for x in every if x.of_host for no, text in ((0, f"{x.title}:"), (1, x.nothing)) if text]))
+    hosts = table("v_asset_current").select("hostname").distinct()
+    frames = hosts.select("hostname", said.alias("s")).select("hostname", "s.section", F.lit("").alias("ord"), "s.line_no", "s.line", F.lit(False).alias("found"))
+    of_hosts = frames
+    for x, body in zip(every, bodies, strict=True):
+        if x.of_host:
+            of_hosts = of_hosts.unionByName(body)
+    # a section of a host is bounded by its snapshot
+    any_found = F.max("found").over(Window.partitionBy("hostname", "section"))
+    tells = F.col("section").isin([x.number for x in every if x.nothing])
+    of_hosts = of_hosts.withColumn("any_found", any_found).filter(
+        F.col("found") | F.when(F.col("line_no") == 0, F.col("any_found") | tells).otherwise(~F.col("any_found")))
+    out = of_hosts.select("hostname", "section", "ord", "line_no", "line")
+    for x, body in zip(every, bodies, strict=True):
+        if not x.of_host:
+            one = body.agg(F.count(F.lit(1)).alias("n")).filter(F.lit(x.nothing is not None) | (F.col("n") > 0))
+            frame = one.select(F.lit("").alias("hostname"), F.lit(x.number).alias("section"), F.lit("").alias("ord"),
+                               F.posexplode(F.when(F.col("n") > 0, F.array(F.lit(f"{x.title}:"))).otherwise(F.array(F.lit(f"{x.title}:"), F.lit(x.nothing)))).alias("line_no", "line"))
+            out = out.unionByName(frame).unionByName(body.drop("found"))
     return out
 
 
 def write_report(table: Table, path: str) -> None:
     """One folder per host with its lines in report order. A host's lines are bounded by its snapshot."""
     (
-        report_lines(table).repartition("hostname").sortWithinPartitions("hostname", "section", "ord", "line")
+        report_lines(table).repartition("hostname").sortWithinPartitions("hostname", "section", "ord", "line_no", "line")
         .select("hostname", "line").write.partitionBy("hostname").mode("overwrite").text(path)
     )
 
