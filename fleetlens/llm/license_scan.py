@@ -1,9 +1,12 @@
 """Licence notices found by the Dice coefficient of word bigrams.
 
-Lines, and paragraphs of several lines, are normalised (lower case, only letters and digits, one space) and compared to licence templates:
+Lines, paragraphs of several lines, and spans of running text are normalised (lower case, only letters and digits, one space) and compared to licence templates:
 2 x common bigrams / (bigrams of both), repeats counted. To reach LEAST, a text must have between LEAST / (2 - LEAST) and (2 - LEAST) / LEAST times as many bigrams
 as the template, so most texts meet few templates or none; and it must hold one of a few words without which too few bigrams can be common. Bigrams of what is left are joined to the bigrams of the templates (a small fixed table), and only
 those found are counted: DataFrame functions from end to end, and no group is larger than the common bigrams of a notice.
+
+Spans are windows of as many words as the template has, so that a notice is compared wherever it stands. A window need only begin at a bigram of the template. The places of a
+template's bigrams are put into cells as wide as the template: a window lies in two neighbouring cells, and those with too few of the bigrams are left at once.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import stored
+
 LEAST = 0.8
 
 
@@ -92,10 +97,12 @@ def normalised(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """doc_id, unit (line or paragraph), unit_no (from 0), template (its number), license, dice: every unit that reaches `least`, with its best template
+    """doc_id, unit (line, paragraph or span), unit_no (from 0), template (its number), license, dice: every unit that reaches `least`, with its best template
     (the first of equals).
 
-    Paragraphs are runs between lines without letters and digits, and only those of several lines are units besides their lines. Null and empty texts hold no unit.
+    Paragraphs are runs between lines without letters and digits, and only those of several lines are units besides their lines. The number of a span is that of its
+    first word; of spans that overlap the best is returned (of equals the one with the first template, then the first word), and none of a licence of which a line or
+    paragraph of the row is a notice. Null and empty texts hold no unit.
     Repeated rows give repeated rows; null doc_ids come back null.
     """
     spark: SparkSession = docs.sparkSession
@@ -125,4 +132,37 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: fl
     total = common.groupBy(*keys).agg(F.sum(F.least("n", "times")).alias("common"))
     reached = total.withColumn("dice", 2.0 * F.col("common") / (F.col("size") + F.col("t_size"))).filter(F.col("dice") >= least)
     best = reached.groupBy("doc_id", "which", "unit", "unit_no").agg(F.max(F.struct("dice", (-F.col("template")).alias("order"), "template", "license")).alias("best"))
-    return best.select("doc_id", "unit", "unit_no", "best.template", "best.license", "best.dice")
+    best = stored(best.select("doc_id", "which", "unit", "unit_no", "best.template", "best.license", "best.dice"), "license-units")
+    spans = _spans(rows, table, templates, least).join(best.select("which", "license"), ["which", "license"], "left_anti")
+    return best.drop("which").unionByName(_best_of_overlapping(spans).select("doc_id", F.lit("span").alias("unit"), "unit_no", "template", "license", "dice"))
+
+
+def _spans(rows: DataFrame, table: DataFrame, templates: tuple[Template, ...], least: float) -> DataFrame:
+    """Windows of normalised texts (doc_id, which, text) that reach `least`: doc_id, which, unit_no (first word), last (last word), template, license, dice."""
+    words = rows.select("doc_id", "which", F.split("text", "[ \n]+").alias("words")).filter((F.size("words") > 1) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in anchors(templates, least)])))
+    pair = F.arrays_zip(F.slice("words", F.lit(1), F.size("words") - 1).alias("word"), F.slice("words", F.lit(2), F.size("words") - 1).alias("next"))
+    bigrams = words.select("doc_id", "which", (F.size("words") - 1).alias("total"), F.posexplode(pair).alias("at", "b")).select("doc_id", "which", "total", "at", F.col("b.word").alias("word"), F.col("b.next").alias("next"))
+    met = bigrams.join(table, ["word", "next"]).withColumn("cell", F.floor(F.col("at") / F.col("t_size")).cast("int"))
+    met = stored(met.select("doc_id", "which", "total", "at", "cell", "template", "license", "t_size", "times", "word", "next"), "license-bigrams")
+    # in two cells, one after the other, a window has room; its size is the template's, less at the end of a text
+    from_cells = met.select("which", "template", "t_size", "cell", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("first"))
+    room = from_cells.groupBy("which", "template", "first").agg(F.count("*").alias("n"), F.max("t_size").alias("t_size"))
+    room = room.filter(F.col("n") >= least * F.col("t_size") / (2 - least) - 1e-9).select("which", "template", "first")
+    starts = met.select("doc_id", "which", "total", "template", "license", "t_size", F.col("at").alias("unit_no"), F.col("cell").alias("first")).join(room, ["which", "template", "first"])
+    held = met.select("which", "template", "at", "word", "next", "times", F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("first")).join(room, ["which", "template", "first"])
+    inside = starts.join(held, ["which", "template", "first"]).filter((F.col("at") >= F.col("unit_no")) & (F.col("at") < F.col("unit_no") + F.col("t_size")))
+    keys = ["doc_id", "which", "total", "template", "license", "t_size", "unit_no"]
+    common = inside.groupBy(*keys, "word", "next", "times").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum(F.least("n", "times")).alias("common"))
+    size = F.least(F.col("t_size"), F.col("total") - F.col("unit_no"))
+    found = common.withColumn("dice", 2.0 * F.col("common") / (size + F.col("t_size"))).filter(F.col("dice") >= least)
+    return found.select("doc_id", "which", F.col("unit_no").cast("int").alias("unit_no"), (F.col("unit_no") + size).cast("int").alias("last"), "template", "license", "dice")
+
+
+def _best_of_overlapping(spans: DataFrame) -> DataFrame:
+    """The spans of which no word lies in a better one. Spans meet in the cells that hold a word of them."""
+    spans = stored(spans, "license-spans")
+    celled = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("unit_no") / 128), F.floor(F.col("last") / 128))))
+    other = celled.select("which", "cell", *[F.col(c).alias(f"_{c}") for c in ("unit_no", "last", "template", "dice")])
+    better = F.struct("_dice", -F.col("_template"), -F.col("_unit_no")) > F.struct("dice", -F.col("template"), -F.col("unit_no"))
+    worse = celled.join(other, ["which", "cell"]).filter((F.col("_unit_no") <= F.col("last")) & (F.col("unit_no") <= F.col("_last")) & better)
+    return spans.join(worse.select("which", "unit_no", "template").distinct(), ["which", "unit_no", "template"], "left_anti")

@@ -103,7 +103,7 @@ def _op4_sql() -> str:
     rows = ", ".join(f"({k}, '{a}', '{b}', {c}, {n}, {license_scan.bounds(n, license_scan.LEAST)[0]}, {license_scan.bounds(n, license_scan.LEAST)[1]}, '{license_scan.TEMPLATES[k].license}')" for k, a, b, c, n in license_scan.template_bigrams())
     return f"""
 WITH t(template, word, next, times, t_size, low, high, license) AS (VALUES {rows}),
-n AS (SELECT doc_id, row_number() OVER () AS row, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')) AS text FROM documents),
+n AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')) AS text FROM documents),
 u AS (SELECT doc_id, row, 'line' AS unit, i - 1 AS unit_no, parts[i] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS parts FROM n))
   UNION ALL SELECT doc_id, row, 'paragraph', i - 1, replace(parts[i], chr(10), ' ')
     FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, regexp_split_to_array(text, '\\n\\n+') AS parts FROM n)) WHERE contains(parts[i], chr(10))),
@@ -112,9 +112,19 @@ s AS (SELECT *, len(words) - 1 AS size FROM w WHERE len(words) > 1),
 b AS (SELECT doc_id, row, unit, unit_no, size, words[i] AS word, words[i + 1] AS next FROM (SELECT *, unnest(range(1, size + 1)) AS i FROM s WHERE size <= (SELECT max(high) FROM t))),
 c AS (SELECT doc_id, row, unit, unit_no, size, template, license, t_size, word, next, times, count(*) AS n FROM b JOIN t USING (word, next) WHERE size BETWEEN low AND high GROUP BY ALL),
 d AS (SELECT doc_id, row, unit, unit_no, size, template, license, t_size, sum(least(n, times)) AS common FROM c GROUP BY ALL),
-e AS (SELECT *, 2.0::DOUBLE * common / (size + t_size) AS dice FROM d)
-SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, template, license, dice FROM e WHERE dice >= {license_scan.LEAST}
-QUALIFY row_number() OVER (PARTITION BY row, unit, unit_no ORDER BY dice DESC, template) = 1
+e AS (SELECT *, 2.0::DOUBLE * common / (size + t_size) AS dice FROM d),
+units AS (SELECT doc_id, row, unit, CAST(unit_no AS INTEGER) AS unit_no, template, license, dice FROM e WHERE dice >= {license_scan.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY row, unit, unit_no ORDER BY dice DESC, template) = 1),
+sw AS (SELECT doc_id, row, string_split_regex(text, '[ \n]+') AS words FROM n),
+sb AS (SELECT doc_id, row, len(words) - 1 AS total, i - 1 AS at, words[i] AS word, words[i + 1] AS next FROM (SELECT *, unnest(range(1, len(words))) AS i FROM sw)),
+sm AS (SELECT * FROM sb JOIN t USING (word, next)),
+sp AS (SELECT a.doc_id, a.row, a.total, a.template, a.license, a.t_size, a.at AS unit_no, b.word, b.next, b.times, count(*) AS n
+  FROM sm a JOIN sm b ON b.row = a.row AND b.template = a.template AND b.at >= a.at AND b.at < a.at + a.t_size GROUP BY ALL),
+sd AS (SELECT doc_id, row, template, license, unit_no, least(t_size, total - unit_no) AS size, 2.0::DOUBLE * sum(least(n, times)) / (least(t_size, total - unit_no) + t_size) AS dice FROM sp GROUP BY doc_id, row, template, license, unit_no, t_size, total),
+sf AS (SELECT * FROM sd WHERE dice >= {license_scan.LEAST} AND NOT EXISTS (SELECT 1 FROM units u WHERE u.row = sd.row AND u.license = sd.license))
+SELECT doc_id, unit, unit_no, template, license, dice FROM units
+UNION ALL SELECT doc_id, 'span', CAST(unit_no AS INTEGER), template, license, dice FROM sf s
+WHERE NOT EXISTS (SELECT 1 FROM sf o WHERE o.row = s.row AND o.unit_no <= s.unit_no + s.size AND s.unit_no <= o.unit_no + o.size AND (o.dice, -o.template, -o.unit_no) > (s.dice, -s.template, -s.unit_no))
 """
 
 

@@ -256,7 +256,7 @@ def test_licenses_against_brute_force(spark):
         for share in (0, 0.05, 0.15, 0.3):
             units.append(" ".join(w for w in words if rng.random() >= share))
             units.append(" ".join(w if rng.random() >= share else "other" for w in words) + "  more!" * rng.randrange(3))
-    found = {(r["doc_id"], r["template"], round(r["dice"], 9)) for r in license_scan.scan(spark.createDataFrame(list(enumerate(units)), "doc_id long, text string")).collect()}
+    found = {(r["doc_id"], r["template"], round(r["dice"], 9)) for r in license_scan.scan(spark.createDataFrame(list(enumerate(units)), "doc_id long, text string")).filter("unit <> 'span'").collect()}
     want = set()
     for i, unit in enumerate(units):
         best = None
@@ -272,6 +272,45 @@ def test_licenses_against_brute_force(spark):
     assert len(want) > 60
 
 
+def best_spans(text):
+    """Windows of as many words as a template that reach 0.8, less those that overlap a better one."""
+    words, found = license_scan._words(text), []
+    for k, t in enumerate(license_scan.TEMPLATES):
+        pairs = list(itertools.pairwise(license_scan._words(t.text)))
+        every = list(itertools.pairwise(words))
+        for at in range(len(every)):
+            window = every[at : at + len(pairs)]
+            common = sum(min(window.count(p), pairs.count(p)) for p in set(window))
+            if every[at] in pairs and 2 * common / (len(window) + len(pairs)) >= 0.8:
+                found.append((2 * common / (len(window) + len(pairs)), -k, -at, len(window)))
+    return {(-k, -at, round(d, 9)) for d, k, at, n in found if not any((e, j, b) > (d, k, at) and -b <= -at + n and -at <= -b + m for e, j, b, m in found)}
+
+
+def test_notices_in_running_text(spark):
+    rng = random.Random(9)
+    plain = "the of and to work license software under all this is a permission notice terms version".split()
+    texts = ["Copyright 2020 X. All rights reserved. More words.", "All rights", "all rights reserved all rights reserved"]
+    for t in license_scan.TEMPLATES:
+        for share in (0, 0.04, 0.1):
+            around = [" ".join(rng.choice(plain) for _ in range(rng.randrange(4, 40))) for _ in range(2)]
+            notice = " ".join(w if rng.random() >= share else "other" for w in t.text.split())
+            texts.append(around[0] + (" ", "\n", ". ")[rng.randrange(3)] + notice.replace(" ", "\n", rng.randrange(2)) + " " + around[1])
+    texts.append(" ".join(t.text + " some words between" for t in license_scan.TEMPLATES))
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    units, got = {}, {}
+    for r in rows:
+        if r["unit"] == "span":
+            got.setdefault(r["doc_id"], set()).add((r["template"], r["unit_no"], round(r["dice"], 9)))
+        else:
+            units.setdefault(r["doc_id"], set()).add(r["license"])
+    for i, text in enumerate(texts):
+        if i not in units:
+            assert got.get(i, set()) == best_spans(text), text
+    assert all(got.get(i) or units.get(i) for i in range(3, len(texts), 3))  # those without edits
+    assert len([i for i in range(3, len(texts)) if got.get(i) or units.get(i)]) >= 0.8 * len(texts)
+    assert {license_scan.TEMPLATES[k].license for k, _, _ in got[len(texts) - 1]} == {t.license for t in license_scan.TEMPLATES}
+
+
 def test_license_edges(spark, edges, nothing):
     mit = license_scan.TEMPLATES[19].text
     wrapped = mit[:200].rsplit(" ", 1)[0] + "\n" + mit[len(mit[:200].rsplit(" ", 1)[0]) + 1 :]
