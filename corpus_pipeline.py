@@ -40,10 +40,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the smallest doc_id stays; of rows with equal doc_id one. Rows with a null doc_id stay."""
     found = stored(simhash_pivot.classes(docs).select("doc_id", "component_id"), "copies")
     dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return left
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(left.filter("doc_id IS NULL"))
+    # what is dropped grows with the documents: it is joined by a shuffle at every size, never broadcast
+    known = docs.filter("doc_id IS NOT NULL").join(dropped.hint("merge"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    if not found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        known = known.dropDuplicates(["doc_id"])
+    return known.union(docs.filter("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
