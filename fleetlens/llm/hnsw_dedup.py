@@ -4,7 +4,8 @@ Equal vectors are one vertex. Vertices are dealt over shards by a hash of their
 query every shard: a beam search from the top layer down, many queries in step. A query whose beam holds nothing but links gets an exact scan of the
 shard, as a graph beam cannot say how far the links go. In each block some queries, chosen by a hash of the id, are also answered by brute force; while the audit's
 recall (matches with themselves do not count) is under RECALL, the beam is doubled (a beam as wide as the shard is an exact scan). What the beam finds is verified by cosine in
-double precision. Tasks return the number of links of each query and a spanning forest of the links; they neither return nor hold all pairs; components are joined on Spark.
+double precision. Tasks return a spanning forest of the links, of each scanned query the number of its links, and of the others their few links (less than a beam); they neither
+return nor hold all pairs. On Spark, a link that one beam finds is given to its other end too, unless that end was scanned, and components are joined.
 
 A task holds one shard (SHARD_ROWS vectors at most, on average) and one block of queries. As every shard is queried, the work grows with rows x shards; up to
 MIN_SHARDS x SHARD_ROWS vectors the number of shards stays as it is.
@@ -182,11 +183,14 @@ class Graph:
 
 class Links:
     """Links of queries (ids `own`) with the vectors of a shard (ids, weights): how many each query has, and their spanning forest. Pairs that come in are counted and folded
-    into the forest a helping at a time; no list of them is kept. A vector's match with itself is no link."""
+    into the forest a helping at a time; no list of them is kept, but for those of beams, which are short. `scanned` tells which queries met the whole shard. A vector's match
+    with itself is no link."""
 
     def __init__(self, own: np.ndarray, ids: np.ndarray, weights: np.ndarray):
         self.own, self.ids, self.weights = own, ids, weights
         self.n, self.held = np.zeros(len(own), np.int64), 0
+        self.scanned = np.zeros(len(own), bool)
+        self.beams = (np.empty(0, np.int64), np.empty(0, np.int64))
         self.found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
 
     def add(self, q: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -200,6 +204,11 @@ class Links:
             self.found, self.held = [self.forest()], 0
         return np.bincount(q, minlength=len(self.own))
 
+    def add_beams(self, q: np.ndarray, s: np.ndarray) -> None:
+        """Take the verified links of beams, and keep them as they are."""
+        self.add(q, s)
+        self.beams = (q, s)
+
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         return forest(*map(np.concatenate, zip(*self.found, strict=True)))
 
@@ -227,7 +236,7 @@ def find(graph: Graph, shard: np.ndarray, queries: np.ndarray, own: np.ndarray,
     all are answered exactly.
     """
     out, order = Links(own, ids, weights), audit_order(own)
-    known, truth = np.zeros(len(own), bool), np.zeros(len(own), np.int64)
+    known, truth = out.scanned, np.zeros(len(own), np.int64)
 
     def scan(rows: np.ndarray) -> None:
         for x, y in _exact(queries[rows], shard, least):
@@ -253,7 +262,7 @@ def find(graph: Graph, shard: np.ndarray, queries: np.ndarray, own: np.ndarray,
         if known.all():
             return out, beam, 1.0
         if (hits := int(judged[q].sum())) >= RECALL * links:
-            out.add(q[~known[q]], s[~known[q]])
+            out.add_beams(q[~known[q]], s[~known[q]])
             scan(np.flatnonzero(full & ~known))
             return out, beam, hits / links
         beam *= 2
@@ -280,20 +289,51 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pack("id", "<i8"), pack("weight", "<i8"), vectors, pa.array([graph.pack()], pa.binary())], ["dim", "shard", "ids", "weights", "vectors", "layers"])
 
 
+#: Three kinds of rows: a scanned query's links with a shard (no other), a beam's link (both ends, each once with the shard of the other end and its weight), an edge of a forest (no shard).
+_LINKS = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("shard", pa.int32()), ("n", pa.int64())])
+LINKS = "id long, other long, shard int, n long"
+
+
+def _links(id: np.ndarray, other: np.ndarray | None, shard: np.ndarray | None, n: np.ndarray | None) -> pa.Table:
+    columns = [pa.nulls(len(id), f.type) if c is None else pa.array(c, f.type) for c, f in zip((id, other, shard, n), _LINKS, strict=True)]
+    return pa.Table.from_arrays(columns, schema=_LINKS)
+
+
+def _scanned(found: Links, number: int) -> pa.Table:
+    some = np.flatnonzero(found.scanned & (found.n > 0))
+    return _links(found.own[some], None, np.full(len(some), number), found.n[some])
+
+
+def _beams(found: Links, number: int, weight: np.ndarray, home: np.ndarray) -> pa.Table:
+    q, s = found.beams
+    there = _links(found.own[q], found.ids[s], np.full(len(q), number), found.weights[s])
+    return pa.concat_tables([there, _links(found.ids[s], found.own[q], home[q], weight[q])])
+
+
+def _forest(found: Links) -> pa.Table:
+    a, b = found.forest()
+    return _links(a, b, None, None)
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """id, n: links of every id (columns LINKS), whichever end found them. With a shard that an id's scan compared whole, the scan's number holds; with others each link counts once."""
+    met = links.filter("shard IS NOT NULL")
+    once = met.groupBy("id", "shard", "other").agg(F.max("n").alias("n"))
+    by_shard = once.groupBy("id", "shard").agg(F.max(F.when(F.col("other").isNull(), F.col("n"))).alias("scanned"), F.sum(F.when(F.col("other").isNotNull(), F.col("n"))).alias("beams"))
+    return by_shard.groupBy("id").agg(F.sum(F.coalesce("scanned", "beams")).alias("n"))
+
+
 def _query(least: float):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id", "other", "n"]
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names)
-        dim, row = key[0].as_py(), right.to_pylist()[0]
+            return _LINKS.empty_table()
+        dim, number, row = key[0].as_py(), key[1].as_py(), right.to_pylist()[0]
         ids, weights = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["weights"], "<i8")
         raw = np.frombuffer(row["vectors"], "<f8")
         shard = _matrix(pa.FixedSizeListArray.from_arrays(pa.array(raw), dim), dim)
         own, queries = left["id"].to_numpy(), _matrix(left["vector"], dim)
         found, _, _ = find(Graph.unpack(row["layers"], shard.astype(np.float32)), shard, queries, own, ids, weights, least)
-        n, (a, b) = found.n, found.forest()
-        some = np.flatnonzero(n)
-        return pa.table([pa.array(np.concatenate([own[some], a])), pa.array(np.concatenate([np.zeros(len(some), np.int64), b]), mask=np.arange(len(some) + len(a)) < len(some)), pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)]))], names)
+        return pa.concat_tables([_scanned(found, number), _beams(found, number, left["weight"].to_numpy(), left["home"].to_numpy()), _forest(found)])
 
     return run
 
@@ -314,11 +354,11 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE, shard_ro
     vertices = vertices.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     graphs = vertices.select("dim", "shard", "id", "weight", "vector").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, ids binary, weights binary, vectors binary, layers binary")
     graphs = stored(graphs, "hnsw-graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = vertices.select("dim", "id", "vector", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = asked.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInArrow(_query(least), "id long, other long, n long")
+    asked = vertices.select("dim", "id", "weight", "vector", F.col("shard").alias("home"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    found = asked.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInArrow(_query(least), LINKS)
     found = stored(found, "hnsw-links")
-    counts = found.filter("other IS NULL").groupBy("id").agg(F.sum("n").alias("n"))
-    joined = components(found.filter("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), "hnsw")
+    counts = link_counts(found)
+    joined = components(found.filter("shard IS NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), "hnsw")
     named = vertices.select("id", "vector", "weight").join(counts, "id", "left").join(joined, "id", "left")
     named = named.select("vector", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     both = salted_join(rows.filter("usable"), named, ["vector"], "vec_id").select("vec_id", "n_links", "component_id")

@@ -51,3 +51,28 @@ def test_dense_scan_counts_all_and_holds_few():
     assert len(a) == len(ids) - 1
     assert set(b.tolist()) == {1}
     assert near.sum() * 16 > 500_000_000 > peak
+
+
+def test_beam_links_count_at_both_ends(spark):
+    rows = [
+        (1, 2, 0, 3), (2, 1, 1, 1),  # found by the beam of 1 alone
+        (4, 5, 0, 1), (5, 4, 1, 1), (5, 4, 1, 1), (4, 5, 0, 1),  # found by both beams
+        (6, None, 1, 40), (7, 6, 1, 1), (6, 7, 1, 1),  # 6 met all of shard 1, and the beam of 7 found 6
+        (6, 8, 0, 2), (1, 2, None, None), (9, 6, None, None),  # 6 has a beam's link with shard 0; edges of forests count nothing
+    ]
+    got = {r["id"]: r["n"] for r in hnsw_dedup.link_counts(spark.createDataFrame(rows, hnsw_dedup.LINKS)).collect()}
+    assert got == {1: 3, 2: 1, 4: 1, 5: 1, 6: 42, 7: 1}
+
+
+def test_links_have_two_ends(spark):
+    """No link but those of scanned vectors: the sum of links is that of pairs, each of which has two ends."""
+    centres = unit(700, 12, 5)
+    vectors = np.concatenate([centres, centres + unit(700, 12, 6) * 0.4, centres[:350] + unit(350, 12, 7) * 0.2])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in hnsw_dedup.near_duplicates(table, shard_rows=400, query_rows=500).collect()}
+    v = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = v @ v.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert 0.99 * near.sum() <= sum(got.values()) <= near.sum()
+    assert sum(got.values()) % 2 == 0
+    assert all(got[i] <= near[i].sum() for i in got)
