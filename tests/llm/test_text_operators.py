@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -311,6 +312,24 @@ def test_notices_in_running_text(spark):
     assert {license_scan.TEMPLATES[k].license for k, _, _ in got[len(texts) - 1]} == {t.license for t in license_scan.TEMPLATES}
 
 
+def test_clauses_of_whole_licences(spark):
+    """A licence wrapped at 72 columns, its paragraphs apart (paragraphs and lines) or all in one line (spans): every clause is found."""
+    clauses = {}
+    for k, t in enumerate(license_scan.TEMPLATES):
+        if t.license in ("BSD", "ISC", "MIT") and len(t.text.split()) > 15:
+            clauses.setdefault(t.license, []).append((k, t.text))
+    assert {x: len(c) for x, c in clauses.items()} == {"BSD": 6, "ISC": 2, "MIT": 3}
+    apart = [(x, "Copyright (c) 2024 Somebody\n\n" + "\n\n".join(textwrap.fill(f"{n}. {text}", 72, initial_indent=" * ", subsequent_indent=" * ") for n, (_, text) in enumerate(c))) for x, c in clauses.items()]
+    running = [(x, "some words of prose " + " some words between ".join(text.lower() for _, text in c) + " and more words") for x, c in clauses.items()]
+    rows = [(i, text) for i, (_, text) in enumerate(apart + running)]
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).add((r["unit"], r["template"]))
+    for i, (x, _) in enumerate(apart + running):
+        found = {k for unit, k in got[i] if (unit == "span") == (i >= len(apart))}
+        assert found == {k for k, _ in clauses[x]}, (i, x)
+
+
 def test_license_edges(spark, edges, nothing):
     mit = license_scan.TEMPLATES[19].text
     wrapped = mit[:200].rsplit(" ", 1)[0] + "\n" + mit[len(mit[:200].rsplit(" ", 1)[0]) + 1 :]
