@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fixtures.cases import (
-    ADDRS, CASES, FACTS, FAILED, GB, KEYS, LLADDR, MEMBERS, MODULES, OS, PACKAGES, PROCESSES, PW_AUTH, R, RSYSLOG, SOCKETS,
+    ADDRS, CASES, DUCK, FACTS, FAILED, GB, KEYS, LLADDR, MEMBERS, MODULES, OS, PACKAGES, PROCESSES, PW_AUTH, R, RSYSLOG, SOCKETS,
     USB_COLS, case, iso, json_list, union,
 )
 from fixtures.facts import div, i, s
-from fixtures.render import dialect, rendered
+from fixtures.render import COMMANDS, block_specs, dialect, rendered
 from fleetlens.operators import diff, findings, identity, views
 from fleetlens.operators.blocks import split_blocks
 from fleetlens.plans import playbook, report
@@ -334,7 +334,8 @@ case("report_lines", lambda f: report.report_lines(f).drop("ord"), report_sql())
 
 # ---- 2.11 snapshot comparison -----------------------------------------------------------------------------
 
-DIFF_TAGS = ("uname_a", "dpkg_list", "priv_groups")
+#: Block kinds of a compared file. All but the last are in every file, so that a block has the same place in both.
+DIFF_TAGS = ("hostnamectl", "uname_a", "etc_release", "sysctl_hardening", "timedatectl", "uptime", "ip_addr", "resolv_conf", "route_n", "sshd_T", "auditctl_l", "dpkg_list", "priv_groups")
 
 
 def _diff_inputs(f, tags=DIFF_TAGS):
@@ -342,25 +343,25 @@ def _diff_inputs(f, tags=DIFF_TAGS):
     return snaps, split_blocks(snaps), diff.consecutive_pairs(f("v_asset_previous_run"))
 
 
-CHANGED_PKG = "EXISTS (SELECT 1 FROM fx_packages p WHERE p.h = c.h AND p.r = 2 AND p.version LIKE '%.2')"
 FACTS["fx_gtext"] = f"SELECT h, r, string_agg(groupname || ':x:' || {s('gid')} || ':' || members_csv, chr(10) ORDER BY gid) AS body FROM fx_priv_groups GROUP BY h, r"
-_gstatus = "CASE WHEN b.body IS NULL THEN 'missing' WHEN a.body = b.body THEN 'same' ELSE 'changed' END"
-BLOCK_DIFF = f"""SELECT c.prev_run AS first_run, c.run_id AS second_run, '0' AS block_key, 0 AS command_index, 0 AS second_index, 'uname -a' AS command, 'changed' AS status FROM fx_cur c
-    UNION ALL SELECT c.prev_run, c.run_id, '1', 1, 1, 'dpkg -l | sort', CASE WHEN {CHANGED_PKG} THEN 'changed' ELSE 'same' END FROM fx_cur c
-    UNION ALL SELECT c.prev_run, c.run_id, '2', 2, CASE WHEN b.body IS NULL THEN NULL ELSE 2 END, 'getent group sudo root wheel adm admin', {_gstatus} FROM fx_cur c JOIN fx_gtext a ON a.h = c.h AND a.r = 1 LEFT JOIN fx_gtext b ON b.h = c.h AND b.r = 2"""
+_specs = block_specs(DUCK)
+# lines of the compared blocks; heads are the same in all runs
+FACTS["fx_dlines"] = " UNION ALL ".join(f"SELECT h, r, {no} AS idx, '{tag}' AS tag, '{COMMANDS[tag]}' AS command, unnest(string_split(CAST(line AS STRING), chr(10))) AS line FROM ({_specs[tag].sql}) q{no}" for no, tag in enumerate(DIFF_TAGS))
+FACTS["fx_dbody"] = "SELECT h, r, idx, tag, command, string_agg(line, chr(10) ORDER BY line) AS body FROM fx_dlines GROUP BY h, r, idx, tag, command"
+BLOCK_PAIRS = f"""SELECT c.prev_run AS first_run, c.run_id AS second_run, a.h, a.tag, {s('a.idx')} AS block_key, a.idx AS command_index, b.idx AS second_index, a.command,
+    CASE WHEN b.body IS NULL THEN 'missing' WHEN a.body = b.body THEN 'same' ELSE 'changed' END AS status
+    FROM fx_cur c JOIN fx_dbody a ON a.h = c.h AND a.r = 1 LEFT JOIN fx_dbody b ON b.h = c.h AND b.r = 2 AND b.idx = a.idx"""
+BLOCK_DIFF = f"SELECT first_run, second_run, block_key, command_index, second_index, command, status FROM ({BLOCK_PAIRS}) q"
 case("diff_blocks", lambda f: diff.diff_blocks(*_diff_inputs(f)[1:]), BLOCK_DIFF)
 case("diff_blocks_by_tag", lambda f: diff.diff_blocks(*_diff_inputs(f)[1:], by="tag").drop("command_index", "second_index"),
-     f"SELECT first_run, second_run, CASE command_index WHEN 0 THEN 'uname_a#1' WHEN 1 THEN 'dpkg_list#1' ELSE 'priv_groups#1' END AS block_key, command, status FROM ({BLOCK_DIFF}) q")
-PKG_LINE = "p.status || '  ' || p.name || '  ' || p.version || '  ' || p.arch || '  ' || p.summary"
-LINE_DIFF = f"""SELECT c.prev_run AS first_run, c.run_id AS second_run, '0' AS block_key, 'uname -a' AS command, 'Linux n 5.' || {s('c.nation')} || '.1 #1 SMP x86_64 GNU/Linux' AS line, 'removed' AS change_type, 1 AS copies FROM fx_cur c
-    UNION ALL SELECT c.prev_run, c.run_id, '0', 'uname -a', 'Linux n 5.' || {s('c.nation')} || '.2 #1 SMP x86_64 GNU/Linux', 'added', 1 FROM fx_cur c
-    UNION ALL SELECT c.prev_run, c.run_id, '1', 'dpkg -l | sort', {PKG_LINE}, CASE p.r WHEN 1 THEN 'removed' ELSE 'added' END, 1 FROM fx_cur c JOIN fx_packages p ON p.h = c.h AND ((p.r = 1 AND p.version LIKE '%.1') OR (p.r = 2 AND p.version LIKE '%.2'))
-    UNION ALL SELECT c.prev_run, c.run_id, '2', 'getent group sudo root wheel adm admin', d.line, d.change_type, 1 FROM fx_cur c JOIN fx_gtext a ON a.h = c.h AND a.r = 1 JOIN fx_gtext b ON b.h = c.h AND b.r = 2 JOIN
-    (SELECT h, line, 'removed' AS change_type FROM (SELECT h, groupname || ':x:' || {s('gid')} || ':' || members_csv AS line FROM fx_priv_groups WHERE r = 1 EXCEPT SELECT h, groupname || ':x:' || {s('gid')} || ':' || members_csv FROM fx_priv_groups WHERE r = 2) u
-     UNION ALL SELECT h, line, 'added' FROM (SELECT h, groupname || ':x:' || {s('gid')} || ':' || members_csv AS line FROM fx_priv_groups WHERE r = 2 EXCEPT SELECT h, groupname || ':x:' || {s('gid')} || ':' || members_csv FROM fx_priv_groups WHERE r = 1) v) d ON d.h = c.h"""
+     f"SELECT first_run, second_run, tag || '#1' AS block_key, command, status FROM ({BLOCK_PAIRS}) q")
+LINE_DIFF = f"""SELECT p.first_run, p.second_run, p.block_key, p.command, n.line, CASE WHEN n.net > 0 THEN 'added' ELSE 'removed' END AS change_type, abs(n.net) AS copies
+    FROM ({BLOCK_PAIRS}) p JOIN (SELECT h, idx, line, count(*) FILTER (WHERE r = 2) - count(*) FILTER (WHERE r = 1) AS net FROM fx_dlines GROUP BY h, idx, line) n ON n.h = p.h AND n.idx = p.command_index
+    WHERE p.status = 'changed' AND n.net <> 0"""
 case("diff_lines", lambda f: diff.diff_lines(*_diff_inputs(f)[1:]), LINE_DIFF)
-case("diff_text", lambda f: diff.diff_text(*_diff_inputs(f, ("uname_a",))[1:]), f"""SELECT prev_run AS first_run, run_id AS second_run, '0' AS block_key, 'uname -a' AS command,
-    '--- ' || chr(10) || '+++ ' || chr(10) || '-Linux n 5.' || {s('nation')} || '.1 #1 SMP x86_64 GNU/Linux' || chr(10) || '+Linux n 5.' || {s('nation')} || '.2 #1 SMP x86_64 GNU/Linux' AS diff FROM fx_cur""")
+case("diff_text", lambda f: diff.diff_text(*_diff_inputs(f)[1:]), f"""SELECT first_run, second_run, block_key, command,
+    '--- ' || chr(10) || '+++ ' || string_agg(repeat(chr(10) || CASE change_type WHEN 'added' THEN '+' ELSE '-' END || line, CAST(copies AS INT)), '' ORDER BY change_type = 'added', line) AS diff
+    FROM ({LINE_DIFF}) q GROUP BY first_run, second_run, block_key, command""")
 FILE_TEXT = f"""'***************HOST INFO***************' || chr(10) || '$ uname -a' || chr(10) || 'Linux n 5.' || {s('x.nation')} || '.' || {s('x.r')} || ' #1 SMP x86_64 GNU/Linux' || chr(10) || '===================================' || chr(10)
     || CASE WHEN g.body IS NULL THEN '' ELSE '***************USER INFO***************' || chr(10) || '$ getent group sudo root wheel adm admin' || chr(10) || g.body || chr(10) || '===================================' || chr(10) END"""
 FACTS["fx_ftext"] = f"SELECT x.h, x.r, x.run_id, x.ip, x.ts, x.path, {FILE_TEXT} AS text, g.body FROM fx_runs x LEFT JOIN fx_gtext g ON g.h = x.h AND g.r = x.r"
