@@ -159,6 +159,47 @@ def test_overlaps_against_brute_force(spark):
     assert 10 < len(want) < 60
 
 
+def test_masks_of_short_items_meet_every_overlap():
+    for n in range(1, 8):
+        for out in itertools.combinations(range(n), n - math.ceil(0.8 * n - 1e-9)):
+            assert any(not set(mask) & set(out) for mask in spaced_seed.masks_of(n)), (n, out)
+
+
+def test_short_items_against_brute_force(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 5, 5, 6, 6, 7, 7)]
+    docs = [[rng.choice(words) for _ in range(rng.randrange(0, 9))] for _ in range(80)]
+    for k in range(160):
+        part = list(items[k % len(items)])
+        if k // 10 % 3:
+            part[rng.randrange(len(part))] = rng.choice(words)
+        docs[k % 80] += part + [rng.choice(words)] * (k % 3)
+    texts = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(items)], "item_id long, text string")
+    want = {(i, j) for i, d in enumerate(docs) for j, item in enumerate(items) if plain_overlap(d, item)}
+    assert {j for _, j in want} == set(range(len(items)))
+    for chars in (spaced_seed.BLOCK_CHARS, 60):
+        assert {(r["doc_id"], r["item_id"]) for r in spaced_seed.overlaps(texts, bench, block_chars=chars).collect()} == want
+
+
+def test_overlaps_in_unspaced_scripts(spark):
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(40))
+    docs = [(1, "前" + han + "後"), (2, han[:20]), (3, han[:15] + "x"), (4, han[:9] + "一" + han[10:30]), (5, "ก" + han[::2])]
+    found = spaced_seed.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, han)], "item_id long, text string"))
+    assert {(r["doc_id"], r["doc_start"], r["n_words"], r["n_same"]) for r in found.collect()} == {(1, 1, 40, 40), (2, 0, 20, 20), (4, 0, 30, 29)}
+    assert len(spaced_seed.words("漢字ab c_d")) == 5
+
+
+def test_repeated_items_share_one_entry(spark):
+    bench = spark.createDataFrame([(i, "one two three four five six seven eight nine") for i in range(50)] + [(99, "One, two three four five six seven eight nine!")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten"), (2, "something else")], "doc_id long, text string")
+    found = spaced_seed.overlaps(docs, bench).collect()
+    assert sorted(r["item_id"] for r in found) == [*range(50), 99]
+    assert {r["doc_id"] for r in found} == {1}
+    assert len(spaced_seed.block([("a", "x y"), ("b", "X, y"), ("c", None)]).keys) == 1
+
+
 def test_overlap_edges(spark, edges, nothing):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (4, LONG[:200]), (4, LONG[:200]), (None, LONG[:200])], "item_id long, text string")
     found = spaced_seed.overlaps(edges, bench).collect()
