@@ -15,6 +15,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents whose language is less sure than this go.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Shorter overlaps, which only items of fewer words have, say little of a document.
+LEAST_OVERLAP_WORDS = 6
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -48,8 +50,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a long part of one, go. Rows with a null doc_id stay."""
-    found = spaced_seed.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    """Documents that hold a benchmark item of six words or more, or a long part of one, go. Rows with a null doc_id stay."""
+    found = spaced_seed.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = found.filter(F.col("n_words") >= LEAST_OVERLAP_WORDS).select("doc_id").distinct()
     return docs.join(stored(found, "contaminated"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
