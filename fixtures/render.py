@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -222,7 +225,7 @@ def rendered(spark: SparkSession, sf_dir: str, tags: tuple[str, ...]) -> DataFra
     """
     key = (spark.sparkContext.applicationId, sf_dir, tags)
     if key not in _rendered:
-        path = f"{shared_folder(spark)}/rendered-{spark.sparkContext.applicationId}-{len(_rendered)}"
+        path = f"{shared_folder(spark)}/rendered-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         # as many files as a snapshot folder would give tasks; small results would end up in one file
         files = render(spark, sf_dir, list(tags)).repartition(2 * spark.sparkContext.defaultParallelism)
         files.write.mode("overwrite").parquet(path)
@@ -230,6 +233,26 @@ def rendered(spark: SparkSession, sf_dir: str, tags: tuple[str, ...]) -> DataFra
     return spark.read.schema("path string, content binary, length bigint").parquet(_rendered[key])
 
 
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot files that hold the blocks of every kind, as a collector writes them. Written once per application and read back.
+
+    Kinds are rendered side by side and met by path: one plan over all of them would be a union of some eighty branches.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "whole")
+    if key not in _rendered:
+        tags = [t for t in block_specs(dialect(spark, sf_dir)) if t != "documents"]
+        with ThreadPoolExecutor(8) as pool:
+            parts = list(pool.map(lambda tag: rendered(spark, sf_dir, (tag,)), tags))
+        kinds = [p.select("path", F.lit(no).alias("no"), F.col("content").cast("string").alias("text")) for no, p in enumerate(parts)]
+        met = reduce(DataFrame.union, kinds).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("blocks"))
+        text = F.array_join(F.transform("blocks", lambda b: b["text"]), "")
+        path = f"{shared_folder(spark)}/rendered-{spark.sparkContext.applicationId}-whole-{uuid.uuid4().hex[:8]}"
+        met.select("path", text.cast("binary").alias("content"), F.octet_length(text).cast("bigint").alias("length")).repartition(
+            2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+        _rendered[key] = path
+    return spark.read.schema("path string, content binary, length bigint").parquet(_rendered[key])
+
+
 _rendered: dict[tuple, str] = {}
 _fleets: dict[tuple, "RenderedFleet"] = {}
 RAW_TAGS = ("rsyslog_conf", "journald_conf", "hostnamectl")
