@@ -1,0 +1,46 @@
+"""Work and memory of a task do not grow with the tables."""
+
+import re
+
+import pytest
+
+from fixtures import render as R
+from fixtures.cases import utc
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df) -> str:
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+@pytest.mark.parametrize("tags", [["dpkg_list"], ["ps_elf", "timedatectl"], ["iptables_s", "ufw_raw"]])
+def test_rendering_shuffles_source_rows_only(spark, tags):
+    exchanges = re.findall(r"Exchange (\w+)[^\n]*", plan(R.render(utc(spark), SF, tags)))
+    texts = [line for line in plan(R.render(spark, SF, tags)).split("\n") if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" not in line]
+    assert exchanges and not texts
+
+
+def test_more_rows_give_more_tasks(spark, monkeypatch):
+    before = R.sized(utc(spark), SF, ["SELECT * FROM fx_packages"]).parts
+    monkeypatch.setattr(R, "TASK_ROWS", 100)
+    after = R.sized(spark, SF, ["SELECT * FROM fx_packages"]).parts
+    assert after >= 60 > before
+    assert R.render(spark, SF, ["dpkg_list"]).rdd.getNumPartitions() == after
+
+
+def test_shuffles_start_with_a_partition_for_each_portion(spark):
+    from fleetlens.sources.warehouse import partition_for
+
+    first, aim = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    size = spark.conf.get(aim)
+    try:
+        partition_for(spark, 4)
+        assert spark.conf.get(first, None) is None
+        partition_for(spark, 400)
+        assert spark.conf.get(first) == "400"
+        partition_for(spark, 40)
+        assert spark.conf.get(first) == "400"
+    finally:
+        spark.conf.unset(first)
+        spark.conf.set(aim, size)
