@@ -44,3 +44,15 @@ def test_shuffles_start_with_a_partition_for_each_portion(spark):
     finally:
         spark.conf.unset(first)
         spark.conf.set(aim, size)
+
+
+def test_packages_come_from_one_pass_over_the_texts(spark):
+    from fleetlens.operators.software import run_packages
+
+    text = "Desired=Unknown\nii  a  1  all  old\nii  a  1  all  new\nii  b  2\n\nzz  c  3  all  x"
+    made = [("r1", "dpkg_list", text), ("r1", "rpm_all", "rpm: no\n\n  l-1.x86_64 \nl-1.x86_64\nbash: rpm: command not found")]
+    blocks = spark.createDataFrame(made, "run_id string, command_tag string, output_text string").selectExpr(
+        "*", "'ip' AS source_ip", "current_timestamp() AS collected_at_utc", "'UTC' AS host_zone", "true AS is_first")
+    df = run_packages(blocks)
+    assert len(re.findall(r"Scan ", plan(df))) == 1
+    assert sorted(map(tuple, df.collect())) == [("r1", "dpkg", "a", "1", "all", "ii", "new"), ("r1", "rpm", "l-1.x86_64", "", "", "", None)]
