@@ -271,10 +271,17 @@ def find(graph: Graph, shard: np.ndarray, queries: np.ndarray, own: np.ndarray,
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Rows of length 1, in double precision. A scale first, so that squares of huge or tiny numbers stay finite."""
-    out = np.array(column.combine_chunks().flatten()).reshape(-1, dim) if not isinstance(column, pa.Array) else np.array(column.flatten()).reshape(-1, dim)
-    out = out / np.abs(out).max(axis=1, keepdims=True)
-    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+    """Rows of length 1, in double precision."""
+    return _scaled(np.array(column.combine_chunks().flatten() if not isinstance(column, pa.Array) else column.flatten()).reshape(-1, dim))
+
+
+def _scaled(out: np.ndarray) -> np.ndarray:
+    """Rows brought to length 1 in place, as a shard is most of what a task holds. A scale first, so that squares of huge or tiny numbers stay finite."""
+    for k in range(0, len(out), STEP_SHARD):
+        part = out[k : k + STEP_SHARD]
+        part /= np.abs(part).max(axis=1, keepdims=True)
+        part /= np.sqrt((part * part).sum(axis=1, keepdims=True))
+    return out
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
@@ -327,12 +334,12 @@ def _query(least: float):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _LINKS.empty_table()
-        dim, number, row = key[0].as_py(), key[1].as_py(), right.to_pylist()[0]
-        ids, weights = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["weights"], "<i8")
-        raw = np.frombuffer(row["vectors"], "<f8")
-        shard = _matrix(pa.FixedSizeListArray.from_arrays(pa.array(raw), dim), dim)
+        dim, number = key[0].as_py(), key[1].as_py()
+        blob = lambda c: right[c][0].as_buffer()  # noqa: E731  (a view, no copy)
+        ids, weights = np.frombuffer(blob("ids"), "<i8"), np.frombuffer(blob("weights"), "<i8")
+        shard = _scaled(np.frombuffer(blob("vectors"), "<f8").reshape(-1, dim).copy())
         own, queries = left["id"].to_numpy(), _matrix(left["vector"], dim)
-        found, _, _ = find(Graph.unpack(row["layers"], shard.astype(np.float32)), shard, queries, own, ids, weights, least)
+        found, _, _ = find(Graph.unpack(blob("layers"), shard.astype(np.float32)), shard, queries, own, ids, weights, least)
         return pa.concat_tables([_scanned(found, number), _beams(found, number, left["weight"].to_numpy(), left["home"].to_numpy()), _forest(found)])
 
     return run
