@@ -101,14 +101,17 @@ def host_text_to_utc(text: Column | str, collected_at: Column | str, zone: Colum
     )
 
 
-def process_start_to_utc(start: Column | str, collected_at: Column | str, zone: Column | str) -> Column:
-    """`ps` start column: `HH:MM` is the run's day (the day before when that is after the run), `MonDD` that date."""
-    run, s = col(collected_at), strip(start)
-    local_run = F.from_utc_timestamp(run, F.coalesce(col(zone), F.lit("UTC")))
-    day = F.date_format(local_run, "yyyy-MM-dd")
-    clock = F.when(s.rlike(r"^\d{1,2}:\d{2}(?::\d{2})?$"),
-                   F.coalesce(F.try_to_timestamp(F.concat_ws(" ", day, s), F.lit("yyyy-MM-dd H:m:s")),
-                              F.try_to_timestamp(F.concat_ws(" ", day, s), F.lit("yyyy-MM-dd H:m"))))
+def utc_to_local(ts: Column | str, zone: Column | str) -> Column:
+    return F.from_utc_timestamp(col(ts), F.coalesce(col(zone), F.lit("UTC")))
+
+
+def process_start_to_utc(start: Column | str, local_run: Column | str, local_day: Column | str, zone: Column | str) -> Column:
+    """`ps` start column: `HH:MM` is the run's day (the day before when that is after the run), `MonDD` that date. Time of the run and its
+    day (`yyyy-MM-dd`) are local."""
+    local_run, day, s = col(local_run), col(local_day), strip(start)
+    # one format for both forms: a parse that fails costs more than all the rest of a line
+    seconds = F.when(s.rlike(r"^\d{1,2}:\d{2}$"), ":00").otherwise("")
+    clock = F.when(s.rlike(r"^\d{1,2}:\d{2}(?::\d{2})?$"), F.try_to_timestamp(F.concat(day, F.lit(" "), s, seconds), F.lit("yyyy-MM-dd H:m:s")))
     clock = F.when(clock > local_run, clock - F.expr("INTERVAL 1 DAY")).otherwise(clock)
     month_day = F.when(
         s.rlike(r"^[A-Z][a-z]{2}\d{1,2}$"),

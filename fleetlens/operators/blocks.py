@@ -30,6 +30,9 @@ def command_tag(command: Column | str) -> Column:
     return F.coalesce(F.try_element_at(names, c), loops, slug)
 
 
+_MARK = "\x1e"
+
+
 def split_blocks(snaps: DataFrame) -> DataFrame:
     """One row per command block, with the section it started in.
 
@@ -39,9 +42,9 @@ def split_blocks(snaps: DataFrame) -> DataFrame:
     explode. The same pass notes the host time zone, which later jobs need next
     to every line.
     """
-    pieces = snaps.select(
-        "run_id", "source_ip", "collected_at_utc", F.split("text", r"(?m)^(?=\$ )").alias("pieces")
-    )
+    # a byte search finds the commands; the mark is a line break that normalized text does not have
+    marked = F.replace(F.col("text"), F.lit("\n$ "), F.lit(f"\n{_MARK}$ "))
+    pieces = snaps.select("run_id", "source_ip", "collected_at_utc", F.split(marked, _MARK).alias("pieces"))
     command_of = lambda p: strip(F.substr(F.substring_index(p, "\n", 1), F.lit(3)))
     clean = lambda h: strip(F.regexp_replace(F.regexp_replace(h, r"\*", " "), r"\s+", " "))
     starred = lambda p: F.contains(p, F.lit("*****"))
@@ -87,13 +90,14 @@ def split_blocks(snaps: DataFrame) -> DataFrame:
     ruled = starred(F.col("piece")) | F.contains("piece", F.lit("\n="))
     body = F.when(ruled, F.regexp_replace(body, rf"(?m)^(?:{C.SECTION_HEADER}|=+)(?:\n|\z)", "")).otherwise(body)
     section = F.try_element_at(F.filter("headers", lambda h: h["i"] < F.col("pos")), F.lit(-1))["name"]
+    # filters on the output stay behind the explode, those on tags go before it: a text is cleaned once, and only if its tag is wanted
     return exploded.select(
         *RUN_COLS,
         F.coalesce(section, F.lit(C.INITIAL_SECTION)).alias("section"),
         (F.col("pos") - F.col("preamble")).alias("command_index"),
         command_of(F.col("piece")).alias("command"),
         F.substring_index(tag, " ", 1).alias("command_tag"),
-        F.btrim(body, F.lit("\n")).alias("output_text"),
+        F.explode(F.array(F.btrim(body, F.lit("\n")))).alias("output_text"),
         ((F.array_position("tags", tag) == F.col("pos") + 1) & ~tag.endswith(" unread")).alias("is_first"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import constants as C
-from fleetlens.functions.scalars import snapshot_ip, snapshot_time
+from fleetlens.functions.scalars import let, snapshot_ip, snapshot_time
 from fleetlens.functions.text import normalize_newlines
 
 # Snapshot names contain ':'. Hadoop's checksummed local file system cannot build
@@ -53,7 +53,8 @@ def snapshots(files: DataFrame) -> DataFrame:
             F.sha2("content", 256).alias("source_sha256"),
             F.md5("content").alias("source_md5"),
             F.octet_length("content").cast("bigint").alias("size_bytes"),
-            normalize_newlines(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"),
+            # behind an explode a text is decoded once, however often later steps refer to it
+            F.explode(F.array(let(F.make_valid_utf8(F.col("content").cast("string")), normalize_newlines))).alias("text"),
         )
         .filter(F.col("source_ip").isNotNull() & F.col("collected_at_utc").isNotNull())
     )

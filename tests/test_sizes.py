@@ -56,3 +56,46 @@ def test_packages_come_from_one_pass_over_the_texts(spark):
     df = run_packages(blocks)
     assert len(re.findall(r"Scan ", plan(df))) == 1
     assert sorted(map(tuple, df.collect())) == [("r1", "dpkg", "a", "1", "all", "ii", "new"), ("r1", "rpm", "l-1.x86_64", "", "", "", None)]
+
+
+def blocks_with(spark, *made):
+    return spark.createDataFrame(list(made), "run_id string, command_tag string, output_text string").selectExpr(
+        "*", "'ip' AS source_ip", "TIMESTAMP '2024-02-01 12:00:00' AS collected_at_utc", "'UTC' AS host_zone", "true AS is_first")
+
+
+def test_parents_are_found_inside_the_block(spark):
+    from fleetlens.operators.software import run_processes
+
+    line = "4 S root {} {} 0 80 0 - 1 - {} ? 00:00:01 {}".format
+    text = "\n".join([line(7, 1, "10:05", "/bin/old -a"), line(9, 7, "13:00:30", "sh -c x"), line(7, 1, "25:00", "/opt/new -b"), line("x", 7, "Jan05", "y"), line(0, 0, "2023", "z"), line(9, 7, "13:00:30", "sh -c x")])
+    df = run_processes(blocks_with(spark, ("r1", "ps_elf", text), ("r2", "ps_elf", line(9, 7, "10:05", "sh -c x"))))
+    assert "Exchange" not in plan(df)
+    got = sorted((r.run_id, str(r.pid), r.cmd, r.parent_process_path, str(r.start_normalized_utc)) for r in df.collect())
+    assert got == [
+        ("r1", "0", "z", "", "2023-01-01 00:00:00"), ("r1", "7", "/bin/old -a", "", "2024-02-01 10:05:00"), ("r1", "7", "/opt/new -b", "", "None"),
+        ("r1", "9", "sh -c x", "/opt/new", "2024-01-31 13:00:30"), ("r1", "None", "y", "", "2024-01-05 00:00:00"), ("r2", "9", "sh -c x", "", "2024-02-01 10:05:00")]
+
+
+def test_sockets_are_compared_inside_the_block(spark):
+    from fleetlens.operators.network import run_listening_sockets
+
+    owned = 'tcp LISTEN {} 128 {} *:* users:(("{}",pid={},fd=3))'.format
+    known = 'tcp ESTAB {} 128 10.0.0.1:22 [fe80::1]:99 users:(("a",pid=1,fd=3))'.format
+    lines = [owned(0, "*:22", "a", 1), owned(1, "*:22", "a", 1), known(0), known(5), known(3), "udp UNCONN 0 0 [::]:53 *", "tcp too few", "tcp LISTEN 0 1 a:1 b:2 nobody"]
+    df = run_listening_sockets(blocks_with(spark, ("r1", "ss_punt", "Netid State\n" + "\n".join(lines)), ("r2", "ss_punt", known(9))))
+    assert "Exchange" not in plan(df)
+    got = sorted((r.run_id, r.raw_line, r.local_addr, r.local_port, r.peer_addr, r.peer_port or 0, r.pid or 0) for r in df.collect())
+    assert got == sorted([("r1", lines[0], "*", 22, "*", 0, 1), ("r1", lines[1], "*", 22, "*", 0, 1), ("r1", lines[4], "10.0.0.1", 22, "fe80::1", 99, 1),
+                          ("r1", lines[5], "::", 53, "*", 0, 0), ("r2", known(9), "10.0.0.1", 22, "fe80::1", 99, 1)])
+
+
+def test_a_text_is_cleaned_once(spark):
+    from fleetlens.functions.text import block
+    from fleetlens.operators.blocks import split_blocks
+    from fleetlens.sources.snapshots import snapshots
+
+    files = spark.createDataFrame([("/f/10.0.0.1_20240201_00:00:00Z.txt", bytearray(b"$ uptime\r\nx\n====\n"), 1)], "path string, content binary, length bigint")
+    blocks = block(split_blocks(snapshots(files)), "uptime")
+    assert [r.output_text for r in blocks.collect()] == ["x"]
+    optimized = blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("=+)(?:") == 1 and optimized.count("invoke(") + optimized.count("make_valid_utf8") <= 2, optimized
