@@ -13,33 +13,35 @@ def consecutive_pairs(previous_runs: DataFrame) -> DataFrame:
         F.col("previous_run_id").alias("first_run"), F.col("last_run_id").alias("second_run"))
 
 
-def _positioned(blocks: DataFrame, by: str) -> DataFrame:
-    """Blocks reduced to a key and a digest: the wide text stays out of the join.
+def _keyed(met: DataFrame, by: str) -> DataFrame:
+    """Blocks of run pairs with their key: the position in the file, or the tag and its occurrence number, which survives inserted commands.
 
-    Keys: the position in the file, or the tag and its occurrence number, which
-    survives inserted commands.
+    Occurrences are counted where the blocks of a pair have met, so that takes no shuffle of its own.
     """
-    narrow = blocks.select(
-        "run_id", "command_index", "command", "command_tag",
-        F.sha2(F.concat_ws("\n", "command", "output_text"), 256).alias("digest"))
     if by == "position":
-        return narrow.withColumn("block_key", F.col("command_index").cast("string"))
-    w = Window.partitionBy("run_id", "command_tag").orderBy("command_index")
-    return narrow.withColumn("block_key", F.concat_ws("#", "command_tag", F.row_number().over(w).cast("string")))
+        return met.withColumn("block_key", F.col("command_index").cast("string"))
+    w = Window.partitionBy("first_run", "second_run", "side_one", "command_tag").orderBy("command_index")
+    return met.withColumn("block_key", F.concat_ws("#", "command_tag", F.dense_rank().over(w).cast("string")))
 
 
 def diff_blocks(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> DataFrame:
-    """Per pair and block of the first run: same, changed, or missing in the second run."""
+    """Per pair and block of the first run: same, changed, or missing in the second run.
+
+    A digest stands for a block: the wide text stays out of joins. Rows are dealt out by pair once; keys and comparison follow from that.
+    """
     sides = pairs.select("first_run", "second_run", F.explode(F.array(
         F.struct(F.col("first_run").alias("run_id"), F.lit(True).alias("is_first")),
         F.struct(F.col("second_run").alias("run_id"), F.lit(False).alias("is_first")))).alias("s")
     ).select("first_run", "second_run", "s.run_id", F.col("s.is_first").alias("side_one"))
+    narrow = blocks.select(
+        "run_id", "command_index", "command", *(["command_tag"] if by != "position" else []),
+        F.unhex(F.sha2(F.concat_ws("\n", "command", "output_text"), 256)).alias("digest"))
     # both sides come from one scan of the blocks and meet in one aggregation
     one, two = F.col("side_one"), ~F.col("side_one")
-    met = sides.join(_positioned(blocks, by), "run_id").groupBy("first_run", "second_run", "block_key").agg(
+    dealt = sides.join(narrow, "run_id").drop("run_id").withColumn("command", F.when(one, F.col("command"))).repartition("first_run", "second_run")
+    met = _keyed(dealt, by).groupBy("first_run", "second_run", "block_key").agg(
         F.max(F.when(one, F.col("command_index"))).alias("command_index"), F.max(F.when(two, F.col("command_index"))).alias("second_index"),
-        F.max(F.when(one, F.col("command"))).alias("command"), F.max(F.when(one, F.col("digest"))).alias("d1"),
-        F.max(F.when(two, F.col("digest"))).alias("d2"))
+        F.max("command").alias("command"), F.max(F.when(one, F.col("digest"))).alias("d1"), F.max(F.when(two, F.col("digest"))).alias("d2"))
     return met.filter("d1 IS NOT NULL").select(
         "first_run", "second_run", "block_key", "command_index", "second_index", "command",
         F.when(F.col("d2").isNull(), "missing").when(F.col("d1") == F.col("d2"), "same").otherwise("changed").alias("status"))

@@ -99,3 +99,26 @@ def test_a_text_is_cleaned_once(spark):
     assert [r.output_text for r in blocks.collect()] == ["x"]
     optimized = blocks._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("=+)(?:") == 1 and optimized.count("invoke(") + optimized.count("make_valid_utf8") <= 2, optimized
+
+
+def compared(spark):
+    made = [("r1", 0, "cat x", "x", "a\nb\nb"), ("r1", 1, "uptime", "uptime", "1"), ("r1", 2, "cat x", "x", "c"), ("r1", 3, "w", "w", "same"),
+            ("r2", 0, "id", "id", "0"), ("r2", 1, "cat x", "x", "b\na\na\nd"), ("r2", 2, "w", "w", "same"), ("r2", 3, "cat x", "x", "c"), ("r3", 0, "cat x", "x", "z")]
+    blocks = spark.createDataFrame(made, "run_id string, command_index int, command string, command_tag string, output_text string")
+    return blocks, spark.createDataFrame([("r1", "r2"), ("r1", "r2"), ("r1", "r3"), ("r2", "r2")], "first_run string, second_run string")
+
+
+def exchanges(df) -> list[str]:
+    return re.findall(r"Exchange hashpartitioning\(([^\n]*)", plan(df))
+
+
+def test_blocks_of_a_tag_are_counted_where_pairs_meet(spark):
+    from fleetlens.operators.diff import diff_blocks
+
+    df = diff_blocks(*compared(spark), by="tag")
+    assert not [x for x in exchanges(df) if "command_tag" in x or "block_key" in x]
+    got = sorted((r.first_run, r.second_run, r.block_key, r.command_index, r.second_index, r.command, r.status) for r in df.filter("second_run <> first_run").collect())
+    assert got == [
+        ("r1", "r2", "uptime#1", 1, None, "uptime", "missing"), ("r1", "r2", "w#1", 3, 2, "w", "same"), ("r1", "r2", "x#1", 0, 1, "cat x", "changed"), ("r1", "r2", "x#2", 2, 3, "cat x", "same"),
+        ("r1", "r3", "uptime#1", 1, None, "uptime", "missing"), ("r1", "r3", "w#1", 3, None, "w", "missing"), ("r1", "r3", "x#1", 0, 0, "cat x", "changed"), ("r1", "r3", "x#2", 2, None, "cat x", "missing")]
+    assert {r.status for r in df.filter("second_run = first_run").collect()} == {"same"}
