@@ -50,8 +50,8 @@ def diff_blocks(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> Da
 def diff_lines(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> DataFrame:
     """Lines added to or removed from the changed blocks, with how often.
 
-    Only changed blocks are exploded. Each line counts +1 for the second run and
-    -1 for the first, so one aggregation gives the multiset difference in both directions.
+    Only changed blocks are exploded, after both texts of a block have met: texts are shuffled, lines are not. Each line counts +1 for the
+    second run and -1 for the first, so one aggregation gives the multiset difference in both directions.
     """
     changed = diff_blocks(blocks, pairs, by).filter("status = 'changed'")
     sides = changed.select("first_run", "second_run", "block_key", "command", F.explode(F.array(
@@ -59,8 +59,8 @@ def diff_lines(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> Dat
         F.struct(F.col("second_run").alias("run_id"), F.col("second_index").alias("command_index"), F.lit(1).alias("sign")))).alias("s")
     ).select("first_run", "second_run", "block_key", "command", "s.run_id", "s.command_index", "s.sign")
     text = blocks.select("run_id", "command_index", "output_text")
-    lines = sides.join(text, ["run_id", "command_index"]).select(
-        "first_run", "second_run", "block_key", "command", "sign", F.explode(F.split("output_text", "\n")).alias("line"))
+    dealt = sides.join(text, ["run_id", "command_index"]).drop("run_id", "command_index").repartition("first_run", "second_run", "block_key")
+    lines = dealt.select("first_run", "second_run", "block_key", "command", "sign", F.explode(F.split("output_text", "\n")).alias("line"))
     net = lines.groupBy("first_run", "second_run", "block_key", "command", "line").agg(F.sum("sign").alias("net"))
     return net.filter("net <> 0").select(
         "first_run", "second_run", "block_key", "command", "line",

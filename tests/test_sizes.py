@@ -122,3 +122,13 @@ def test_blocks_of_a_tag_are_counted_where_pairs_meet(spark):
         ("r1", "r2", "uptime#1", 1, None, "uptime", "missing"), ("r1", "r2", "w#1", 3, 2, "w", "same"), ("r1", "r2", "x#1", 0, 1, "cat x", "changed"), ("r1", "r2", "x#2", 2, 3, "cat x", "same"),
         ("r1", "r3", "uptime#1", 1, None, "uptime", "missing"), ("r1", "r3", "w#1", 3, None, "w", "missing"), ("r1", "r3", "x#1", 0, 0, "cat x", "changed"), ("r1", "r3", "x#2", 2, None, "cat x", "missing")]
     assert {r.status for r in df.filter("second_run = first_run").collect()} == {"same"}
+
+
+def test_lines_are_compared_where_texts_meet(spark):
+    from fleetlens.operators.diff import diff_lines
+
+    df = diff_lines(*compared(spark), by="tag")
+    assert not [x for x in exchanges(df) if "line" in x]
+    got = sorted((r.second_run, r.block_key, r.line, r.change_type, r.copies) for r in df.collect())
+    assert got == [("r2", "x#1", "a", "added", 1), ("r2", "x#1", "b", "removed", 1), ("r2", "x#1", "d", "added", 1),
+                   ("r3", "x#1", "a", "removed", 1), ("r3", "x#1", "b", "removed", 2), ("r3", "x#1", "z", "added", 1)]
