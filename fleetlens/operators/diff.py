@@ -73,10 +73,10 @@ def diff_text(blocks: DataFrame, pairs: DataFrame, by: str = "position") -> Data
     Lines are compared as bags, as in diff_lines; a line that only moved does not differ.
     """
     changed = diff_lines(blocks, pairs, by)
-    sign = F.when(F.col("change_type") == "removed", "-").otherwise("+")
-    entry = F.struct((sign == "+").alias("added"), "line", F.concat(F.lit("\n"), sign, F.col("line")).alias("text"), "copies")
+    entry = F.struct((F.col("change_type") == "added").alias("added"), "line", "copies")
     texts = changed.groupBy("first_run", "second_run", "block_key", "command").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    body = F.array_join(F.transform("entries", lambda e: F.repeat(e["text"], e["copies"].cast("int"))), "")
+    shown = lambda e: F.concat(F.when(e["added"], "\n+").otherwise("\n-"), e["line"])
+    body = F.array_join(F.transform("entries", lambda e: F.repeat(shown(e), e["copies"].cast("int"))), "")
     return texts.select("first_run", "second_run", "block_key", "command", F.concat(F.lit("--- \n+++ "), body).alias("diff"))
 
 

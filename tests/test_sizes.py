@@ -132,3 +132,12 @@ def test_lines_are_compared_where_texts_meet(spark):
     got = sorted((r.second_run, r.block_key, r.line, r.change_type, r.copies) for r in df.collect())
     assert got == [("r2", "x#1", "a", "added", 1), ("r2", "x#1", "b", "removed", 1), ("r2", "x#1", "d", "added", 1),
                    ("r3", "x#1", "a", "removed", 1), ("r3", "x#1", "b", "removed", 2), ("r3", "x#1", "z", "added", 1)]
+
+
+def test_a_line_is_held_once_until_it_is_shown(spark):
+    from fleetlens.operators.diff import diff_text
+
+    df = diff_text(*compared(spark), by="tag")
+    assert not [x for x in exchanges(df) if "line" in x]
+    assert "collect_list" in (p := plan(df)) and not re.search(r"collect_list\([^\n]*, text, ", p)
+    assert sorted((r.second_run, r.diff) for r in df.collect()) == [("r2", "--- \n+++ \n-b\n+a\n+d"), ("r3", "--- \n+++ \n-a\n-b\n-b\n+z")]
