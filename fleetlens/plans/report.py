@@ -458,11 +458,22 @@ def sections() -> list[Section]:
     ]
 
 
+# Extractions that the sections read, those of the longest texts first.
+READS = (
+    "run_packages", "run_processes", "run_listening_sockets", "run_ssh_authorized_keys", "run_firewall_rules", "run_modinfo_kv", "run_file_listings", "run_services_systemctl",
+    "run_users", "run_groups", "run_failed_logins", "run_lastlog", "run_passwd_status", "run_lsmod", "run_facts", "run_usb_devices", "run_hostinfo", "run_block_devices",
+    "run_dmi_system", "run_interfaces", "run_interface_addrs", "asset_domain", "run_timedate", "run_memory", "run_uname", "run_audit_status", "run_audit_rules", "run_selinux_status",
+    "run_selinux_booleans", "run_apparmor_status", "run_resolv_conf_entries", "run_ip_neigh", "run_routes",
+)
+
+
 def report_lines(table: Table) -> DataFrame:
     """(hostname, section, ord, line_no, line) for the whole fleet, to be read in that order; `hostname` is empty for fleet-wide sections.
 
     Every section begins with its title (ord empty, line 0). Sections say so if they found nothing, or are left out for that host.
     """
+    if hasattr(table, "prepare"):
+        table.prepare(*READS)
     every = sections()
     ordered = lambda x: F.concat_ws("\x01", F.lit("1"), *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in x.order])
     bodies = [

@@ -141,3 +141,38 @@ def test_a_line_is_held_once_until_it_is_shown(spark):
     assert not [x for x in exchanges(df) if "line" in x]
     assert "collect_list" in (p := plan(df)) and not re.search(r"collect_list\([^\n]*, text, ", p)
     assert sorted((r.second_run, r.diff) for r in df.collect()) == [("r2", "--- \n+++ \n-b\n+a\n+d"), ("r3", "--- \n+++ \n-a\n-b\n-b\n+z")]
+
+
+def test_extractions_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    from threading import Barrier
+
+    from fleetlens.plans.fleet import Fleet
+    from fleetlens.sources.snapshots import snapshots
+
+    files = spark.createDataFrame([("/f/10.0.0.1_20240201_00:00:00Z.txt", bytearray(b"$ uname -a\nLinux n 5.1 x\n$ cat /etc/passwd\na:x:1:1:g:/:/bin/sh\n"), 1)], "path string, content binary, length bigint")
+    fleet, keep, meet = Fleet(spark, snapshots(files), store=str(tmp_path)), Fleet._keep, Barrier(2, timeout=60)
+    kept = []
+
+    def keeping(self, name, df):
+        kept.append(name)
+        if name != "run_commands":
+            meet.wait()
+        return keep(self, name, df)
+
+    monkeypatch.setattr(Fleet, "_keep", keeping)
+    fleet.prepare("run_uname", "run_users", "run_uname")
+    fleet.prepare("run_uname", "run_users")
+    assert kept[0] == "run_commands" and sorted(kept[1:]) == ["run_uname", "run_users"]
+    assert fleet("run_uname").first().uname_a == "Linux n 5.1 x" and fleet("run_users").first().username == "a"
+
+
+def test_the_last_rendering_sets_the_threshold_back(spark):
+    threshold = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(threshold)
+    first, second = R.many_runs(spark), R.many_runs(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(threshold) == str(R.TASK_ROWS)
+    second.__exit__(None, None, None)
+    assert spark.conf.get(threshold) == before
