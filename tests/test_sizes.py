@@ -187,3 +187,31 @@ def test_module_fields_meet_their_run_once(spark):
     assert "Broadcast" not in plan(df) and {x.split("#")[0] for x in exchanges(df)} == {"run_id"} and "Aggregate" not in plan(df)
     assert sorted(map(tuple, df.collect())) == [
         ("r1", "a", "Alias", ""), ("r1", "a", "alias", "x:y"), ("r1", "a", "alias", "z"), ("r1", "a", "license", "GPL"), ("r1", "b", "signer", "k")]
+
+
+def test_keys_are_compared_inside_the_block(spark):
+    from fleetlens.operators.accounts import run_ssh_authorized_keys
+
+    told = "x y\n# cat /home/bob/.ssh/authorized_keys\nrsa YWJj one\nrsa !! b\nshort\n\nrsa YWJj two\n# cat /home/root/.ssh/authorized_keys\nrsa YWJj home\n# cat /home/eve/.ssh/authorized_keys\n  rsa YWJj three 3\n# cat /home/bob/.ssh/authorized_keys\nrsa !! b"
+    df = run_ssh_authorized_keys(blocks_with(spark, ("r1", "root_authorized_keys", "rsa YWJj old\nrsa ZGVm"), ("r1", "home_authorized_keys", told), ("r2", "home_authorized_keys", told.split("\n# cat /home/root")[0])))
+    shuffled = plan(df).split("Exchange ")
+    assert len(shuffled) == 2 and shuffled[1].count("Filter (isnotnull(x") + shuffled[1].count("= root)") >= 2, plan(df)
+    assert sorted((r.run_id, r.username, r.key_comment or "") for r in df.collect()) == [
+        ("r1", "bob", "b"), ("r1", "bob", "two"), ("r1", "eve", "three 3"), ("r1", "root", ""), ("r1", "root", "home"), ("r2", "bob", "b"), ("r2", "bob", "two")]
+
+
+def test_lines_of_blocks_are_stored_without_a_shuffle(spark, tmp_path):
+    from fleetlens.sources.warehouse import OPEN_DATES, read_table, write_table
+
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    dates = [f"2024{m:02}{d:02}" for m in (1, 2, 3) for d in range(1, 29)]
+    assert len(dates) > OPEN_DATES
+    df = spark.createDataFrame([(f"{d}-x", n) for n in range(3) for d in dates], "run_id string, n int").coalesce(1)
+    tracker = spark._jsparkSession.sparkContext().env().mapOutputTracker()
+    shuffles = lambda: tracker.shuffleStatuses().keySet().toSeq().mkString(",")
+    was = shuffles()
+    write_table(df, str(tmp_path), "run_x", in_place=True)
+    assert shuffles() == was and spark.conf.get(setting) == before
+    assert len(list((tmp_path / "run_x").glob("run_date=*/*.zstd.parquet"))) == len(dates)
+    assert sorted(map(tuple, read_table(spark, str(tmp_path), "run_x").collect())) == sorted(map(tuple, df.collect()))
