@@ -30,10 +30,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(top, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and lost executors lose nothing."""
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there, and lost executors lose nothing. file_rows: as many rows in a file at most, for
+    wide rows, since Spark reads and writes some thousand rows at a time."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

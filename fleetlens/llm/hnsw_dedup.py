@@ -7,7 +7,7 @@ recall (matches with themselves do not count) is under RECALL, the beam is doubl
 double precision. Tasks return a spanning forest of the links, of each scanned query the number of its links, and of the others their few links (less than a beam); they neither
 return nor hold all pairs. On Spark, a link that one beam finds is given to its other end too, unless that end was scanned, and components are joined.
 
-A task holds one shard (SHARD_ROWS vectors at most, on average) and one block of queries. As every shard is queried, the work grows with rows x shards; up to
+A task holds one shard (SHARD_ROWS vectors at most, on average) and one block of queries; a shard travels in pieces, so that only the Python worker that searches it holds it whole. As every shard is queried, the work grows with rows x shards; up to
 MIN_SHARDS x SHARD_ROWS vectors the number of shards stays as it is.
 """
 
@@ -42,6 +42,9 @@ EXPAND = 4
 #: Vectors of a shard that a scan compares at a time, and links that are held before they are folded into a forest.
 STEP_SHARD = 2_048
 HELD_PAIRS = 500_000
+#: A shard is stored, shuffled and handed to tasks in rows of so many bytes of vectors, and so many of them in a file: nothing on the way holds a shard as one value.
+PIECE_BYTES = 1 << 20
+FILE_PIECES = 32
 
 
 class Graph:
@@ -181,6 +184,38 @@ class Graph:
         return Graph(vectors, layers)
 
 
+class Rows:
+    """Vectors that lie in pieces, as they came. What is asked for (a slice or an array of rows) is brought to length 1 in double precision; the pieces are neither copied nor joined."""
+
+    def __init__(self, pieces: list[np.ndarray]):
+        self.pieces = pieces
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+
+    def __len__(self) -> int:
+        return int(self.starts[-1])
+
+    def raw(self, at: np.ndarray) -> np.ndarray:
+        """Rows `at`, as they came, in double precision."""
+        out = np.empty((len(at), self.pieces[0].shape[1] if self.pieces else 0))
+        piece = np.searchsorted(self.starts, at, side="right") - 1
+        order = np.argsort(piece, kind="stable")
+        ends = np.searchsorted(piece[order], np.arange(len(self.pieces) + 1))
+        for k in np.unique(piece):
+            mine = order[ends[k] : ends[k + 1]]
+            out[mine] = self.pieces[k][at[mine] - self.starts[k]]
+        return out
+
+    def __getitem__(self, at: np.ndarray | slice) -> np.ndarray:
+        return _scaled(self.raw(np.arange(len(self))[at] if isinstance(at, slice) else at))
+
+    def single(self, order: np.ndarray | None = None) -> np.ndarray:
+        """All rows of length 1 in single precision, in some order."""
+        out = np.empty((len(self), self.pieces[0].shape[1] if self.pieces else 0), np.float32)
+        for k in range(0, len(self), STEP_SHARD):
+            out[k : k + STEP_SHARD] = self[slice(k, k + STEP_SHARD) if order is None else order[k : k + STEP_SHARD]]
+        return out
+
+
 class Links:
     """Links of queries (ids `own`) with the vectors of a shard (ids, weights): how many each query has, and their spanning forest. Pairs that come in are counted and folded
     into the forest a helping at a time; no list of them is kept, but for those of beams, which are short. `scanned` tells which queries met the whole shard. A vector's match
@@ -215,9 +250,10 @@ class Links:
 
 def _exact(queries: np.ndarray, shard: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs (query row, shard row) of cosine `least` or more, block after block; vectors in double precision."""
-    for k in range(0, len(queries), STEP_ROWS):
-        for j in range(0, len(shard), STEP_SHARD):
-            x, y = np.nonzero(queries[k : k + STEP_ROWS] @ shard[j : j + STEP_SHARD].T >= least)
+    for j in range(0, len(shard), STEP_SHARD):
+        part = shard[j : j + STEP_SHARD].T
+        for k in range(0, len(queries), STEP_ROWS):
+            x, y = np.nonzero(queries[k : k + STEP_ROWS] @ part >= least)
             yield x + k, y + j
 
 
@@ -250,7 +286,10 @@ def find(graph: Graph, shard: np.ndarray, queries: np.ndarray, own: np.ndarray,
         full = sims[:, -1] >= least - 1e-3
         q, k = np.nonzero((sims >= least - 1e-3) & ~full[:, None])
         s = near[q, k]
-        ok = (np.einsum("ij,ij->i", queries[q], shard[s]) >= least) & (own[q] != ids[s])
+        ok = own[q] != ids[s]
+        for j in range(0, len(q), STEP_SHARD):
+            part = slice(j, j + STEP_SHARD)
+            ok[part] &= np.einsum("ij,ij->i", queries[q[part]], shard[s[part]]) >= least
         q, s = q[ok], s[ok]
         while True:
             rows = order[:size]
@@ -284,16 +323,36 @@ def _scaled(out: np.ndarray) -> np.ndarray:
     return out
 
 
+_SHARD = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("piece", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("layers", pa.binary())])
+SHARD = "dim int, shard int, piece int, ids binary, weights binary, vectors binary, layers binary"
+
+
+def _packed(vectors: np.ndarray) -> bytes:
+    """In single precision if that says the same."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype("<f4")
+    return (single if np.array_equal(single, vectors) else vectors.astype("<f8")).tobytes()
+
+
+def _unpacked(blob: pa.Buffer, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(blob, "<f4" if len(blob) == 4 * rows * dim else "<f8").reshape(rows, dim)
+
+
 def _build(key: tuple, table: pa.Table) -> pa.Table:
+    """A shard and its graph in pieces, in the order of the graph."""
     dim, shard = (k.as_py() for k in key)
-    table = table.sort_by("id")
-    heights = Graph.heights(table.num_rows, shard)
-    table = table.take(pa.array(np.argsort(-heights, kind="stable")))
-    heights = np.sort(heights)[::-1]
-    graph = Graph.build(_matrix(table["vector"], dim).astype(np.float32), heights)
-    pack = lambda c, kind: pa.array([table[c].combine_chunks().to_numpy().astype(kind).tobytes()], pa.binary())
-    vectors = pa.array([np.array(table["vector"].combine_chunks().flatten()).astype("<f8").tobytes()], pa.binary())
-    return pa.table([pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pack("id", "<i8"), pack("weight", "<i8"), vectors, pa.array([graph.pack()], pa.binary())], ["dim", "shard", "ids", "weights", "vectors", "layers"])
+    rows = Rows([np.asarray(c.flatten()).reshape(-1, dim) for c in table["vector"].chunks if len(c)])
+    ids, weights = table["id"].to_numpy(), table["weight"].to_numpy()
+    heights = Graph.heights(len(ids), shard)
+    order = np.argsort(ids, kind="stable")[np.argsort(-heights, kind="stable")]
+    layers = Graph.build(rows.single(order), np.sort(heights)[::-1]).pack()
+    size = max(1, PIECE_BYTES // (8 * max(1, dim)))
+    pieces = [order[k : k + size] for k in range(0, len(order), size)]
+    share = -(-len(layers) // max(1, len(pieces)))
+    columns = [
+        [dim] * len(pieces), [shard] * len(pieces), list(range(len(pieces))), [ids[p].astype("<i8").tobytes() for p in pieces], [weights[p].astype("<i8").tobytes() for p in pieces],
+        [_packed(rows.raw(p)) for p in pieces], [layers[k * share : (k + 1) * share] for k in range(len(pieces))]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SHARD, strict=True)], schema=_SHARD)
 
 
 #: Three kinds of rows: a scanned query's links with a shard (no other), a beam's link (both ends, each once with the shard of the other end and its weight), an edge of a forest (no shard).
@@ -335,11 +394,13 @@ def _query(least: float):
         if not left.num_rows or not right.num_rows:
             return _LINKS.empty_table()
         dim, number = key[0].as_py(), key[1].as_py()
-        blob = lambda c: right[c][0].as_buffer()  # noqa: E731  (a view, no copy)
-        ids, weights = np.frombuffer(blob("ids"), "<i8"), np.frombuffer(blob("weights"), "<i8")
-        shard = _scaled(np.frombuffer(blob("vectors"), "<f8").reshape(-1, dim).copy())
+        order = np.argsort(right["piece"].to_numpy()) if "piece" in right.column_names else range(right.num_rows)
+        blobs = lambda c: [right[c][int(k)].as_buffer() for k in order]  # noqa: E731  (views, no copies)
+        numbers = lambda c: np.concatenate([np.frombuffer(x, "<i8") for x in blobs(c)])
+        ids, weights = numbers("ids"), numbers("weights")
+        shard = Rows([_unpacked(x, len(n) // 8, dim) for x, n in zip(blobs("vectors"), blobs("ids"), strict=True)])
         own, queries = left["id"].to_numpy(), _matrix(left["vector"], dim)
-        found, _, _ = find(Graph.unpack(blob("layers"), shard.astype(np.float32)), shard, queries, own, ids, weights, least)
+        found, _, _ = find(Graph.unpack(b"".join(blobs("layers")), shard.single()), shard, queries, own, ids, weights, least)
         return pa.concat_tables([_scanned(found, number), _beams(found, number, left["weight"].to_numpy(), left["home"].to_numpy()), _forest(found)])
 
     return run
@@ -359,8 +420,8 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE, shard_ro
     many = vertices.count()
     shards, blocks = max(MIN_SHARDS, -(-many // shard_rows)), max(1, -(-many // query_rows))
     vertices = vertices.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = vertices.select("dim", "shard", "id", "weight", "vector").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, ids binary, weights binary, vectors binary, layers binary")
-    graphs = stored(graphs, "hnsw-graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    graphs = vertices.select("dim", "shard", "id", "weight", "vector").groupBy("dim", "shard").applyInArrow(_build, SHARD)
+    graphs = stored(graphs, "hnsw-graphs", FILE_PIECES).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = vertices.select("dim", "id", "weight", "vector", F.col("shard").alias("home"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     found = asked.groupBy("dim", "shard", "block").cogroup(graphs.groupBy("dim", "shard", "block")).applyInArrow(_query(least), LINKS)
     found = stored(found, "hnsw-links")
