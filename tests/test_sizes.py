@@ -215,3 +215,12 @@ def test_lines_of_blocks_are_stored_without_a_shuffle(spark, tmp_path):
     assert shuffles() == was and spark.conf.get(setting) == before
     assert len(list((tmp_path / "run_x").glob("run_date=*/*.zstd.parquet"))) == len(dates)
     assert sorted(map(tuple, read_table(spark, str(tmp_path), "run_x").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_owners_of_sockets_are_searched_once_a_line(spark):
+    from fleetlens.operators.network import run_listening_sockets
+
+    text = 'tcp LISTEN 0 128 *:22 *:* users:(("a",pid=1,fd=3))\ntcp LISTEN 0 128 *:23 *:* users:((pid=1))'
+    df = run_listening_sockets(blocks_with(spark, ("r1", "ss_punt", text)))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
+    assert [(r.local_port, r.process_name, r.pid) for r in df.collect()] == [(22, "a", 1), (23, None, None)]
