@@ -224,3 +224,17 @@ def test_owners_of_sockets_are_searched_once_a_line(spark):
     df = run_listening_sockets(blocks_with(spark, ("r1", "ss_punt", text)))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
     assert [(r.local_port, r.process_name, r.pid) for r in df.collect()] == [(22, "a", 1), (23, None, None)]
+
+
+def test_packages_of_pairs_are_shuffled_once_by_name(spark):
+    from fleetlens.plans.playbook import q_pkg_diff
+
+    tables = {
+        "v_asset_current": spark.createDataFrame([("r1", "1", "x"), ("r2", "2", "y"), ("r3", "3", "y"), (None, "4", "z")], "last_run_id string, asset_id string, hostname string"),
+        "run_packages": spark.createDataFrame([("r1", "dpkg", "a", "1"), ("r1", "dpkg", "a", "1"), ("r1", "dpkg", "b", None), ("r1", "rpm", "c", "1"), ("r1", "dpkg", None, "1"), ("r2", "dpkg", "d", "2"), ("r3", "dpkg", "d", "3"),
+                                               ("r3", "dpkg", "b", "9")], "run_id string, source string, name string, version string")}
+    pairs = spark.createDataFrame([("x", "y"), ("x", "y"), ("y", "z"), ("x", "x")], "host_a string, host_b string")
+    df = q_pkg_diff(tables.__getitem__, pairs)
+    assert len([x for x in exchanges(df) if re.search(r"\bname#", x)]) == 1
+    assert list(map(tuple, df.collect())) == [("x", "y", "only_in_a", "a", "1"), ("x", "y", "only_in_a", "a", "1"), ("x", "y", "only_in_b", "d", "2"), ("x", "y", "only_in_b", "d", "3"),
+                                              ("y", "z", "only_in_a", "b", "9"), ("y", "z", "only_in_a", "d", "2"), ("y", "z", "only_in_a", "d", "3")]
